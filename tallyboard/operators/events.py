@@ -1,0 +1,57 @@
+"""Run logs and jobs: JSON event lines, final messages, liveness, stage transitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Allowed stage changes besides cancelled, failed and interrupted, open to any stage.
+TRANSITIONS = (
+    ("preparing", "analyzing"), ("analyzing", "awaitingPlanApproval"), ("awaitingPlanApproval", "runningAI"), ("runningAI", "reviewing"),
+    ("reviewing", "awaitingApproval"), ("awaitingApproval", "committing"), ("committing", "pulling"), ("pulling", "pushing"),
+    ("pushing", "updatingTicket"), ("updatingTicket", "completed"), ("updatingTicket", "partial"), ("partial", "updatingTicket"),
+    ("interrupted", "analyzing"), ("interrupted", "runningAI"),
+)
+
+
+def text_at(json: Column, path: str) -> Column:
+    """The string at a path of a JSON line, null where there is none or it is of another type."""
+    v = F.try_parse_json(json)
+    inner = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def codex_event(line: Column) -> Column:
+    """struct<display, final> of an event line; text that is no JSON object is shown as it is."""
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), F.lit(False))
+    kind, item = text_at(line, "$.type"), text_at(line, "$.item.type")
+    said = F.when((kind == "item.completed") & (item == "agent_message"), text_at(line, "$.item.text"))
+    none = F.lit(None).cast("string")
+    shown = F.when(~is_object, line).when(kind == "item.completed", said).when(kind == "item.started", none).when(kind == "turn.completed", "done").otherwise(text_at(line, "$.message"))
+    return F.struct(shown.alias("display"), F.when(is_object, said).alias("final"))
+
+
+def final_messages(events: DataFrame) -> DataFrame:
+    """(run_id, final): the last non-empty final of each run."""
+    return events.groupBy("run_id").agg(F.max_by(F.when(F.col("final") != "", F.col("final")), F.when(F.col("final") != "", F.col("offset"))).alias("final"))
+
+
+def liveness(result: Column, alive: Column, beat_age: Column, start_age: Column, limit: float = 8.0) -> Column:
+    """completed / running / interrupted; an age of exactly ``limit`` seconds still is fresh."""
+    return F.when(result, "completed").when(~alive, "interrupted").when(F.coalesce(beat_age, start_age) <= limit, "running").otherwise("interrupted")
+
+
+def invalid_transitions(items: DataFrame, key: str = "ticket_id") -> DataFrame:
+    """(key, previous, stage, n): stage changes in order of position that no rule allows."""
+    w = Window.partitionBy(key).orderBy("position")
+    steps = items.withColumn("previous", F.lag("stage").over(w)).filter("previous IS NOT NULL AND previous <> stage")
+    rules = steps.sparkSession.createDataFrame(TRANSITIONS, "previous string, stage string")
+    open_to_any = F.col("stage").isin("cancelled", "failed", "interrupted")
+    return steps.filter(~open_to_any).join(F.broadcast(rules), ["previous", "stage"], "left_anti").groupBy("previous", "stage").agg(F.count("*").alias("n"))
+
+
+def visible(messages: DataFrame, hidden: tuple[str, ...], prefix: str, col: str = "message") -> DataFrame:
+    """Messages without the hidden phrases and prefix, and not equal to the one before."""
+    for h in hidden:
+        messages = messages.filter(~F.col(col).contains(h))
+    return messages.filter(~F.col(col).startswith(prefix))
