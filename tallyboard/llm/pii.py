@@ -142,14 +142,13 @@ def revealing(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str =
     near = known.select("row", "text_hash", "e", "n_e", F.explode(F.concat(b, a)).alias("t")).select("row", "text_hash", "e", "n_e", "t.term", "t.start", "t.end").filter("length(term) >= 3")
     near = scratch.write(near, "near")
     pairs = scratch.write(near.groupBy("e", "term").agg(F.count_distinct("text_hash").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support), "pairs")
-    terms = pairs.select("term").distinct()
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = found.select("text_hash").distinct().count()
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # all words, so that rows grow with the corpus and not with the list of terms as well
     words = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    n_terms = terms.limit(200_001).count()
-    # a term list of known size may be broadcast before the words are counted
-    side = F.broadcast(terms) if n_terms <= 200_000 else terms
-    df = words.join(side, "term", "left_semi").groupBy("term", "h").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t")) if n_terms else terms.withColumn("n_t", F.lit(1).cast("long"))
+    df = words.groupBy("term", "h").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t"))
+    if pairs.isEmpty():  # no term to rate: the corpus need not be read
+        df = pairs.select("term", F.lit(1).cast("long").alias("n_t"))
     n = F.lit(float(max(total, 2)))
     rated = pairs.join(df, "term").withColumn("ratio", F.log(F.col("n_et") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e")))
     out = rated.filter(F.col("ratio") >= generalise).select("e", "term", (F.col("ratio") >= remove).alias("removed"))
