@@ -24,27 +24,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs.select(*COLUMNS), model)
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents with a number for each row, written: ids may be null or repeat, numbers not."""
+    return scratch.write(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group linked at 0.8 by five-word shingles."""
-    groups = simhash.similar_groups(docs, Scratch(spark, "stage2"))
-    gone = groups.filter("group_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document, the first row, of each group linked at 0.8 by five-word shingles."""
+    scratch = Scratch(spark, "stage2")
+    rows = _numbered(docs, scratch)
+    gone = simhash.similar_groups(rows, scratch, id_col="row").filter("group_id <> doc_id").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by their kind, revealing terms generalised or removed."""
-    found = pii.sanitise_spans(docs, Scratch(spark, "stage3")).filter("size(spans) > 0")
-    found = found.select(F.col("doc_id").alias("f_id"), pii.bare(F.col("spans")).alias("spans"), "terms")
-    joined = docs.select(*COLUMNS).join(found, F.col("doc_id") == F.col("f_id"), "left")
-    text = F.when(F.col("f_id").isNull(), F.col("text")).otherwise(pii.mask(F.col("text"), F.col("spans"), F.col("terms")))
+    scratch = Scratch(spark, "stage3")
+    rows = _numbered(docs, scratch)
+    found = pii.sanitise_spans(rows, scratch, id_col="row").filter("size(spans) > 0")
+    found = found.select(F.col("doc_id").alias("f_row"), pii.bare(F.col("spans")).alias("spans"), "terms")
+    joined = rows.join(found, F.col("row") == F.col("f_row"), "left")
+    text = F.when(F.col("f_row").isNull(), F.col("text")).otherwise(pii.mask(F.col("text"), F.col("spans"), F.col("terms")))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice."""
-    plan = mixing.mix(docs, Scratch(spark, "stage4")).select(F.col("doc_id").alias("p_id"), "epochs").filter("epochs > 0")
-    taken = docs.select(*COLUMNS).join(plan, F.col("doc_id") == F.col("p_id"))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*COLUMNS)
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mixing.take(docs.select(*COLUMNS), Scratch(spark, "stage4"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,35 +97,52 @@ def _join_side(df: DataFrame, scratch: Scratch) -> DataFrame:
     return F.broadcast(df) if getattr(scratch, "few_sources", False) else df
 
 
-def mix(
-    docs: DataFrame,
-    scratch: Scratch,
-    weights: Sequence[float] = (3, 1, 2),
-    share: float = 1.5,
-    cap: float = 2.0,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """(doc_id, size, source_size, target, epochs, taken): how often the mix takes each document.
-
-    ``epochs`` is 0, 1 or 2 and ``taken`` = size x epochs; a source's sum differs from its
-    target by half of one document at most.
-    """
+def _plan(docs: DataFrame, scratch: Scratch, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """(p_source, source_size, target, whole, cut), one row a source, from (source, size, h) of all documents."""
     if not 0 < cap <= 2:
         raise ValueError("cap must be above 0 and at most 2")
-    d = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h")), "sizes")
-    sizes = scratch.write(d.groupBy("source").agg(F.sum("size").alias("source_size")), "by-source")
+    sizes = scratch.write(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "by-source")
     scratch.few_sources = rows_if_small(sizes, SMALL_SOURCES)
     goal = scratch.write(targets(sizes, weights, share, cap), "targets")
     budgets = goal.select("source", (F.col("target") - F.col("source_size") * (F.col("target") >= F.col("source_size")).cast("long")).alias("budget"))
-    cuts = thresholds(d, budgets, scratch)
-    plan = goal.join(_join_side(cuts.withColumnRenamed("source", "c_source"), scratch), F.col("source").eqNullSafe(F.col("c_source")), "left").select(
+    cuts = thresholds(docs, budgets, scratch)
+    return goal.join(_join_side(cuts.withColumnRenamed("source", "c_source"), scratch), F.col("source").eqNullSafe(F.col("c_source")), "left").select(
         F.col("source").alias("p_source"), "source_size", "target",
         (F.col("target") >= F.col("source_size")).cast("int").alias("whole"),
         # no bucket passes the budget: it holds the whole source
         F.coalesce(F.col("cut"), F.lit(1 << 60)).alias("cut"),
     )
-    out = d.join(_join_side(plan, scratch), F.col("source").eqNullSafe(F.col("p_source")))
-    epochs = F.least(F.col("whole") + (F.col("h") < F.col("cut")).cast("int"), F.lit(2))
+
+
+def _epochs(h: Column, whole: Column, cut: Column) -> Column:
+    return F.least(whole + (h < cut).cast("int"), F.lit(2))
+
+
+def _sized(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h")), "sizes")
+
+
+def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, epochs, taken): how often the mix takes each document.
+
+    ``epochs`` is 0, 1 or 2 and ``taken`` = size x epochs; a source's sum differs from its
+    target by half of one document at most.
+    """
+    d = _sized(docs, scratch, id_col, text_col, source_col)
+    out = d.join(_join_side(_plan(d, scratch, weights, share, cap), scratch), F.col("source").eqNullSafe(F.col("p_source")))
+    epochs = _epochs(F.col("h"), F.col("whole"), F.col("cut"))
     return out.select("doc_id", "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).alias("taken"))
+
+
+def take(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: not at all, once or twice.
+
+    The plan of a row's source and the hash of its id decide, so rows that repeat an id, and
+    rows without one, are taken like any other and no document is joined to another.
+    """
+    plan = _plan(_sized(docs, scratch, id_col, text_col, source_col), scratch, weights, share, cap)
+    # one struct, so that no column of the documents can clash with the plan's
+    plan = plan.select(F.struct("p_source", "whole", "cut").alias("_mix"))
+    epochs = _epochs(hash60(docs[id_col]), F.col("_mix.whole"), F.col("_mix.cut"))
+    out = docs.join(_join_side(plan, scratch), docs[source_col].eqNullSafe(F.col("_mix.p_source")))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), epochs))).select(*[docs[c] for c in docs.columns])

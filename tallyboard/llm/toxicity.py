@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
 
     Label rows with a null id or label are left out; a document with several label rows is
     toxic if one of them says so. The sample is chosen by a hash of the id and weighted
-    back to the classes' shares. Without labels of both classes the score is 0 everywhere.
+    back to the classes' shares. Without labels of both classes the score is below 1e-9 a sentence.
     The vocabulary is the ``vocab_size`` features whose document counts differ most between
     the classes, by ``min_z`` standard errors at least; equal texts count once. All that reaches the driver is bounded by these parameters.
     """
