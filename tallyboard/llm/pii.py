@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, rows_if_small
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
@@ -143,10 +143,13 @@ def revealing(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str =
     near = scratch.write(near, "near")
     pairs = scratch.write(near.groupBy("e", "term").agg(F.count_distinct("text_hash").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support), "pairs")
     total = found.select("text_hash").distinct().count()
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # all words, so that rows grow with the corpus and not with the list of terms as well
-    words = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    df = words.groupBy("term", "h").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # a text that m rows hold counts 1/m in each, so words add up within tasks before the shuffle
+    copies = scratch.write(found.groupBy("text_hash").agg(F.count("*").alias("m")).filter("m > 1"), "copies")
+    side = F.broadcast(copies) if rows_if_small(copies, 200_000) else copies
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text")).join(side, F.xxhash64("text") == F.col("text_hash"), "left")
+    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))).alias("term"), (F.lit(1.0) / F.coalesce("m", F.lit(1))).alias("share"))
+    df = words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t"))
     if pairs.isEmpty():  # no term to rate: the corpus need not be read
         df = pairs.select("term", F.lit(1).cast("long").alias("n_t"))
     n = F.lit(float(max(total, 2)))
