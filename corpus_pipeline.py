@@ -16,11 +16,23 @@ from tallyboard.llm.common import Scratch, crc_mod, shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+_before: dict[str, Scratch] = {}
+
+
+def _scratch(spark: SparkSession, sf_dir: str, name: str) -> Scratch:
+    """A stage's scratch tables. Those of the stage before go: its result has been written by now."""
+    old = _before.pop(sf_dir, None)
+    if old is not None and old.spark is spark:
+        old.clear()
+    _before[sf_dir] = Scratch(spark, name)
+    return _before[sf_dir]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from labels as in op9."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    model = toxicity.fit(docs, labels.filter(~held), Scratch(spark, "stage1"))
+    model = toxicity.fit(docs, labels.filter(~held), _scratch(spark, sf_dir, "stage1"))
     return toxicity.keep_clean(docs.select(*COLUMNS), model)
 
 
@@ -31,7 +43,7 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first row, of each group linked at 0.8 by five-word shingles."""
-    scratch = Scratch(spark, "stage2")
+    scratch = _scratch(spark, sf_dir, "stage2")
     rows = _numbered(docs, scratch)
     gone = simhash.similar_groups(rows, scratch, id_col="row").filter("group_id <> doc_id").select(F.col("doc_id").alias("row"))
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
@@ -39,7 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by their kind, revealing terms generalised or removed."""
-    scratch = Scratch(spark, "stage3")
+    scratch = _scratch(spark, sf_dir, "stage3")
     rows = _numbered(docs, scratch)
     found = pii.sanitise_spans(rows, scratch, id_col="row").filter("size(spans) > 0")
     found = found.select(F.col("doc_id").alias("f_row"), pii.bare(F.col("spans")).alias("spans"), "terms")
@@ -50,12 +62,12 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    return mixing.take(docs.select(*COLUMNS), Scratch(spark, "stage4"))
+    return mixing.take(docs.select(*COLUMNS), _scratch(spark, sf_dir, "stage4"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 1,024 tokens, with their ids (little-endian 32-bit)."""
-    return packing.pack(docs, Scratch(spark, "stage5"), tokens.vocabulary_path("byte_bpe_50k.json")).with_ids().select("doc_id", "start", "length", "sequence_id", "offset", "ids")
+    return packing.pack(docs, _scratch(spark, sf_dir, "stage5"), tokens.vocabulary_path("byte_bpe_50k.json")).with_ids().select("doc_id", "start", "length", "sequence_id", "offset", "ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("private data", mask_private), ("source mix", mix_sources), ("packing", pack_sequences)]

@@ -56,10 +56,16 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(table._scratch_path)
+
+    def clear(self) -> None:
+        """Removes all of it, once what reads it has been written elsewhere."""
+        self._delete(self.base)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batches(
