@@ -49,23 +49,33 @@ class Units(dict):
         self.enc, self.words = enc, {}
 
     def __missing__(self, unit) -> bytes:
-        text = unit if isinstance(unit, str) else unit.decode()
-        m = self.enc.shortcut and SIMPLE.fullmatch(text)
-        if m:
-            word = m[1] + (m[2].lower() if self.enc.drops_space else m[2])
+        word, marks = self._simple(unit) if self.enc.shortcut else (None, "")
+        if word is None:
+            ids = self.enc.whole(unit if isinstance(unit, str) else unit.decode())
+        else:
             ids = self.words.get(word)
             if ids is None:
                 ids = self.enc.word(word)
                 if len(self.words) < CACHE and len(word) <= LONGEST:
                     self.words[word] = ids
-            if m[3]:
-                ids += self.get(m[3]) or self.setdefault(m[3], self.enc.whole(m[3]))
-        else:
-            ids = self.enc.whole(text)
+            if marks:
+                ids += self.get(marks) or self.setdefault(marks, self.enc.whole(marks))
         if len(self) < CACHE and len(unit) <= LONGEST:
             self[unit] = ids
         return ids
 
+    def _simple(self, unit) -> tuple[str | None, str]:
+        """The word (with its space, in lower case if the vocabulary wants it) and its punctuation."""
+        if isinstance(unit, bytes):
+            bare = unit.rstrip(b".,;:!?")
+            if bare.isalpha():  # of bytes: ASCII letters only
+                return bare.lower().decode(), unit[len(bare) :].decode()
+            unit = unit.decode()
+        m = SIMPLE.fullmatch(unit)
+        if not m:
+            return None, ""
+        return (m[1] + m[2].lower() if self.enc.drops_space else m[1] + m[2]), m[3]
+
 
 class Encoder:
     """Encodes texts to ids; ``drops_space``: the vocabulary lower-cases and ignores white space."""
@@ -89,11 +99,18 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """One word's ids from the library's model, given the bytes as its alphabet has them."""
-        return array(self.dtype.char, [t.id for t in self.tok.model.tokenize(word.translate(self.letters))]).tobytes()
+        if not word.isascii():
+            word = word.translate(self.letters)
+        elif word[0] == " ":
+            word = self.letters[32] + word[1:]
+        return array(self.dtype.char, [t.id for t in self.tok.model.tokenize(word)]).tobytes()
 
     def _split(self, text: str) -> list:
         if self.drops_space:
             return text.encode().split()  # ASCII white space only: other kinds are the library's to judge
+        words = text.split()
+        if " ".join(words) == text:
+            return [words[0], *[" " + x for x in words[1:]]]
         if re.search(r"\s[ ]|[ ]\s|[ ]$", text):
             return re.split(r"(?<=\S)(?= \S)", text)  # cut before single spaces only
         head, *rest = text.split(" ")
