@@ -108,14 +108,30 @@ class Encoder:
     def _split(self, text: str) -> list:
         if self.drops_space:
             return text.encode().split()  # ASCII white space only: other kinds are the library's to judge
-        words = text.split()
-        if " ".join(words) == text:
-            return [words[0], *[" " + x for x in words[1:]]]
+        lines = [(x, x.split()) for x in text.split("\n")]
+        if all(" ".join(words) == x for x, words in lines):
+            return self._plain(lines)
         if re.search(r"\s[ ]|[ ]\s|[ ]$", text):
             return re.split(r"(?<=\S)(?= \S)", text)  # cut before single spaces only
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
 
+    @staticmethod
+    def _plain(lines: list[tuple[str, list[str]]]) -> list[str]:
+        """Units of lines whose words are one space apart. Of a run of line ends before a word the last stands alone."""
+        out, ends = [], -1
+        for _, words in lines:
+            ends += 1
+            if words:
+                if ends > 1:
+                    out.append("\n" * (ends - 1))
+                if ends:
+                    out.append("\n")
+                out.append(words[0])
+                out += [" " + x for x in words[1:]]
+                ends = 0
+        return [*out, "\n" * ends] if ends > 0 else out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``; none for null."""
         get = self.units.__getitem__
