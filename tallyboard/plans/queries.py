@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import texts as T
 from ..operators import board as B
 from ..operators import events as E
 from ..sources import adapters as A
@@ -126,6 +127,17 @@ def delivery(spark, sf_dir):
     return t.select("id", S.delivery_assignee(F.col("kind"), F.col("author"), F.col("assignee")).alias("assignee"), S.delivery_error(F.col("kind"), F.col("author")).alias("error"), F.concat(F.lit("[#"), "id", F.lit("] "), "version").alias("commit_message"))
 
 
+def delivery_message(spark, sf_dir):
+    to = S.delivery_assignee(F.col("kind"), F.col("author"), F.col("assignee"))
+    return A.tickets(spark, sf_dir).select("id", T.delivery_message(F.col("kind"), to).alias("message"))
+
+
+def strip_labels(spark, sf_dir):
+    d, i = A.table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    lead = F.when(i == 0, "引用\n描述\n").when(i == 1, " 描述 \n\n").when(i == 2, "引用\r\n").otherwise("")
+    return d.select("doc_id", T.strip_labels(F.concat(lead, F.lit("of "), "source")).alias("text"))
+
+
 def strip_page_param(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", S.without_page(F.col("url")).alias("url"))
 
@@ -185,7 +197,7 @@ QUERIES = {
     "board_filtered": _board(view="processing", kind="Bug", priority="紧急", project="BUILDING"), "board_by_version": _board(status="新建", sort="version"), "board_by_updated": _board(status="处理中", sort="updated"),
     **{f.__name__: f for f in (
         normalize_tickets, board_search, project_counts, view_counts, repo_counts, versions_distinct, projects_first, display_status, active_item, detail_item, dedup_first, sync_new, sync_retained,
-        sync_merged, upsert_items, delete_rows, delivered_state, detail_enriched, item_ticket, item_repository, delivery, strip_page_param, report_sections, parse_dates, updated_text, parse_events,
+        sync_merged, upsert_items, delete_rows, delivered_state, detail_enriched, item_ticket, item_repository, delivery, delivery_message, strip_labels, strip_page_param, report_sections, parse_dates, updated_text, parse_events,
         final_message, visible_logs, liveness, stage_history_invalid, recoverable_jobs,
     )},
 }
@@ -248,6 +260,8 @@ ORACLE_SQL = {
     "item_ticket": _BOTH + " SELECT id, project, count(*) AS n_items FROM items JOIN tickets ON ticket_id = id GROUP BY id, project",
     "item_repository": f"WITH {_TICKETS}, {_REPOS}, best AS (SELECT project, path FROM repos QUALIFY row_number() OVER (PARTITION BY project ORDER BY is_default DESC, position) = 1) SELECT id, path FROM tickets LEFT JOIN best USING (project)",
     "delivery": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '' WHEN kind IN ('Bug', '支持') THEN coalesce(author, '') ELSE assignee END AS assignee, CASE WHEN kind IN ('Bug', '支持') AND author IS NULL THEN 'missingTicketAuthor' END AS error, '[#' || id || '] ' || version AS commit_message FROM tickets",
+    "delivery_message": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '工单已转为待测试，负责人保持不变' WHEN kind IN ('Bug', '支持') THEN CASE WHEN coalesce(author, '') = '' THEN '工单已转为待测试，未获取到创建人，负责人保持不变' ELSE '工单已转为待测试并转交给创建人 ' || author END WHEN coalesce(assignee, '') = '' THEN '工单已转为待测试，负责人保持不变' ELSE '工单已转为待测试并转交给 ' || assignee END AS message FROM tickets",
+    "strip_labels": "SELECT doc_id, 'of ' || source AS text FROM documents",
     "strip_page_param": r"SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page(=|&|#|$)') THEN regexp_replace(regexp_replace(regexp_replace(url, '([?&])page(=[^&#]*)?(&|$)', '\1'), '[?&]$', ''), '[?&]#', '#') ELSE url END AS url FROM pages",
     "report_sections": "SELECT doc_id, source AS summary, lang || '|b' AS tests FROM documents",
     "parse_dates": f"SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 2 THEN TIMESTAMP '{NOW}' WHEN 0 THEN date_trunc('minute', o_orderdate) ELSE date_trunc('second', o_orderdate) END AS at FROM orders",
