@@ -1,139 +1,176 @@
-"""Language-model scores by stupid backoff over bigrams of a bounded vocabulary.
+"""Language-model scores by stupid backoff over bigrams of all words.
 
 S(w | v) = c(v w) / c(v) where the bigram occurs outside the document that is scored, else
 0.4 c(w) / N. The document's own occurrences of the bigram are taken from both counts, so
-that a text is no evidence for itself. Words outside the ``vocabulary`` most frequent ones
-are one word, ``<unk>``; a document starts after ``<s>``. Unigram counts are therefore
-bounded and broadcast. Bigrams (the rows that grow with the corpus) are partitioned by hash:
-each partition is the count table of its bigrams, joined there to the documents' own rows,
-and the sums go back to the documents.
+that a text is no evidence for itself. A document starts after ``<s>``. No word and no bigram
+is left out of the counts; both are keyed by 64-bit hashes.
+
+Texts are dealt into blocks of bounded size. A block's words and bigrams are added up within
+it, so that a key, however common, has one count a block. The counts are partitioned by hash
+into buckets of bounded size, whose number follows the corpus, and added up there over all
+blocks. The sums go back to each block in the order of its keys, where the texts are read
+again and scored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, mix64
 
 BACKOFF = 0.4
-#: Bigram rows in one partition.
-ROWS = 2_000_000
+#: Characters of text in one block; a longer text is a block of its own.
+BLOCK_CHARS = 4 << 20
+COUNTS = "bucket long, block long, k binary, n binary"
 
 
 def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, n): how often each word of all texts occurs; words as binary."""
+def _tally(texts: list[str | None]):
+    """Keys and counts of a block: words (``<s>`` first), bigrams; and by token: text, word before, word, bigram."""
+    ids = {b"": 0}
+    number = ids.setdefault
+    seqs = [np.array([number(x, len(ids)) for x in _words(t)], np.int64) for t in texts]
+    lens = np.array([len(s) for s in seqs], np.int64)
+    w = np.concatenate([np.zeros(0, np.int64), *seqs])
+    v = np.concatenate([[0], w[:-1]])[: len(w)]
+    v[(np.cumsum(lens) - lens)[lens > 0]] = 0
+    word_n = np.bincount(w, minlength=len(ids))
+    word_n[0] = len(texts)
+    word_k = np.fromiter((xxhash.xxh64_intdigest(x) for x in ids), np.uint64, len(ids))
+    grams, at, gram_n = np.unique(v << 32 | w, return_inverse=True, return_counts=True)
+    first, last = grams >> 32, grams & 0xFFFFFFFF
+    gram_k = mix64(word_k[first] * np.uint64(0x9E3779B97F4A7C15) + mix64(word_k[last], 1), 2)
+    return np.concatenate([word_k, gram_k]), np.concatenate([word_n, gram_n]), len(ids), first, last, np.repeat(np.arange(len(texts)), lens), at, lens
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, all first bytes first: shuffles compress the bytes that are mostly zero."""
+    return x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _steps(sorted_keys: np.ndarray) -> bytes:
+    return _planes(np.diff(sorted_keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def _from_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(b).view(np.uint64), dtype=np.uint64)
+
+
+def _zip_texts(texts: list[str | None]) -> bytes:
+    import zlib
+
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    return zlib.compress(np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts), 1)
+
+
+def _unzip_texts(blob: bytes, n: int) -> list[str]:
+    import zlib
+
+    raw = zlib.decompress(blob)
+    ends = 8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], np.int64))
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([8 * n, *ends[:-1]], ends)]
+
+
+def deal_blocks(docs: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, ids, texts, chars, words): the rows of (doc_id, text) in blocks, texts compressed."""
 
     def run(stream):
-        seen: Counter = Counter()
+        block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def emit():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
-            seen.clear()
-            return batch
+            n = sum(len(_words(t)) for t in texts)
+            return pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "texts": _zip_texts(texts), "chars": held, "words": n}], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("chars", pa.int64()), ("words", pa.int64())]))
 
         for b in stream:
-            for t in b.column(0).to_pylist():
-                seen.update(_words(t))
-                if len(seen) > 300_000:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                size = len(text) if text else 0
+                if ids and held + size > block_chars:
                     yield emit()
-        if seen:
+                    block, ids, texts, held = block + 1, [], [], 0
+                ids.append(doc)
+                texts.append(text)
+                held += size
+        if ids:
             yield emit()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return scratch.write(docs.mapInArrow(run, "block long, ids array<long>, texts binary, chars long, words long"), "blocks")
 
 
-def vocabulary(counts: DataFrame, most: int) -> tuple[dict[bytes, int], np.ndarray, int]:
-    """Word numbers, counts by number (``<unk>`` and ``<s>`` last) and the words in all.
-
-    The words are those at or above the least count that at most ``most`` words reach.
-    """
-    step = F.least("n", F.lit(1 << 20))
-    hist = counts.groupBy(step.alias("n")).agg(F.count("*").alias("words"), F.sum(F.col("n")).alias("total")).toPandas().sort_values("n", ascending=False)  # 2^20 rows at most
-    fits = hist["words"].cumsum() <= most
-    least = int(hist["n"][fits].min()) if fits.any() else 1 << 62
-    top = counts.filter(F.col("n") >= least).orderBy("w").toPandas()
-    total = int(hist["total"].sum()) if len(hist) else 0
-    known = np.append(top["n"].to_numpy(np.int64), [max(total - int(top["n"].sum()), 0), 0])
-    return {bytes(w): i for i, w in enumerate(top["w"])}, known, total
-
+def count_blocks(blocks: DataFrame, bits: int) -> DataFrame:
+    """COUNTS: the keys of each block in 2^bits buckets by hash, each key once, with its count in the block."""
 
-def _bigrams(words, known_ids):
-    unk, start = len(known_ids), len(known_ids) + 1
-    w = np.array([known_ids.get(x, unk) for x in words], np.int64)
-    return np.concatenate([[start], w[:-1]]) << 24 | w
-
-
-def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 18) -> DataFrame:
+    def run(stream):
+        for b in stream:
+            for block, ids, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                keys, counts, *_ = _tally(_unzip_texts(blob, len(ids)))
+                order = np.argsort(keys)
+                keys, counts = keys[order], counts[order]
+                of = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                for at in range(0, len(spans), 1000):
+                    some = spans[at : at + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array(of[[i for i, _ in some]]), pa.array(np.full(len(some), block, np.int64)), pa.array([_steps(keys[i:j]) for i, j in some], pa.binary()), pa.array([_planes(counts[i:j]) for i, j in some], pa.binary())], ["bucket", "block", "k", "n"])
+
+    return blocks.select("block", "ids", "texts").mapInArrow(run, COUNTS)
+
+
+def _add_up(bucket: pa.Table) -> pa.Table:
+    """The counts over all blocks of the bucket's keys, for each block in the order of its keys."""
+    parts = [_from_steps(k) for k in bucket.column("k").to_pylist()]
+    n = np.concatenate([_from_planes(x) for x in bucket.column("n").to_pylist()])
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    whole = np.bincount(at, n, len(keys)).astype(np.int64)[at]
+    ends = np.cumsum([len(p) for p in parts])
+    return pa.table({"bucket": bucket.column("bucket"), "block": bucket.column("block"), "c": pa.array([_planes(whole[end - len(p) : end]) for p, end in zip(parts, ends)], pa.binary())})
+
+
+def _score_block(total: int):
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        ids = texts.column("ids")[0].as_py()
+        keys, _, n_words, first, last, doc, at, lens = _tally(_unzip_texts(texts.column("texts")[0].as_py(), len(ids)))
+        # buckets follow the order of the keys
+        c = np.zeros(len(keys), np.int64)
+        c[np.argsort(keys)] = np.concatenate([_from_planes(x) for x in counts.sort_by("bucket").column("c").to_pylist()])
+        # occurrences of each bigram in each text
+        pair, tf = np.unique(doc * max(len(first), 1) + at, return_counts=True)
+        d, g = pair // max(len(first), 1), pair % max(len(first), 1)
+        c_gram, c_first, c_last = c[n_words + g] - tf, c[first[g]] - tf, c[last[g]]
+        seen = c_gram > 0
+        s = np.where(seen, np.log(np.maximum(c_gram, 1) / np.maximum(c_first, 1)), np.log(BACKOFF * np.maximum(c_last, 1) / max(total, 1)))
+        sums, backs = np.bincount(d, s * tf, len(lens)), np.bincount(d, np.where(seen, 0, tf), len(lens)).astype(np.int64)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "s": pa.array(sums), "b": pa.array(backs), "n": pa.array(lens)})
+
+    return run
+
+
+def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, n_backoff, log_score, score) of every id.
 
     ``log_score`` is the sum of log S over the words, ``score`` its mean. Words are runs of
     characters other than ASCII white space, A-Z in lower case. A null, empty or blank text
     has no words and scores 0. Rows that repeat an id are one document; null ids are one, too.
     """
-    if most_words >= 1 << 24:
-        raise ValueError("most_words must be below 2^24")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = scratch.write(count_words(d), "words")
-    ids, known, total = vocabulary(counts, most_words)
-    scratch.drop(counts)
-    known[-1] = d.count()
-    context = docs.sparkSession.sparkContext.broadcast((ids, known, total))  # most_words words
-
-    def explode(stream):
-        known_ids = context.value[0]
-        for b in stream:
-            keys, docs_, tfs, held = [], [], [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = _words(text)
-                # one row for the document itself, dealt over many keys
-                k, n = np.unique(_bigrams(words, known_ids), return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                keys += [k, [-1 - (doc or 0) % 4096]]
-                tfs += [n, [len(words)]]
-                docs_.append((doc, len(k) + 1))
-                held += len(k) + 1
-                if held > 500_000:
-                    yield _batch(keys, docs_, tfs)
-                    keys, docs_, tfs, held = [], [], [], 0
-            if held:
-                yield _batch(keys, docs_, tfs)
-
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total * 0.95) // ROWS + 1)
-    rows = d.mapInArrow(explode, "g long, doc_id long, tf int").repartition(parts, "g")
-
-    def join(stream):
-        _, known, total = context.value
-        got = [b for b in stream if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        g, tf = table.column("g").to_numpy(), table.column("tf").to_numpy().astype(np.int64)
-        ids_, doc = np.unique(table.column("doc_id").to_pandas().fillna(-(1 << 63)).to_numpy().astype(np.int64), return_inverse=True)
-        keys, at = np.unique(g, return_inverse=True)
-        c = np.bincount(at, tf, len(keys)).astype(np.int64)[at] - tf
-        gram = g >= 0
-        v, w = np.where(gram, g >> 24, 0), np.where(gram, g & 0xFFFFFF, 0)
-        seen = gram & (c > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(seen, np.log(c / np.maximum(known[v] - tf, 1)), np.log(BACKOFF * np.maximum(known[w], 1) / max(total, 1)))
-        sums = np.bincount(doc, np.where(gram, s * tf, 0.0), len(ids_))
-        backs = np.bincount(doc, np.where(gram & ~seen, tf, 0), len(ids_)).astype(np.int64)
-        n = np.bincount(doc, np.where(gram, 0, tf), len(ids_)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids_), pa.array(sums), pa.array(backs), pa.array(n)], ["doc_id", "s", "b", "n"])
-
-    out = rows.mapInArrow(join, "doc_id long, s double, b long, n long").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("b").alias("n_backoff"), F.round(F.sum("s"), 6).alias("log_score"))
-    score = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
-    return out.withColumn("score", score).withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
-
-
-def _batch(keys, docs_, tfs) -> pa.RecordBatch:
-    who = pa.array([x for x, _ in docs_], pa.int64()).take(pa.array(np.repeat(np.arange(len(docs_)), [n for _, n in docs_])))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), who, pa.array(np.concatenate(tfs).astype(np.int32))], ["g", "doc_id", "tf"])
+    blocks = deal_blocks(d, scratch, block_chars)
+    chars, total = blocks.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    # a bucket has about as many keys as a block of 4 Mi characters
+    bits = max(6, math.ceil(math.log2(max(chars, 1) / BLOCK_CHARS)))
+    whole = count_blocks(blocks, bits).groupBy("bucket").applyInArrow(_add_up, "bucket long, block long, c binary")
+    rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(_score_block(total), "doc_id long, s double, b long, n long")
+    out = rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("b").alias("n_backoff"), F.round(F.sum("s"), 6).alias("log_score"))
+    return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0))

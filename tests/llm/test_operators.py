@@ -196,6 +196,14 @@ def test_backoff_scores(some_docs, scratch):
         assert got[i]["log_score"] == pytest.approx(s, abs=1e-4) and got[i]["score"] == pytest.approx(s / n if n else 0.0, abs=1e-4)
 
 
+def test_backoff_counts_every_word(spark, scratch):
+    # 300,000 words that occur once each: no bigram is seen elsewhere, so all tokens back off
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(10_000))) for i in range(30)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
+    assert len(got) == 30 and all((r["n_tokens"], r["n_backoff"]) == (10_000, 10_000) for r in got)
+    assert all(r["score"] == pytest.approx(math.log(0.4 / 300_000), abs=1e-6) for r in got)
+
+
 def test_fingerprints_of_edited_texts(some_docs):
     got = chunks.compare_with_edits(some_docs).collect()
     rows = sorted(rows_of(some_docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
