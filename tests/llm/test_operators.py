@@ -204,6 +204,20 @@ def test_backoff_counts_every_word(spark, scratch):
     assert all(r["score"] == pytest.approx(math.log(0.4 / 300_000), abs=1e-6) for r in got)
 
 
+def test_a_hot_bigram_has_one_count_a_block(spark, scratch):
+    rows = [(i, f"the the a{i} b{i}") for i in range(3_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    blocks = lm.deal_blocks(d, scratch, block_chars=9_000)
+    n = blocks.count()
+    counts = lm.count_blocks(blocks, 6).collect()
+    keys = Counter(k for r in counts for k in lm._from_steps(r["k"]).tolist())
+    assert 3 < n < 10 and max(keys.values()) == n
+    got = lm.score(d, scratch, block_chars=9_000).collect()
+    # <s> the, the the: 2,999 others; a and b back off
+    s = math.log(2_999 / 2_999) + math.log(2_999 / 5_999) + 2 * math.log(0.4 / 12_000)
+    assert len(got) == 3_000 and all((r["n_tokens"], r["n_backoff"], r["log_score"]) == (4, 2, pytest.approx(s, abs=1e-5)) for r in got)
+
+
 def test_fingerprints_of_edited_texts(some_docs):
     got = chunks.compare_with_edits(some_docs).collect()
     rows = sorted(rows_of(some_docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
