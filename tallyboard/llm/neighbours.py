@@ -3,9 +3,9 @@
 1. Equal vectors become one class. A forest of random hyperplanes gives each class a first
    list of neighbours (all pairs of a leaf are compared).
 2. NN-descent: the neighbours of each class meet one another, better ones enter the lists.
-   Lists hold ``k``; one whose members all are links is saturated and may grow to ``4 k``.
-   Neighbours beyond twice the threshold angle are left out: two within the threshold of a
-   common neighbour are never that far apart.
+   Lists hold the ``k`` best whatever their cosine; one whose members all are links is
+   saturated and may grow to ``4 k``. It ends when fewer than ``settled`` of all entries
+   are new.
 3. Audit: a bounded sample of classes is compared with all vectors in blocks. Where fewer
    than ``recall`` of its links lie within one component, more trees are grown.
 4. Within each component all pairs are compared exactly in double precision, tile by tile;
@@ -35,14 +35,14 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.multiply.outer(np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1)))
 
 
-def _tops(ids_a, ids_b, sim, k: int, floor: float, threshold: float):
+def _tops(ids_a, ids_b, sim, k: int, threshold: float):
     """Edges (u, v, sim): for each u its best, and links that span its group."""
     sim = np.where(ids_a[:, None] == ids_b[None, :], -2, sim)
     u, v, s = [], [], []
     n = min(k, sim.shape[1])
     best = np.argpartition(-sim, n - 1, axis=1)[:, :n]
     r, c = np.repeat(np.arange(len(ids_a)), n), best.ravel()
-    keep = sim[r, c] >= floor
+    keep = sim[r, c] > -2
     u.append(ids_a[r[keep]]), v.append(ids_b[c[keep]]), s.append(sim[r, c][keep])
     a, b = np.nonzero(sim >= threshold)
     if len(a):
@@ -51,7 +51,7 @@ def _tops(ids_a, ids_b, sim, k: int, floor: float, threshold: float):
     return np.concatenate(u), np.concatenate(v), np.concatenate(s)
 
 
-def _compare(keys: list[str], k: int, floor: float, threshold: float):
+def _compare(keys: list[str], k: int, threshold: float):
     """mapInPandas over sorted groups: edges between the members of each."""
 
     def run(frames):
@@ -63,9 +63,9 @@ def _compare(keys: list[str], k: int, floor: float, threshold: float):
                 a, b = (side[i:j] & 1) > 0, (side[i:j] & 2) > 0
                 if j - i > 1 and a.any() and b.any():
                     sim = _cosine(vec[i:j][a], vec[i:j][b])
-                    got.append(_tops(ids[i:j][a], ids[i:j][b], sim, k, floor, threshold))
+                    got.append(_tops(ids[i:j][a], ids[i:j][b], sim, k, threshold))
                     if not (side[i:j] == 3).all():
-                        got.append(_tops(ids[i:j][b], ids[i:j][a], sim.T, k, floor, threshold))
+                        got.append(_tops(ids[i:j][b], ids[i:j][a], sim.T, k, threshold))
             if got:
                 yield pd.DataFrame({"u": np.concatenate([x[0] for x in got]), "v": np.concatenate([x[1] for x in got]), "sim": np.concatenate([x[2] for x in got])})
 
@@ -75,7 +75,7 @@ def _compare(keys: list[str], k: int, floor: float, threshold: float):
 EDGES = "u long, v long, sim double"
 
 
-def _forest(classes: DataFrame, first: int, trees: int, scratch: Scratch, k: int, floor: float, threshold: float) -> DataFrame:
+def _forest(classes: DataFrame, first: int, trees: int, scratch: Scratch, k: int, threshold: float) -> DataFrame:
     """Edges from the leaves of ``trees`` trees; a leaf is a sign pattern of as many planes as the label's size asks."""
 
     def leaves(frames):
@@ -95,7 +95,7 @@ def _forest(classes: DataFrame, first: int, trees: int, scratch: Scratch, k: int
     rows = by_dim.select(F.xxhash64("tree", "label", "code", "dim").alias("leaf"), F.lit(0).alias("level"), "node", "vec")
     rows = scratch.write(rows, "leaves")
     units = dealt(rows, "leaf", "level", "node", TILE, scratch).select("leaf", "pair", "node", "vec", "side")
-    return scratch.write(units.repartition("leaf", "pair").sortWithinPartitions("leaf", "pair").mapInPandas(_compare(["leaf", "pair"], k, floor, threshold), EDGES), "forest")
+    return scratch.write(units.repartition("leaf", "pair").sortWithinPartitions("leaf", "pair").mapInPandas(_compare(["leaf", "pair"], k, threshold), EDGES), "forest")
 
 
 def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -106,11 +106,11 @@ def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     return both.withColumn("r", r).filter((F.col("r") <= k) | ((F.col("r") <= 4 * k) & (F.col("sim") >= threshold))).drop("r")
 
 
-def _descend(lists: DataFrame, classes: DataFrame, scratch: Scratch, k: int, floor: float, threshold: float) -> DataFrame:
+def _descend(lists: DataFrame, classes: DataFrame, scratch: Scratch, k: int, threshold: float) -> DataFrame:
     """Edges between the neighbours of each node, at most ``4 k + 1`` of them."""
     members = lists.select(F.col("u").alias("hub"), F.col("v").alias("member")).unionByName(lists.select(F.col("u").alias("hub"), F.col("u").alias("member")).distinct())
     rows = members.join(classes.select(F.col("node").alias("member"), "vec"), "member").select("hub", F.col("member").alias("node"), "vec", F.lit(3).alias("side"))
-    return scratch.write(rows.repartition("hub").sortWithinPartitions("hub").mapInPandas(_compare(["hub"], k, floor, threshold), EDGES), "descent")
+    return scratch.write(rows.repartition("hub").sortWithinPartitions("hub").mapInPandas(_compare(["hub"], k, threshold), EDGES), "descent")
 
 
 def _audit(classes: DataFrame, sample: int, threshold: float, scratch: Scratch) -> DataFrame:
@@ -158,7 +158,7 @@ def _exact(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, k: int = 10, trees: int = 8, rounds: int = 2, recall: float = 0.999, sample: int = 256, most_forests: int = 6, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, k: int = 10, trees: int = 8, settled: float = 0.001, recall: float = 0.999, sample: int = 256, most_forests: int = 6, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows whose label or vector is null, or whose vector is empty, zero or holds null or
@@ -176,16 +176,23 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
     classes = scratch.write(classes, "classes")
     per = classes.groupBy("label").agg(F.count("*").alias("n"))
     sized = scratch.write(classes.join(per, "label"), "sized")
-    floor = 2 * threshold * threshold - 1
+    n_classes = classes.count()
     truth = _audit(classes, sample, threshold, scratch)
     n_truth = truth.count()
     edges, links = None, truth.select("u", "v")
     for forest in range(most_forests):
-        found = _forest(sized, forest * trees, trees, scratch, k, floor, threshold)
-        edges = found if edges is None else scratch.write(edges.unionByName(found), "all-edges")
-        for _ in range(rounds):
-            better = _descend(scratch.write(_lists(edges, k, threshold), "lists"), classes, scratch, k, floor, threshold)
-            edges = scratch.write(edges.unionByName(better).groupBy("u", "v").agg(F.max("sim").alias("sim")), "refined")
+        found = _forest(sized, forest * trees, trees, scratch, k, threshold)
+        edges = found if edges is None else edges.unionByName(found)
+        lists = scratch.write(_lists(edges, k, threshold), "lists")
+        while True:
+            better = edges.filter(F.isnan("sim")).unionByName(_descend(lists, classes, scratch, k, threshold))
+            # the links of a list that holds 4 k of them are spanned by the edges without a cosine
+            edges = scratch.write(better.unionByName(lists), "refined")
+            old, lists = lists, scratch.write(_lists(edges, k, threshold), "lists")
+            new = lists.join(old, ["u", "v"], "left_anti").count()
+            edges = scratch.write(edges.filter("isnan(sim)").select("u", "v").distinct().withColumn("sim", F.lit(float("nan"))).unionByName(lists), "kept")
+            if new <= settled * n_classes * k:
+                break
         own = edges.filter(F.isnan("sim") | (F.col("sim") >= threshold - 1e-6)).select("u", "v")
         parts = connected_components(own, scratch)
         parts = scratch.write(parts, "parts")

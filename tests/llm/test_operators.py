@@ -306,3 +306,18 @@ def test_near_vectors(spark, scratch):
     got = neighbours.near_vectors(df.withColumn("node", F.lit("clash")), scratch).collect()
     assert {tuple(r) for r in got} == {(i, n[i], comp[i], i == comp[i]) for i, *_ in rows}
     assert neighbours.near_vectors(df.limit(0), scratch).count() == 0
+
+
+def test_descent_walks_neighbours_below_the_threshold(spark, scratch):
+    # pairs at cosine 0.97 among strangers; a pair may part in both of two trees
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((2, 1_000, 6))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.97 * a + math.sqrt(1 - 0.97**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    m = np.concatenate([a, b]).astype(np.float32).astype(float)
+    d = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(m)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_vectors(d, scratch, threshold=0.969, trees=2, sample=1, most_forests=1).collect()}
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    want = ((u @ u.T) >= 0.969).sum(axis=1) - 1
+    assert sum(got[i] == n for i, n in enumerate(want)) >= 0.97 * len(m)
