@@ -6,8 +6,11 @@
    Lists hold the ``k`` best whatever their cosine; one whose members all are links is
    saturated and may grow to ``4 k``. It ends when fewer than ``settled`` of all entries
    are new.
-3. Audit: a bounded sample of classes is compared with all vectors in blocks. Where fewer
-   than ``recall`` of its links lie within one component, more trees are grown.
+3. Audit: a sample of classes is compared with all vectors in blocks. It doubles until it
+   holds enough classes with few links (``k`` at most), or is all classes. Where the share
+   of those whose links all lie within one component is below ``recall``, or that of all
+   others' links is, more trees are grown; after the last forest the classes that are not
+   in the sample are compared with all vectors, too.
 4. Within each component all pairs are compared exactly in double precision, tile by tile;
    that confirms links and counts those that no list could hold.
 """
@@ -113,11 +116,18 @@ def _descend(lists: DataFrame, classes: DataFrame, scratch: Scratch, k: int, thr
     return scratch.write(rows.repartition("hub").sortWithinPartitions("hub").mapInPandas(_compare(["hub"], k, threshold), EDGES), "descent")
 
 
-def _audit(classes: DataFrame, sample: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """(u, v): all links of about ``sample`` classes, by comparison with every vector."""
-    n = classes.count()
-    some = classes.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(max(1, n // max(1, sample)))) == 0).limit(4 * sample).select("node", "label", "vec").toPandas()
-    shared = classes.sparkSession.sparkContext.broadcast(some)  # 4 x sample vectors at most
+#: Classes of the audit that are compared in one pass, and those with few links that it looks for.
+PASS, ENOUGH = 4096, 64
+
+
+def _audit(classes: DataFrame, first: int, end: int, of: int, k: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links of the classes in slices ``first`` to ``end`` of ``of``, by comparison with every vector.
+
+    (u, v, n): n links of u where v is null. Of a class with at most ``k`` links in a batch
+    all are returned, of others some that span them.
+    """
+    some = classes.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(of)).between(first, end - 1)).select("node", "label", "vec").toPandas()
+    shared = classes.sparkSession.sparkContext.broadcast(some)  # about PASS vectors at most
 
     def run(frames):
         for pdf in frames:
@@ -125,11 +135,32 @@ def _audit(classes: DataFrame, sample: int, threshold: float, scratch: Scratch)
                 q = shared.value
                 q = q[(q["label"] == label) & (q["vec"].map(len) == dim)]
                 if len(q) and len(g):
-                    r, c = np.nonzero(_cosine(_matrix(q["vec"]), _matrix(g["vec"])) >= threshold)
-                    u, v = q["node"].to_numpy()[r], g["node"].to_numpy()[c]
-                    yield pd.DataFrame({"u": u[u != v], "v": v[u != v]})
+                    a, b = q["node"].to_numpy(), g["node"].to_numpy()
+                    link = (_cosine(_matrix(q["vec"]), _matrix(g["vec"])) >= threshold) & (a[:, None] != b[None, :])
+                    n = link.sum(axis=1)
+                    r, c = np.nonzero(link & (n <= k)[:, None])
+                    x, y = np.nonzero(link & (n > k)[:, None])
+                    x, y = spanning(a[x], b[y]) if len(x) else (a[:0], a[:0])
+                    u, v = np.concatenate([a[r], x]), np.concatenate([b[c], y])
+                    yield pd.DataFrame({"u": u, "v": pd.array(v, "Int64"), "n": 0})
+                    yield pd.DataFrame({"u": a[n > 0], "v": pd.array([pd.NA] * int((n > 0).sum()), "Int64"), "n": n[n > 0]})
+
+    return scratch.write(classes.select("node", "label", "vec").mapInPandas(run, "u long, v long, n long"), "audit")
 
-    return scratch.write(classes.select("node", "label", "vec").mapInPandas(run, "u long, v long"), "audit")
+
+def _few(truth: DataFrame, k: int) -> DataFrame:
+    """The audited classes with 1 to ``k`` links."""
+    return truth.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("n")).filter(F.col("n") <= k).select("u")
+
+
+def _found(truth: DataFrame, parts: DataFrame, k: int, recall: float) -> bool:
+    """Whether enough classes with few links, and enough of the other links, lie within components."""
+    of = truth.filter("v IS NOT NULL").select("u", "v").join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    of = of.withColumn("hit", F.coalesce(F.col("cu") == F.col("cv"), F.lit(False)).cast("int"))
+    few = _few(truth, k)
+    n, hit = of.join(few, "u", "left_semi").groupBy("u").agg(F.min("hit").alias("hit")).agg(F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))).first()
+    m, more = of.join(few, "u", "left_anti").agg(F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))).first()
+    return hit >= recall * n and more >= recall * m
 
 
 def _exact(threshold: float):
@@ -177,9 +208,18 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
     per = classes.groupBy("label").agg(F.count("*").alias("n"))
     sized = scratch.write(classes.join(per, "label"), "sized")
     n_classes = classes.count()
-    truth = _audit(classes, sample, threshold, scratch)
-    n_truth = truth.count()
-    edges, links = None, truth.select("u", "v")
+    slices, at = max(1, -(-n_classes // max(1, sample))), 0
+    wide = max(1, PASS // max(1, sample))
+    truth, edges = None, None
+    while at < slices:
+        end = min(slices, at + max(1, min(at, wide)))
+        more = _audit(classes, at, end, slices, k, threshold, scratch)
+        truth, at = more if truth is None else truth.unionByName(more), end
+        if _few(truth, k).count() >= ENOUGH:
+            break
+    if truth is None:
+        truth = _audit(classes, 0, 0, 1, k, threshold, scratch)
+    truth = scratch.write(truth, "truth")
     for forest in range(most_forests):
         found = _forest(sized, forest * trees, trees, scratch, k, threshold)
         edges = found if edges is None else edges.unionByName(found)
@@ -196,10 +236,13 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
         own = edges.filter(F.isnan("sim") | (F.col("sim") >= threshold - 1e-6)).select("u", "v")
         parts = connected_components(own, scratch)
         parts = scratch.write(parts, "parts")
-        a, b = parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        hit = truth.join(a, "u").join(b, "v").filter("cu = cv").count()
-        if hit >= recall * n_truth:
+        if _found(truth, parts, k, recall):
             break
+    else:  # the rest exactly
+        while at < slices:
+            end = min(slices, at + wide)
+            truth, at = truth.unionByName(_audit(classes, at, end, slices, k, threshold, scratch)), end
+    links = truth.filter("v IS NOT NULL").select("u", "v")
     parts = connected_components(own.unionByName(links), scratch)
     inside = sized.join(parts.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node")).select(F.col("component").alias("comp"), "node", "vec", "size", F.lit(0).alias("level"))
     inside = scratch.write(inside, "inside")

@@ -321,3 +321,15 @@ def test_descent_walks_neighbours_below_the_threshold(spark, scratch):
     u = m / np.linalg.norm(m, axis=1)[:, None]
     want = ((u @ u.T) >= 0.969).sum(axis=1) - 1
     assert sum(got[i] == n for i, n in enumerate(want)) >= 0.97 * len(m)
+
+
+def test_audit_counts_isolated_pairs_and_the_rest_is_exact(spark, scratch):
+    # a hot cluster, whose links outnumber those of pairs by far, and pairs that one tree parts
+    rng = np.random.default_rng(5)
+    hot = np.r_[1.0, np.zeros(7)] + 0.01 * rng.standard_normal((400, 8))
+    a = rng.standard_normal((300, 8))
+    m = np.concatenate([hot, a, a + 0.1 * rng.standard_normal(a.shape)]).astype(np.float32).astype(float)
+    d = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(m)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_vectors(d, scratch, k=1, threshold=0.98, trees=1, most_forests=1).collect()}
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    assert got == dict(enumerate((((u @ u.T) >= 0.98).sum(axis=1) - 1).tolist()))
