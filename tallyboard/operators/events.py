@@ -51,7 +51,7 @@ def invalid_transitions(items: DataFrame, key: str = "ticket_id") -> DataFrame:
 
 
 def visible(messages: DataFrame, hidden: tuple[str, ...], prefix: str, col: str = "message") -> DataFrame:
-    """Messages without the hidden phrases and prefix, and not equal to the one before."""
+    """Messages without the hidden phrases and prefix; those equal to the one before stay."""
     for h in hidden:
         messages = messages.filter(~F.col(col).contains(h))
     return messages.filter(~F.col(col).startswith(prefix))
