@@ -1,20 +1,21 @@
-"""Language-model scores by stupid backoff over bigrams of all words.
-
-S(w | v) = c(v w) / c(v) where the bigram occurs outside the document that is scored, else
-0.4 c(w) / N. The document's own occurrences of the bigram are taken from both counts, so
-that a text is no evidence for itself. A document starts after ``<s>``. No word and no bigram
-is left out of the counts; both are keyed by 64-bit hashes.
-
-Texts are dealt into blocks of bounded size. A block's words and bigrams are added up within
-it, so that a key, however common, has one count a block. The counts are partitioned by hash
-into buckets of bounded size, whose number follows the corpus, and added up there over all
-blocks. The sums go back to each block in the order of its keys, where the texts are read
-again and scored.
+"""Language-model scores by stupid backoff over bigrams of all words, as a join with count tables.
+
+S(w | v) = c(v w) / c(v) where the bigram occurs outside the row that is scored, else
+0.4 c(w) / N; a word that occurs nowhere else counts as one. One rule holds for every count:
+the row's own words and bigrams are left out (of N, too), so no text is evidence for itself.
+A text starts after ``<s>``. No word and no bigram is left out of the counts.
+
+1. Rows are dealt into blocks of bounded size, and each block's n-grams are exploded into
+   rows (block, key, n), one for each distinct n-gram of the block. So a key, however common
+   in the corpus, has one row a block: no key is hot.
+2. The count table is their sum by key, partitioned by the key's hash.
+3. It is joined to the exploded rows by key, and the counts go back to their blocks.
+4. There each token is scored and the tokens of a row are summed.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,73 +28,86 @@ from .common import Scratch, mix64
 
 BACKOFF = 0.4
 #: Characters of text in one block; a longer text is a block of its own.
-BLOCK_CHARS = 4 << 20
-COUNTS = "bucket long, block long, k binary, n binary"
+BLOCK_CHARS = 8 << 20
+#: N-grams that leave a task in one Arrow batch.
+ROWS = 1 << 17
+
+BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("words", pa.int64())])
 
 
 def _words(text: str | None) -> list[bytes]:
+    """Runs of characters other than ASCII white space, A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _tally(texts: list[str | None]):
-    """Keys and counts of a block: words (``<s>`` first), bigrams; and by token: text, word before, word, bigram."""
-    ids = {b"": 0}
-    number = ids.setdefault
-    seqs = [np.array([number(x, len(ids)) for x in _words(t)], np.int64) for t in texts]
-    lens = np.array([len(s) for s in seqs], np.int64)
-    w = np.concatenate([np.zeros(0, np.int64), *seqs])
-    v = np.concatenate([[0], w[:-1]])[: len(w)]
-    v[(np.cumsum(lens) - lens)[lens > 0]] = 0
-    word_n = np.bincount(w, minlength=len(ids))
-    word_n[0] = len(texts)
-    word_k = np.fromiter((xxhash.xxh64_intdigest(x) for x in ids), np.uint64, len(ids))
-    grams, at, gram_n = np.unique(v << 32 | w, return_inverse=True, return_counts=True)
-    first, last = grams >> 32, grams & 0xFFFFFFFF
-    gram_k = mix64(word_k[first] * np.uint64(0x9E3779B97F4A7C15) + mix64(word_k[last], 1), 2)
-    return np.concatenate([word_k, gram_k]), np.concatenate([word_n, gram_n]), len(ids), first, last, np.repeat(np.arange(len(texts)), lens), at, lens
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """64-bit numbers, all first bytes first: shuffles compress the bytes that are mostly zero."""
-    return x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _from_planes(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
-
-
-def _steps(sorted_keys: np.ndarray) -> bytes:
-    return _planes(np.diff(sorted_keys, prepend=np.uint64(0)).view(np.int64))
-
+class Block:
+    """The n-grams of a block: for each token its row, word, word before and bigram, as numbers.
 
-def _from_steps(b: bytes) -> np.ndarray:
-    return np.cumsum(_from_planes(b).view(np.uint64), dtype=np.uint64)
-
-
-def _zip_texts(texts: list[str | None]) -> bytes:
-    import zlib
+    ``keys`` are the 64-bit hashes of all distinct n-grams, words first (``<s>`` is number 0)
+    and bigrams after them; the lowest bit tells which. ``counts`` are theirs in the block.
+    """
 
+    def __init__(self, texts: list[str | None]):
+        ids = {b"": 0}
+        number = ids.setdefault
+        rows = [np.array([number(x, len(ids)) for x in _words(t)], np.int64) for t in texts]
+        self.lens = np.array([len(r) for r in rows], np.int64)
+        self.row = np.repeat(np.arange(len(texts)), self.lens)
+        self.w = np.concatenate([np.zeros(0, np.int64), *rows])
+        self.starts = (np.cumsum(self.lens) - self.lens)[self.lens > 0]
+        self.v = self._before(self.w, 0)
+        n_words = np.bincount(self.w, minlength=len(ids))
+        n_words[0] = len(self.starts)
+        grams, self.g, n_grams = np.unique(self.v << 32 | self.w, return_inverse=True, return_counts=True)
+        word = np.fromiter((xxhash.xxh64_intdigest(x) for x in ids), np.uint64, len(ids))
+        first, last = word[grams >> 32], word[grams & 0xFFFFFFFF]
+        gram = mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(last, 1), 2)
+        self.keys = np.concatenate([word & ~np.uint64(1), gram | np.uint64(1)]).view(np.int64)
+        self.counts, self.n_words = np.concatenate([n_words, n_grams]), len(ids)
+
+    def _before(self, x: np.ndarray, at_start: int) -> np.ndarray:
+        """The value of each token's predecessor, ``at_start`` for the first of a row."""
+        out = np.concatenate([[at_start], x[:-1]])[: len(x)]
+        out[self.starts] = at_start
+        return out
+
+    def _own(self, x: np.ndarray, kinds: int) -> np.ndarray:
+        """How often each token's value occurs in the token's row."""
+        _, at, n = np.unique(self.row * max(kinds, 1) + x, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def score(self, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of log S, tokens that backed off) of each row, from the corpus counts of ``keys``."""
+        own_w = self._own(self.w, self.n_words)
+        c_g = counts[self.n_words :][self.g] - self._own(self.g, len(counts) - self.n_words)
+        c_v = counts[self.v] - self._before(own_w, 1)
+        c_w = np.maximum(counts[self.w] - own_w, 1)
+        rest = np.maximum(total - self.lens[self.row], 1)
+        seen = c_g > 0
+        s = np.log(np.where(seen, c_g / np.maximum(c_v, 1), BACKOFF * c_w / rest))
+        return np.bincount(self.row, s, len(self.lens)), np.bincount(self.row, ~seen, len(self.lens)).astype(np.int64)
+
+
+def _pack(texts: list[str | None]) -> bytes:
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     return zlib.compress(np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts), 1)
 
 
-def _unzip_texts(blob: bytes, n: int) -> list[str]:
-    import zlib
-
+def _unpack(blob: bytes, n: int) -> list[str]:
     raw = zlib.decompress(blob)
     ends = 8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], np.int64))
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([8 * n, *ends[:-1]], ends)]
 
 
 def deal_blocks(docs: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, ids, texts, chars, words): the rows of (doc_id, text) in blocks, texts compressed."""
+    """(block, ids, texts, words): the rows of (doc_id, text) in written blocks, texts compressed."""
 
     def run(stream):
         block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def emit():
-            n = sum(len(_words(t)) for t in texts)
-            return pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "texts": _zip_texts(texts), "chars": held, "words": n}], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("chars", pa.int64()), ("words", pa.int64())]))
+            row = {"block": block, "ids": ids, "texts": _pack(texts), "words": sum(len(_words(t)) for t in texts)}
+            return pa.RecordBatch.from_pylist([row], BLOCKS)
 
         for b in stream:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -107,70 +121,56 @@ def deal_blocks(docs: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHAR
         if ids:
             yield emit()
 
-    return scratch.write(docs.mapInArrow(run, "block long, ids array<long>, texts binary, chars long, words long"), "blocks")
+    return scratch.write(docs.mapInArrow(run, "block long, ids array<long>, texts binary, words long"), "blocks")
 
 
-def count_blocks(blocks: DataFrame, bits: int) -> DataFrame:
-    """COUNTS: the keys of each block in 2^bits buckets by hash, each key once, with its count in the block."""
+def explode_ngrams(blocks: DataFrame) -> DataFrame:
+    """(block, key, n): the distinct words and bigrams of each block, by hash, with their counts there."""
 
     def run(stream):
         for b in stream:
-            for block, ids, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                keys, counts, *_ = _tally(_unzip_texts(blob, len(ids)))
-                order = np.argsort(keys)
-                keys, counts = keys[order], counts[order]
-                of = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
-                spans = list(zip(cuts[:-1], cuts[1:]))
-                for at in range(0, len(spans), 1000):
-                    some = spans[at : at + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array(of[[i for i, _ in some]]), pa.array(np.full(len(some), block, np.int64)), pa.array([_steps(keys[i:j]) for i, j in some], pa.binary()), pa.array([_planes(counts[i:j]) for i, j in some], pa.binary())], ["bucket", "block", "k", "n"])
-
-    return blocks.select("block", "ids", "texts").mapInArrow(run, COUNTS)
-
-
-def _add_up(bucket: pa.Table) -> pa.Table:
-    """The counts over all blocks of the bucket's keys, for each block in the order of its keys."""
-    parts = [_from_steps(k) for k in bucket.column("k").to_pylist()]
-    n = np.concatenate([_from_planes(x) for x in bucket.column("n").to_pylist()])
-    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-    whole = np.bincount(at, n, len(keys)).astype(np.int64)[at]
-    ends = np.cumsum([len(p) for p in parts])
-    return pa.table({"bucket": bucket.column("bucket"), "block": bucket.column("block"), "c": pa.array([_planes(whole[end - len(p) : end]) for p, end in zip(parts, ends)], pa.binary())})
+            for block, ids, blob in zip(*(c.to_pylist() for c in b.columns)):
+                grams = Block(_unpack(blob, len(ids)))
+                for at in range(0, len(grams.keys), ROWS):
+                    keys, n = grams.keys[at : at + ROWS], grams.counts[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(n)], ["block", "key", "n"])
+
+    return blocks.select("block", "ids", "texts").mapInArrow(run, "block long, key long, n long")
+
+
+def count_table(ngrams: DataFrame) -> DataFrame:
+    """(key, c): how often each n-gram occurs in the corpus."""
+    return ngrams.groupBy("key").agg(F.sum("n").alias("c"))
 
 
 def _score_block(total: int):
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         ids = texts.column("ids")[0].as_py()
-        keys, _, n_words, first, last, doc, at, lens = _tally(_unzip_texts(texts.column("texts")[0].as_py(), len(ids)))
-        # buckets follow the order of the keys
-        c = np.zeros(len(keys), np.int64)
-        c[np.argsort(keys)] = np.concatenate([_from_planes(x) for x in counts.sort_by("bucket").column("c").to_pylist()])
-        # occurrences of each bigram in each text
-        pair, tf = np.unique(doc * max(len(first), 1) + at, return_counts=True)
-        d, g = pair // max(len(first), 1), pair % max(len(first), 1)
-        c_gram, c_first, c_last = c[n_words + g] - tf, c[first[g]] - tf, c[last[g]]
-        seen = c_gram > 0
-        s = np.where(seen, np.log(np.maximum(c_gram, 1) / np.maximum(c_first, 1)), np.log(BACKOFF * np.maximum(c_last, 1) / max(total, 1)))
-        sums, backs = np.bincount(d, s * tf, len(lens)), np.bincount(d, np.where(seen, 0, tf), len(lens)).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "s": pa.array(sums), "b": pa.array(backs), "n": pa.array(lens)})
+        block = Block(_unpack(texts.column("texts")[0].as_py(), len(ids)))
+        keys, at = np.unique(block.keys, return_inverse=True)
+        order = np.argsort(counts.column("key").to_numpy())
+        c = counts.column("c").to_numpy()[order][np.searchsorted(counts.column("key").to_numpy()[order], keys)]
+        sums, backs = block.score(c[at], total)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(block.lens), "n_backoff": pa.array(backs), "s": pa.array(sums)})
 
     return run
 
 
 def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, n_tokens, n_backoff, log_score, score) of every id.
+    """(doc_id, n_tokens, n_backoff, log_score, score) of every row.
 
-    ``log_score`` is the sum of log S over the words, ``score`` its mean. Words are runs of
-    characters other than ASCII white space, A-Z in lower case. A null, empty or blank text
-    has no words and scores 0. Rows that repeat an id are one document; null ids are one, too.
+    ``log_score`` is the sum of log S over the words, ``score`` its mean. A null, empty or
+    blank text has no words and scores 0. Rows that repeat an id or have none are rows of their
+    own, and each is evidence for the others. Other columns are ignored, whatever their names;
+    an empty table gives an empty result. Memory follows a block, or the longest text.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = deal_blocks(d, scratch, block_chars)
-    chars, total = blocks.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    # a bucket has about as many keys as a block of 4 Mi characters
-    bits = max(6, math.ceil(math.log2(max(chars, 1) / BLOCK_CHARS)))
-    whole = count_blocks(blocks, bits).groupBy("bucket").applyInArrow(_add_up, "bucket long, block long, c binary")
-    rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(_score_block(total), "doc_id long, s double, b long, n long")
-    out = rows.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("b").alias("n_backoff"), F.round(F.sum("s"), 6).alias("log_score"))
-    return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0))
+    total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    ngrams = scratch.write(explode_ngrams(blocks), "ngrams")
+    counts = scratch.write(count_table(ngrams), "counts")
+    back = ngrams.select("block", "key").join(counts, "key")
+    rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block(total), "doc_id long, n_tokens long, n_backoff long, s double")
+    log_score = F.round("s", 6)
+    mean = F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).otherwise(0.0)
+    return rows.select("doc_id", "n_tokens", "n_backoff", log_score.alias("log_score"), mean.alias("score"))

@@ -61,8 +61,39 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_token_files, op4_packing, op5_pii, op6_lm_scores, op7_fingerprints, op8_mixing, op9_toxicity, op10_near_vectors)}
 
-#: The SQL of operator 8 finds the same thresholds by sorting each source by hash.
+#: The SQL of operator 8 finds the same thresholds by sorting each source by hash, that of
+#: operator 6 counts words and bigrams themselves, not their hashes.
 ORACLE_SQL = {
+    "op6_lm_scores": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), tokens AS (
+  SELECT r, unnest(list_prepend('', ws)[1:len(ws)]) AS v, unnest(ws) AS w FROM d WHERE len(ws) > 0
+), own1 AS (
+  SELECT r, w, count(*) AS n FROM tokens GROUP BY r, w UNION ALL SELECT r, '', 1 FROM d WHERE len(ws) > 0
+), all1 AS (
+  SELECT w, sum(n) AS n FROM own1 GROUP BY w
+), own2 AS (
+  SELECT r, v, w, count(*) AS n FROM tokens GROUP BY r, v, w
+), all2 AS (
+  SELECT v, w, sum(n) AS n FROM own2 GROUP BY v, w
+), scored AS (
+  SELECT o.r, o.n, a.n - o.n AS c, av.n - ov.n AS cv, greatest(aw.n - ow.n, 1) AS cw
+  FROM own2 o JOIN all2 a ON o.v = a.v AND o.w = a.w
+  JOIN all1 av ON o.v = av.w JOIN own1 ov ON o.r = ov.r AND o.v = ov.w
+  JOIN all1 aw ON o.w = aw.w JOIN own1 ow ON o.r = ow.r AND o.w = ow.w
+), sums AS (
+  SELECT d.r, any_value(d.doc_id) AS doc_id, any_value(len(d.ws)) AS n_tokens,
+         coalesce(sum(CASE WHEN s.c <= 0 THEN s.n END), 0) AS n_backoff,
+         round(coalesce(sum(s.n * ln(CASE WHEN s.c > 0 THEN s.c / s.cv ELSE 0.4e0 * s.cw / greatest((SELECT sum(len(ws)) FROM d) - len(d.ws), 1) END)), 0e0), 6) AS log_score
+  FROM d LEFT JOIN scored s ON d.r = s.r GROUP BY d.r
+)
+SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_backoff AS BIGINT) AS n_backoff, log_score,
+       CASE WHEN n_tokens > 0 THEN log_score / n_tokens ELSE 0e0 END AS score
+FROM sums
+""",
     "op8_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
