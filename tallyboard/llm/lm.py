@@ -5,23 +5,27 @@ S(w | v) = c(v w) / c(v) where the bigram occurs outside the row that is scored,
 the row's own words and bigrams are left out (of N, too), so no text is evidence for itself.
 A text starts after ``<s>``. No word and no bigram is left out of the counts.
 
-1. Rows are dealt into blocks of bounded size, and each block's n-grams are exploded into
-   rows (block, key, n), one for each distinct n-gram of the block. So a key, however common
-   in the corpus, has one row a block: no key is hot.
-2. The count table is their sum by key, partitioned by the key's hash.
-3. It is joined to the exploded rows by key, and the counts go back to their blocks.
-4. There each token is scored and the tokens of a row are summed.
+1. Rows are dealt into blocks of bounded size. Each distinct n-gram of a block is one entry
+   with its count there, so a key, however common in the corpus, has one entry a block: no
+   key is hot. Entries are shuffled as arrays, one row for each block and hash bucket; as rows
+   of their own they shuffle twice the bytes.
+2. Within the buckets they are exploded. The count table is their sum by key, and it is
+   joined back to the entries where they are: a window over the key, which needs no further
+   shuffle. An n-gram of one block only has no count elsewhere and ends here.
+3. Counts of the others go back to their blocks, where each token is scored and the tokens of
+   a row are summed.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64
@@ -29,8 +33,7 @@ from .common import Scratch, mix64
 BACKOFF = 0.4
 #: Characters of text in one block; a longer text is a block of its own.
 BLOCK_CHARS = 8 << 20
-#: N-grams that leave a task in one Arrow batch.
-ROWS = 1 << 17
+ENTRIES = "bucket int, block long, hi array<int>, lo array<smallint>, n array<long>"
 
 BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("words", pa.int64())])
 
@@ -44,7 +47,7 @@ class Block:
     """The n-grams of a block: for each token its row, word, word before and bigram, as numbers.
 
     ``keys`` are the 64-bit hashes of all distinct n-grams, words first (``<s>`` is number 0)
-    and bigrams after them; the lowest bit tells which. ``counts`` are theirs in the block.
+    and bigrams after them. ``counts`` are theirs in the block.
     """
 
     def __init__(self, texts: list[str | None]):
@@ -62,8 +65,14 @@ class Block:
         word = np.fromiter((xxhash.xxh64_intdigest(x) for x in ids), np.uint64, len(ids))
         first, last = word[grams >> 32], word[grams & 0xFFFFFFFF]
         gram = mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(last, 1), 2)
-        self.keys = np.concatenate([word & ~np.uint64(1), gram | np.uint64(1)]).view(np.int64)
-        self.counts, self.n_words = np.concatenate([n_words, n_grams]), len(ids)
+        self.keys, self.counts, self.n_words = np.concatenate([word, gram]), np.concatenate([n_words, n_grams]), len(ids)
+
+    def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the keys, the buckets that hold some, and where each begins (and the last ends)."""
+        order = np.argsort(self.keys, kind="stable")
+        of = (self.keys[order] >> np.uint64(64 - bits)).astype(np.int32)
+        cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+        return order, of[cuts[:-1]], cuts
 
     def _before(self, x: np.ndarray, at_start: int) -> np.ndarray:
         """The value of each token's predecessor, ``at_start`` for the first of a row."""
@@ -90,11 +99,11 @@ class Block:
 
 def _pack(texts: list[str | None]) -> bytes:
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    return zlib.compress(np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts), 1)
+    return zstandard.compress(np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts), 3)
 
 
 def _unpack(blob: bytes, n: int) -> list[str]:
-    raw = zlib.decompress(blob)
+    raw = zstandard.decompress(blob)
     ends = 8 * n + np.cumsum(np.frombuffer(raw[: 8 * n], np.int64))
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([8 * n, *ends[:-1]], ends)]
 
@@ -124,33 +133,51 @@ def deal_blocks(docs: DataFrame, scratch: Scratch, block_chars: int = BLOCK_CHAR
     return scratch.write(docs.mapInArrow(run, "block long, ids array<long>, texts binary, words long"), "blocks")
 
 
-def explode_ngrams(blocks: DataFrame) -> DataFrame:
-    """(block, key, n): the distinct words and bigrams of each block, by hash, with their counts there."""
+def ngram_entries(blocks: DataFrame, bits: int) -> DataFrame:
+    """ENTRIES: the distinct words and bigrams of each block in 2^bits buckets by hash.
+
+    The bucket is the top of the hash, ``hi`` and ``lo`` are the next 48 bits.
+    """
 
     def run(stream):
         for b in stream:
             for block, ids, blob in zip(*(c.to_pylist() for c in b.columns)):
                 grams = Block(_unpack(blob, len(ids)))
-                for at in range(0, len(grams.keys), ROWS):
-                    keys, n = grams.keys[at : at + ROWS], grams.counts[at : at + ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(n)], ["block", "key", "n"])
+                order, buckets, cuts = grams.buckets(bits)
+                keys, cuts = grams.keys[order] << np.uint64(bits), pa.array(cuts, pa.int32())
+                columns = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32), (keys >> np.uint64(16)).astype(np.uint16).view(np.int16), grams.counts[order]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(buckets), block)), *lists], ["bucket", "block", "hi", "lo", "n"])
 
-    return blocks.select("block", "ids", "texts").mapInArrow(run, "block long, key long, n long")
+    return blocks.select("block", "ids", "texts").mapInArrow(run, ENTRIES)
 
 
-def count_table(ngrams: DataFrame) -> DataFrame:
-    """(key, c): how often each n-gram occurs in the corpus."""
-    return ngrams.groupBy("key").agg(F.sum("n").alias("c"))
+def counts_elsewhere(entries: DataFrame) -> DataFrame:
+    """(block, bucket, at, c): of n-grams in more than one block, their counts in the others.
+
+    ``at`` are places in the arrays of the block and bucket, ``c`` the counts of those.
+    """
+    spread = entries.repartition("bucket").select("bucket", "block", F.posexplode(F.arrays_zip("hi", "lo", "n")).alias("at", "g"))
+    ngrams = spread.select("bucket", "block", "at", "g.hi", "g.lo", "g.n")
+    same = Window.partitionBy("bucket", "hi", "lo")
+    joined = ngrams.withColumn("c", F.sum("n").over(same)).withColumn("blocks", F.count("*").over(same)).filter("blocks > 1")
+    back = joined.select("bucket", "block", "at", (F.col("c") - F.col("n")).alias("c"))
+    return back.groupBy("bucket", "block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))
 
 
-def _score_block(total: int):
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+def _score_block(total: int, bits: int):
+    def run(texts: pa.Table, elsewhere: pa.Table) -> pa.Table:
         ids = texts.column("ids")[0].as_py()
         block = Block(_unpack(texts.column("texts")[0].as_py(), len(ids)))
-        keys, at = np.unique(block.keys, return_inverse=True)
-        order = np.argsort(counts.column("key").to_numpy())
-        c = counts.column("c").to_numpy()[order][np.searchsorted(counts.column("key").to_numpy()[order], keys)]
-        sums, backs = block.score(c[at], total)
+        order, buckets, cuts = block.buckets(bits)
+        counts = block.counts[order]
+        for part in elsewhere.to_batches():
+            start = cuts[np.searchsorted(buckets, part.column("bucket").to_numpy())]
+            at, c = part.column("at"), part.column("c")
+            counts[np.repeat(start, at.value_lengths().to_numpy()) + at.flatten().to_numpy()] += c.flatten().to_numpy()
+        whole = np.zeros(len(order), np.int64)
+        whole[order] = counts
+        sums, backs = block.score(whole, total)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(block.lens), "n_backoff": pa.array(backs), "s": pa.array(sums)})
 
     return run
@@ -166,11 +193,11 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = deal_blocks(d, scratch, block_chars)
-    total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    ngrams = scratch.write(explode_ngrams(blocks), "ngrams")
-    counts = scratch.write(count_table(ngrams), "counts")
-    back = ngrams.select("block", "key").join(counts, "key")
-    rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block(total), "doc_id long, n_tokens long, n_backoff long, s double")
+    n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    # a bucket has about as many entries as 64 blocks; fewer where the corpus is small
+    bits = max(8, math.ceil(math.log2(max(n_blocks, 1))) - 6)
+    back = counts_elsewhere(ngram_entries(blocks, bits))
+    rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block(total, bits), "doc_id long, n_tokens long, n_backoff long, s double")
     log_score = F.round("s", 6)
     mean = F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).otherwise(0.0)
     return rows.select("doc_id", "n_tokens", "n_backoff", log_score.alias("log_score"), mean.alias("score"))
