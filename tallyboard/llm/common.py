@@ -20,11 +20,14 @@ SLICE_CHARS = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine) a temporary folder is
-    made, set for the session and removed at exit.
+    Where the session names none and runs on one machine, a temporary folder is made, set
+    for the session and removed at exit. On a cluster that is an error: a folder of one
+    machine would lose the rows that the others write.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tallyboard-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -35,18 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor costs no recomputation.
 
-    ``write`` returns the table read back. ``drop`` removes tables that no later plan
-    reads; what a lazy result still reads stays until the folder is cleaned.
+    ``write`` returns the table read back. ``drop`` and ``keep`` remove tables that no later
+    plan reads, ``clear`` all; what is left then goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
+        self._paths: list[str] = []
+        fs, path = self._on_store(self.base)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.base}/{self._n:03d}-{name}"
+        self._paths.append(f"{self.base}/{len(self._paths):03d}-{name}")
+        return self._paths[-1]
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
@@ -59,13 +65,24 @@ class Scratch:
         for table in tables:
             self._delete(table._scratch_path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all tables so far but these."""
+        kept = {t._scratch_path for t in tables}
+        for path in self._paths:
+            if path not in kept:
+                self._delete(path)
+
     def clear(self) -> None:
         """Removes all of it, once what reads it has been written elsewhere."""
         self._delete(self.base)
 
     def _delete(self, name: str) -> None:
+        fs, path = self._on_store(name)
+        fs.delete(path, True)
+
+    def _on_store(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
 
 def batches(
@@ -81,17 +98,16 @@ def batches(
     return run
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``limit`` characters; a longer text stands alone."""
+def slices(sizes, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``limit`` characters, given each row's; a longer text stands alone."""
     start = total = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(sizes):
         if i > start and total + n > limit:
             yield start, i
             start, total = i, 0
         total += n
-    if texts:
-        yield start, len(texts)
+    if len(sizes):
+        yield start, len(sizes)
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:

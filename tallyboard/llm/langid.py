@@ -42,7 +42,7 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
 
     Parts overlap by one character on either side, which ``trigrams`` reads as context.
     """
-    for start, end in slices(texts):
+    for start, end in slices([len(t or "") for t in texts]):
         if end - start > 1 or len(texts[start] or "") <= SLICE_CHARS:
             yield np.arange(start, end), [t or "" for t in texts[start:end]]
         else:

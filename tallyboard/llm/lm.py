@@ -32,7 +32,7 @@ from .common import Scratch, mix64
 
 BACKOFF = 0.4
 #: Characters of text in one block; a longer text is a block of its own.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 ENTRIES = "bucket int, block long, hi array<int>, lo array<smallint>, n array<long>"
 
 BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("words", pa.int64())])
@@ -53,19 +53,22 @@ class Block:
     def __init__(self, texts: list[str | None]):
         ids = {b"": 0}
         number = ids.setdefault
-        rows = [np.array([number(x, len(ids)) for x in _words(t)], np.int64) for t in texts]
+        rows = [np.array([number(x, len(ids)) for x in _words(t)], np.int32) for t in texts]
         self.lens = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(len(texts)), self.lens)
-        self.w = np.concatenate([np.zeros(0, np.int64), *rows])
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), self.lens)
+        self.w = np.concatenate([np.zeros(0, np.int32), *rows])
+        del rows
+        word = np.fromiter((xxhash.xxh64_intdigest(x) for x in ids), np.uint64, len(ids))
+        self.n_words = len(ids)
+        ids.clear()
         self.starts = (np.cumsum(self.lens) - self.lens)[self.lens > 0]
         self.v = self._before(self.w, 0)
-        n_words = np.bincount(self.w, minlength=len(ids))
+        n_words = np.bincount(self.w, minlength=len(word))
         n_words[0] = len(self.starts)
-        grams, self.g, n_grams = np.unique(self.v << 32 | self.w, return_inverse=True, return_counts=True)
-        word = np.fromiter((xxhash.xxh64_intdigest(x) for x in ids), np.uint64, len(ids))
-        first, last = word[grams >> 32], word[grams & 0xFFFFFFFF]
-        gram = mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(last, 1), 2)
-        self.keys, self.counts, self.n_words = np.concatenate([word, gram]), np.concatenate([n_words, n_grams]), len(ids)
+        grams, g, n_grams = np.unique(self.v.astype(np.int64) << 32 | self.w, return_inverse=True, return_counts=True)
+        self.g = g.astype(np.int32)
+        gram = mix64(word[grams >> 32] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[grams & 0xFFFFFFFF], 1), 2)
+        self.keys, self.counts = np.concatenate([word, gram]), np.concatenate([n_words, n_grams])
 
     def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of the keys, the buckets that hold some, and where each begins (and the last ends)."""
@@ -76,13 +79,13 @@ class Block:
 
     def _before(self, x: np.ndarray, at_start: int) -> np.ndarray:
         """The value of each token's predecessor, ``at_start`` for the first of a row."""
-        out = np.concatenate([[at_start], x[:-1]])[: len(x)]
+        out = np.roll(x, 1)
         out[self.starts] = at_start
         return out
 
     def _own(self, x: np.ndarray, kinds: int) -> np.ndarray:
         """How often each token's value occurs in the token's row."""
-        _, at, n = np.unique(self.row * max(kinds, 1) + x, return_inverse=True, return_counts=True)
+        _, at, n = np.unique(self.row.astype(np.int64) * max(kinds, 1) + x, return_inverse=True, return_counts=True)
         return n[at]
 
     def score(self, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +144,8 @@ def ngram_entries(blocks: DataFrame, bits: int) -> DataFrame:
 
     def run(stream):
         for b in stream:
-            for block, ids, blob in zip(*(c.to_pylist() for c in b.columns)):
+            for i in range(b.num_rows):
+                block, ids, blob = (c[i].as_py() for c in b.columns)
                 grams = Block(_unpack(blob, len(ids)))
                 order, buckets, cuts = grams.buckets(bits)
                 keys, cuts = grams.keys[order] << np.uint64(bits), pa.array(cuts, pa.int32())

@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, slices
+from .common import Scratch, batches
 from .tokens import encoder
 
 #: Documents ranked within one task; their number of groups follows from the rows.
@@ -150,45 +150,45 @@ def layout(hist: pd.DataFrame, size: int, width: int = 4) -> tuple[pd.DataFrame,
     return pd.DataFrame(rows, columns=names).astype("int64"), seq, {"patterns": int((used > 0).sum()), "rest": len(rest), "cut": cut}
 
 
-def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n, crcs): every row's ids with ``end_id`` as little-endian 32-bit binary, and
-    the crc32 of each ``size`` tokens of them and of the rest."""
+def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, keep_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, crcs, parts, tail): every row's ids with ``end_id``, cut every ``size`` of them.
+
+    ``crcs`` are the crc32 of each piece, ``parts`` the whole pieces (none unless ``keep_ids``)
+    and ``tail`` the rest, which may be empty, as little-endian 32-bit binary.
+    """
 
     def run(batch: pa.RecordBatch):
         enc = encoder(vocabulary)
-        end = np.array([end_id], enc.dtype).tobytes()
-        texts = batch.column(1).to_pylist()
-        for i, j in slices(texts):
-            blobs = [np.frombuffer(b + end, enc.dtype).astype("<u4").tobytes() for b in enc.encode(texts[i:j])]
-            crcs = [[zlib.crc32(memoryview(b)[k : k + 4 * size]) for k in range(0, len(b), 4 * size)] for b in blobs]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(blobs, pa.binary()), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "ids", "n", "crcs"])
+        end, step = np.array([end_id], enc.dtype).tobytes(), 4 * size
+        for i, j, raw in enc.batches(batch.column(1), end):
+            blobs = [np.frombuffer(b, enc.dtype).astype("<u4").tobytes() for b in raw]
+            crcs = [[zlib.crc32(memoryview(b)[k : k + step]) for k in range(0, len(b), step)] for b in blobs]
+            parts = [[b[k : k + step] for k in range(0, len(b) - step + 1, step)] if keep_ids else [] for b in blobs]
+            tails = [b[len(b) // step * step :] for b in blobs]
+            lens = pa.array([len(b) // 4 for b in blobs], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lens, pa.array(crcs, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.binary())), pa.array(tails, pa.binary())], ["doc_id", "n", "crcs", "parts", "tail"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(batches(run), "doc_id long, ids binary, n long, crcs array<long>")
+    return d.mapInArrow(batches(run), "doc_id long, n long, crcs array<long>, parts array<binary>, tail binary")
 
 
 class Packed:
     """The plan of a packing: ``pieces`` is lazy, ``tokens`` the table of encoded documents."""
 
-    def __init__(self, pieces: DataFrame, tokens: DataFrame, totals: dict):
-        self.pieces, self.tokens, self.totals = pieces, tokens, totals
-
-    def with_ids(self) -> DataFrame:
-        """The pieces with their ids as little-endian 32-bit binary."""
-        t = self.tokens.select(F.col("row").alias("t_row"), "ids")
-        return self.pieces.join(t, F.col("row") == F.col("t_row")).withColumn("ids", F.expr("substring(ids, CAST(4 * start + 1 AS INT), CAST(4 * length AS INT))")).drop("t_row")
+    def __init__(self, pieces: DataFrame, totals: dict):
+        self.pieces, self.totals = pieces, totals
 
 
-def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int = 0, size: int = 1024, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> Packed:
-    """Pieces (row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int = 0, size: int = 1024, width: int = 4, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> Packed:
+    """Pieces (row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and ids where they are kept.
 
-    A null or empty text is one token, ``end_id``. Null ids keep their rows; rows that repeat
+    ``ids`` are little-endian 32-bit binary. A null or empty text is one token, ``end_id``. Null ids keep their rows; rows that repeat
     an id are documents of their own. An empty table gives no piece. ``size`` is a power of two,
     ``width`` the lengths of one histogram bin: about half of it is padding for each remainder.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    tokens = scratch.write(encode_pieces(docs, vocabulary, end_id, size, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = scratch.write(encode_pieces(docs, vocabulary, end_id, size, keep_ids, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
     t = tokens.select("row", "doc_id", "n", "crcs")
     count = t.count()
     groups = max(16, -(-count // CHUNK))
@@ -216,19 +216,23 @@ def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int = 0, si
     lens = F.broadcast(spark.createDataFrame(pd.DataFrame({"s_l": np.arange(size), "shorter": shorter})))  # size rows
     placed = ranked.join(by_len, (F.col("chunk") == F.col("b_chunk")) & (F.col("l") == F.col("b_l"))).join(by_chunk, F.col("chunk") == F.col("c_chunk")).join(lens, F.col("l") == F.col("s_l"))
     placed = placed.select("row", "doc_id", "n", "crcs", "l", "full", F.expr(f"(l - 1) DIV {width}").alias("bin"), (F.col("r0") + F.col("r1") + F.col("shorter")).alias("rank"), (F.col("f0") + F.col("f1")).alias("before"))
-    head = placed.filter("full > 0").select("row", "doc_id", "n", "before", F.posexplode(F.expr("slice(crcs, 1, CAST(full AS INT))")).alias("k", "ids_crc32"))
-    head = head.select("row", "doc_id", (F.col("k") * F.lit(size).cast("long")).alias("start"), F.lit(size).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("before") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if keep_ids:  # one row a document on either side
+        placed = placed.join(tokens.select(F.col("row").alias("i_row"), "parts", "tail"), F.col("row") == F.col("i_row")).drop("i_row")
+    ids = ["ids"] if keep_ids else []
+    head = placed.filter("full > 0").select("row", "doc_id", "n", "before", F.posexplode(F.expr("transform(parts, (p, i) -> struct(crcs[i] AS crc, p AS ids))" if keep_ids else "slice(crcs, 1, CAST(full AS INT))")).alias("k", "piece"))
+    head = head.withColumn("ids_crc32", F.col("piece.crc" if keep_ids else "piece")).select("row", "doc_id", (F.col("k") * F.lit(size).cast("long")).alias("start"), F.lit(size).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("before") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *([F.col("piece.ids").alias("ids")] if keep_ids else []))
     schema = "a_bin long, lo long, hi long, per long, seq long, sub long, len long, at long"
     table = F.broadcast(spark.createDataFrame(places.set_axis([c.split()[0] for c in schema.split(", ")], axis=1), schema) if len(places) else spark.createDataFrame([], schema))  # bounded by size
     tail = placed.filter("l > 0").join(table, (F.col("bin") == F.col("a_bin")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    tail = tail.select("row", "doc_id", (F.col("full") * size + F.col("sub")).alias("start"), F.when(F.col("at") < 0, F.col("l")).otherwise(F.col("len")).alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.lit(int(total_full)) + F.col("seq") + F.expr("(rank - lo) DIV per")).alias("sequence_id"), "at", "l", "rank")
+    tail = tail.select("row", "doc_id", (F.col("full") * size + F.col("sub")).alias("start"), F.when(F.col("at") < 0, F.col("l")).otherwise(F.col("len")).alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.lit(int(total_full)) + F.col("seq") + F.expr("(rank - lo) DIV per")).alias("sequence_id"), "at", "l", "rank", "sub", *([F.col("tail").alias("ids")] if keep_ids else []))
     inside = Window.partitionBy("sequence_id").orderBy("l", "rank", "row")  # a sequence: size pieces at most
     regular = tail.filter("at < 0").withColumn("offset", F.sum("length").over(inside) - F.col("length"))
     rest = tail.filter("at >= 0").withColumn("offset", F.col("at"))
     tail = regular.unionByName(rest).drop("at", "rank")
-    whole = tail.filter("length = l").drop("l")
-    cut = scratch.write(tail.filter("length < l").drop("l", "ids_crc32"), "cut")  # pieces of the rest, bounded by size
-    ids = tokens.select(F.col("row").alias("t_row"), "ids")
-    cut = ids.join(F.broadcast(cut), F.col("t_row") == F.col("row")).withColumn("ids_crc32", F.crc32(F.expr("substring(ids, CAST(4 * start + 1 AS INT), CAST(4 * length AS INT))"))).drop("t_row", "ids")
-    pieces = head.unionByName(whole).unionByName(cut)
-    return Packed(pieces, tokens, {**totals, "sequences": int(total_full) + n_seq, "documents": count})
+    whole = tail.filter("length = l").drop("l", "sub")
+    cut = scratch.write(tail.filter("length < l").drop("l", "ids_crc32", *ids), "cut")  # pieces of the rest, bounded by size
+    tails = tokens.select(F.col("row").alias("t_row"), "tail")
+    inside = F.expr("substring(tail, CAST(4 * sub + 1 AS INT), CAST(4 * length AS INT))")
+    cut = tails.join(F.broadcast(cut), F.col("t_row") == F.col("row")).withColumn("ids", inside).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = head.unionByName(whole).unionByName(cut.drop("t_row", "tail", "sub", *([] if keep_ids else ["ids"])))
+    return Packed(pieces, {**totals, "sequences": int(total_full) + n_seq, "documents": count})

@@ -1,9 +1,9 @@
 """Token ids of whole texts, and flat binary files of them.
 
 Texts are encoded by the tokenizers library. Both vocabularies used here merge within
-space-separated units only, so a unit's ids are remembered: the library encodes each
-distinct unit once for a worker, and a text is the concatenation of its units. Where a
-cut would not be safe the library gets the longer piece.
+space-separated units only, so a batch of texts is split into units with Arrow, the library
+encodes each distinct unit that the worker does not remember, and a text is the concatenation
+of its units. A text in which a cut might not be safe goes to the library whole.
 
 File format, for each partition of documents in ascending id order:
 
@@ -19,24 +19,28 @@ own attempt, so a lost or repeated task leaves no half file among those named.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batches, slices
 
-#: Units and bare words that a worker remembers, and the longest unit that it remembers.
-CACHE, LONGEST = 500_000, 48
-#: A word of Latin-1 letters with closing punctuation, perhaps after one space.
-SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-LATIN = "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+#: Units, and bare words, that a worker remembers, and the longest unit that it remembers.
+CACHE, LONGEST = 200_000, 48
+#: Characters of text that are split at one time.
+BATCH_CHARS = 8 << 20
+#: White space where a cut before a space or a line end may fall within a token.
+RUNS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]{3}|[\s\p{Z}\x{1c}-\x{1f}\x{85}]{2}$"
+#: Marks that may end a word of Latin letters: letters and marks are tokens apart.
+MARKS = ".,;:!?#$%&*"
+LATIN = {c for c in map(chr, range(0x100)) if c.isalpha() and (c.isascii() or c >= "À")}
 
 _encoders: dict[str, Encoder] = {}
 
@@ -48,10 +52,10 @@ class Units(dict):
         super().__init__()
         self.enc, self.words = enc, {}
 
-    def __missing__(self, unit) -> bytes:
+    def __missing__(self, unit: str) -> bytes:
         word, marks = self._simple(unit) if self.enc.shortcut else (None, "")
         if word is None:
-            ids = self.enc.whole(unit if isinstance(unit, str) else unit.decode())
+            ids = self.enc.whole(unit)
         else:
             ids = self.words.get(word)
             if ids is None:
@@ -64,17 +68,13 @@ class Units(dict):
             self[unit] = ids
         return ids
 
-    def _simple(self, unit) -> tuple[str | None, str]:
+    def _simple(self, unit: str) -> tuple[str | None, str]:
         """The word (with its space, in lower case if the vocabulary wants it) and its punctuation."""
-        if isinstance(unit, bytes):
-            bare = unit.rstrip(b".,;:!?")
-            if bare.isalpha():  # of bytes: ASCII letters only
-                return bare.lower().decode(), unit[len(bare) :].decode()
-            unit = unit.decode()
-        m = SIMPLE.fullmatch(unit)
-        if not m:
+        word = unit.rstrip(MARKS)
+        bare = word[1:] if word[:1] == " " else word
+        if not bare.isalpha() or not (bare.isascii() or LATIN.issuperset(bare)):
             return None, ""
-        return (m[1] + m[2].lower() if self.enc.drops_space else m[1] + m[2]), m[3]
+        return word.lower() if self.enc.drops_space else word, unit[len(word) :]
 
 
 class Encoder:
@@ -89,7 +89,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.drops_space = not self.whole(" \n\t")
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in " " + LATIN}
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in {" ", *LATIN}}
         lower = str.lower if self.drops_space else str
         self.shortcut = all(self.word(lower(w)) == self.whole(w) for w in ("the", "Größe", "LEÇON", "xqzjv", "Ñandú", *([] if self.drops_space else [" the", " Àÿ"])))
         self.units = Units(self)
@@ -105,37 +105,41 @@ class Encoder:
             word = self.letters[32] + word[1:]
         return array(self.dtype.char, [t.id for t in self.tok.model.tokenize(word)]).tobytes()
 
-    def _split(self, text: str) -> list:
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """Lists of pieces; a piece stands for itself after one space, except where it starts a line or a text."""
         if self.drops_space:
-            return text.encode().split()  # ASCII white space only: other kinds are the library's to judge
-        lines = [(x, x.split()) for x in text.split("\n")]
-        if all(" ".join(words) == x for x, words in lines):
-            return self._plain(lines)
-        if re.search(r"\s[ ]|[ ]\s|[ ]$", text):
-            return re.split(r"(?<=\S)(?= \S)", text)  # cut before single spaces only
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-
-    @staticmethod
-    def _plain(lines: list[tuple[str, list[str]]]) -> list[str]:
-        """Units of lines whose words are one space apart. Of a run of line ends before a word the last stands alone."""
-        out, ends = [], -1
-        for _, words in lines:
-            ends += 1
-            if words:
-                if ends > 1:
-                    out.append("\n" * (ends - 1))
-                if ends:
-                    out.append("\n")
-                out.append(words[0])
-                out += [" " + x for x in words[1:]]
-                ends = 0
-        return [*out, "\n" * ends] if ends > 0 else out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes of ``dtype``; none for null."""
-        get = self.units.__getitem__
-        return [b"".join(map(get, self._split(t))) if t else b"" for t in texts]
+            return pc.ascii_split_whitespace(texts)  # ASCII white space only: other kinds are the library's to judge
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as large binary of ``dtype``; none for null."""
+        texts = pc.fill_null(texts, "")
+        apart = np.zeros(len(texts), bool) if self.drops_space else pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False)
+        lists = self._split(pc.if_else(pa.array(apart), "", texts))
+        cuts, coded = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().dictionary_encode()
+        codes, units = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        if self.drops_space:
+            units = units.to_pylist()
+        else:
+            first = coded.take(pa.array(cuts[:-1])).to_pylist()  # every text has a piece
+            units = pc.if_else(pc.starts_with(units, "\n"), units, pc.binary_join_element_wise(" ", units, "")).to_pylist()
+            own = {f: i for i, f in enumerate(dict.fromkeys(first), len(units))}
+            codes = codes.copy()
+            codes[cuts[:-1]] = [own[f] for f in first]
+            units += own
+        got = pa.array(list(map(self.units.__getitem__, units)), pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(got.buffers()[1], np.int64)[: len(codes) + 1] if len(codes) else np.zeros(1, np.int64)
+        data = got.buffers()[2] if len(codes) else pa.py_buffer(b"")
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends[cuts])), data])
+        if apart.any():
+            whole = [self.whole(texts[int(i)].as_py()) for i in np.flatnonzero(apart)]
+            out = pc.replace_with_mask(out, pa.array(apart), pa.array(whole, pa.large_binary()))
+        return out
+
+    def batches(self, texts: pa.Array, end: bytes = b""):
+        """(i, j, blobs): the ids of rows i to j - 1 as bytes, each with ``end`` behind it."""
+        for i, j in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), BATCH_CHARS):
+            yield i, j, [b + end for b in self.encode(texts.slice(i, j - i)).to_pylist()]
 
 
 def encoder(path: str) -> Encoder:
@@ -177,15 +181,14 @@ def write_files(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int
         name, n_docs, n_tokens, first = None, 0, 0, None
         files: list = []
         for batch in stream:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_numpy(), batch.column(1)
             if not len(ids):
                 continue
             if name is None:
                 name, first = f"{base}/{uuid.uuid4().hex}", int(ids[0])
                 fs.create_dir(base, recursive=True)
                 files = [fs.open_output_stream(f"{name}.{x}") for x in ("bin", "idx", "ids")]
-            for i, j in slices(texts):
-                blobs = [b + end for b in enc.encode(texts[i:j])]
+            for _, _, blobs in enc.batches(texts, end):
                 sizes = np.array([len(b) // enc.dtype.itemsize for b in blobs], "<i8")
                 files[0].write(b"".join(blobs))
                 files[1].write((n_tokens + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
@@ -243,19 +246,3 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def encode_table(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): every row's ids with ``end_id``, as little-endian 32-bit binary."""
-
-    def run(batch: pa.RecordBatch):
-        enc = encoder(vocabulary)
-        end = np.array([end_id], enc.dtype).tobytes()
-        texts = batch.column(1).to_pylist()
-        for i, j in slices(texts):
-            blobs = [np.frombuffer(b + end, enc.dtype).astype("<u4").tobytes() for b in enc.encode(texts[i:j])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
-
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(batches(run), "doc_id long, ids binary")
-

@@ -25,7 +25,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside the word itself.
 STEMS = (4, 5, 6, 7)
 #: Words whose features a worker remembers.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def features(word: str) -> list[str]:

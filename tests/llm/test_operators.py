@@ -3,10 +3,12 @@
 import functools
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,13 +119,21 @@ def test_token_files_round_trip(some_docs, scratch):
 def test_encoder_agrees_with_the_library(vocabulary):
     enc = tokens.encoder(tokens.vocabulary_path(vocabulary))
     texts = ["", " ", "a  b", "a\n b \n", "Größe, LEÇON! ", "don't stop 123 4.5", "文字 　x y", "<|endoftext|> [CLS]", "a <|endoftext|>b", "a  <|endoftext|>  \n b<|endoftext|>", "x<|startoftext|> y <|ENDOFTEXT|>", "é́ \U0001f600", "\x00 \x1f x", "tab\tand\r\nline  ", "'re 're", "ﬁ Ⅷ İ"]
-    for t, b in zip(texts, enc.encode(texts)):
+    rnd = random.Random(1)
+    odd = [*"ab .,'\n\t\r 0é #<|>&", "\u0301", "\u3000", "  ", "\n\n", " \n", "'s", "<|endoftext|>", "İ", "\x1c", "\x85", "𝒳", "文", "Àb", "ª", "Word", " word...", "ﬁ"]
+    texts += ["".join(rnd.choice(odd) for _ in range(rnd.randint(0, 40))) for _ in range(20_000)]
+    got = [b for _, _, blobs in enc.batches(pa.array([*texts, None])) for b in blobs]
+    assert got[-1] == b"" and len(got) == len(texts) + 1
+    for t, b in zip(texts, got):
         assert np.frombuffer(b, enc.dtype).tolist() == _ids(vocabulary, t), t
 
 
 def test_packing_holds_each_token_once(some_docs, scratch):
-    packed = packing.pack(some_docs, scratch, tokens.vocabulary_path("byte_bpe_50k.json"))
-    got = packed.with_ids().collect()
+    packed = packing.pack(some_docs, scratch, tokens.vocabulary_path("byte_bpe_50k.json"), keep_ids=True)
+    got = packed.pieces.collect()
+    bare = packing.pack(some_docs, scratch, tokens.vocabulary_path("byte_bpe_50k.json")).pieces
+    same = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert Counter(tuple(r[c] for c in same) for r in bare.collect()) == Counter(tuple(r[c] for c in same) for r in got)
     by_row, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
         by_row[r["row"]].append(r)
