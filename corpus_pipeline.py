@@ -5,35 +5,32 @@ Every stage works on all rows that the one before kept. Rows are identified by d
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.llm import mixing, packing, pii, simhash, tokens, toxicity
-from tallyboard.llm.common import Scratch, crc_mod, shared_dir
+from tallyboard.llm.common import Scratch, crc_mod
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-_before: dict[str, Scratch] = {}
-
-
-def _scratch(spark: SparkSession, sf_dir: str, name: str) -> Scratch:
-    """A stage's scratch tables. Those of the stage before go: its result has been written by now."""
-    old = _before.pop(sf_dir, None)
-    if old is not None and old.spark is spark:
-        old.clear()
-    _before[sf_dir] = Scratch(spark, name)
-    return _before[sf_dir]
+def _from(scratch: Scratch, out: DataFrame) -> DataFrame:
+    """A stage's result, with the scratch tables that it reads."""
+    out._scratch = scratch
+    return out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the model learns from labels as in op9."""
+    """Documents that score below 0.5; the model learns from labels as in op9.
+
+    Null and empty texts have no sentence and stay; rows that repeat are judged each on its
+    own; an empty table stays empty.
+    """
+    scratch = Scratch(spark, "stage1")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    model = toxicity.fit(docs, labels.filter(~held), _scratch(spark, sf_dir, "stage1"))
-    return toxicity.keep_clean(docs.select(*COLUMNS), model)
+    model = toxicity.fit(docs, labels.filter(~held), scratch)
+    return _from(scratch, toxicity.keep_clean(docs.select(*COLUMNS), model))
 
 
 def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -42,32 +39,54 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first row, of each group linked at 0.8 by five-word shingles."""
-    scratch = _scratch(spark, sf_dir, "stage2")
+    """One document, the first row, of each group linked at 0.8 by five-word shingles.
+
+    Rows are told apart by their place, so null and repeated ids do no harm. All texts without
+    a word are one group; repeated rows are copies. An empty table stays empty.
+    """
+    scratch = Scratch(spark, "stage2")
     rows = _numbered(docs, scratch)
     gone = simhash.similar_groups(rows, scratch, id_col="row").filter("group_id <> doc_id").select(F.col("doc_id").alias("row"))
-    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
+    gone = scratch.write(gone, "gone")
+    scratch.keep(rows, gone)
+    return _from(scratch, rows.join(gone, "row", "left_anti").select(*COLUMNS))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by their kind, revealing terms generalised or removed."""
-    scratch = _scratch(spark, sf_dir, "stage3")
+    """Personal data replaced by their kind, revealing terms generalised or removed.
+
+    Null texts stay null; every row stays, repeated ones too; n_chars follows the text. An
+    empty table stays empty.
+    """
+    scratch = Scratch(spark, "stage3")
     rows = _numbered(docs, scratch)
-    found = pii.sanitise_spans(rows, scratch, id_col="row").filter("size(spans) > 0")
-    found = found.select(F.col("doc_id").alias("f_row"), pii.bare(F.col("spans")).alias("spans"), "terms")
+    found = pii.sanitise_spans(rows, scratch, id_col="row").filter("size(spans) > 0 OR size(terms) > 0")
+    found = scratch.write(found.select(F.col("doc_id").alias("f_row"), pii.bare(F.col("spans")).alias("spans"), "terms"), "found")
+    scratch.keep(rows, found)
     joined = rows.join(found, F.col("row") == F.col("f_row"), "left")
     text = F.when(F.col("f_row").isNull(), F.col("text")).otherwise(pii.mask(F.col("text"), F.col("spans"), F.col("terms")))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return _from(scratch, joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    return mixing.take(docs.select(*COLUMNS), _scratch(spark, sf_dir, "stage4"))
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    A null source is a source of its own; null and empty texts have size 0 and are taken with
+    the rest. Rows that repeat an id are taken together. An empty table stays empty.
+    """
+    scratch = Scratch(spark, "stage4")
+    return _from(scratch, mixing.take(docs.select(*COLUMNS), scratch))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1,024 tokens, with their ids (little-endian 32-bit)."""
-    return packing.pack(docs, _scratch(spark, sf_dir, "stage5"), tokens.vocabulary_path("byte_bpe_50k.json")).with_ids().select("doc_id", "start", "length", "sequence_id", "offset", "ids")
+    """The pieces of sequences of 1,024 tokens, with their ids (little-endian 32-bit).
+
+    A null or empty text is one token; rows that repeat are documents of their own; null ids
+    are kept. An empty table gives no piece.
+    """
+    scratch = Scratch(spark, "stage5")
+    pieces = packing.pack(docs, scratch, tokens.vocabulary_path("byte_bpe_50k.json"), keep_ids=True).pieces
+    return _from(scratch, pieces.select("doc_id", "start", "length", "sequence_id", "offset", "ids"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("private data", mask_private), ("source mix", mix_sources), ("packing", pack_sequences)]
@@ -77,10 +96,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's scratch tables, and the result of the stage before, go once its own is written.
+    """
+    results = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
-        docs = spark.read.parquet(f"{base}/{i}")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = results.write(out, name.replace(" ", "-"))
+        results.keep(docs)
+        out._scratch.clear()
     return docs
