@@ -33,7 +33,7 @@ from .common import Scratch, mix64
 BACKOFF = 0.4
 #: Characters of text in one block; a longer text is a block of its own.
 BLOCK_CHARS = 4 << 20
-ENTRIES = "bucket int, block long, hi array<int>, lo array<smallint>, n array<long>"
+ENTRIES = "bucket int, block long, hi array<int>, lo array<smallint>, n array<int>"
 
 BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("words", pa.int64())])
 
@@ -149,7 +149,7 @@ def ngram_entries(blocks: DataFrame, bits: int) -> DataFrame:
                 grams = Block(_unpack(blob, len(ids)))
                 order, buckets, cuts = grams.buckets(bits)
                 keys, cuts = grams.keys[order] << np.uint64(bits), pa.array(cuts, pa.int32())
-                columns = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32), (keys >> np.uint64(16)).astype(np.uint16).view(np.int16), grams.counts[order]
+                columns = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32), (keys >> np.uint64(16)).astype(np.uint16).view(np.int16), grams.counts[order].astype(np.int32)
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(c)) for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(buckets), block)), *lists], ["bucket", "block", "hi", "lo", "n"])
 
@@ -157,16 +157,18 @@ def ngram_entries(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def counts_elsewhere(entries: DataFrame) -> DataFrame:
-    """(block, bucket, at, c): of n-grams in more than one block, their counts in the others.
+    """(bucket, block, at, at_high, c, c_high): of n-grams in more than one block, their counts in the others.
 
-    ``at`` are places in the arrays of the block and bucket, ``c`` the counts of those.
+    ``at`` are places in the arrays of the block and bucket, ``c`` the counts of those. Both
+    come as their lowest 15 bits and the rest, which is mostly 0 and so costs no shuffle.
     """
     spread = entries.repartition("bucket").select("bucket", "block", F.posexplode(F.arrays_zip("hi", "lo", "n")).alias("at", "g"))
-    ngrams = spread.select("bucket", "block", "at", "g.hi", "g.lo", "g.n")
-    same = Window.partitionBy("bucket", "hi", "lo")
+    ngrams = spread.select("bucket", "block", "at", (F.col("g.hi").cast("long") * 65536 + F.col("g.lo")).alias("key"), "g.n")
+    same = Window.partitionBy("key", "bucket")  # sorted by the key, most of which is in the sort's prefix
     joined = ngrams.withColumn("c", F.sum("n").over(same)).withColumn("blocks", F.count("*").over(same)).filter("blocks > 1")
     back = joined.select("bucket", "block", "at", (F.col("c") - F.col("n")).alias("c"))
-    return back.groupBy("bucket", "block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))
+    halves = [h for x in ("at", "c") for h in (F.collect_list(F.expr(f"CAST({x} & 32767 AS SMALLINT)")).alias(x), F.collect_list(F.expr(f"shiftright({x}, 15)")).alias(f"{x}_high"))]
+    return back.groupBy("bucket", "block").agg(*halves)
 
 
 def _score_block(total: int, bits: int):
@@ -177,8 +179,8 @@ def _score_block(total: int, bits: int):
         counts = block.counts[order]
         for part in elsewhere.to_batches():
             start = cuts[np.searchsorted(buckets, part.column("bucket").to_numpy())]
-            at, c = part.column("at"), part.column("c")
-            counts[np.repeat(start, at.value_lengths().to_numpy()) + at.flatten().to_numpy()] += c.flatten().to_numpy()
+            at, c = (part.column(f"{x}_high").flatten().to_numpy().astype(np.int64) << 15 | part.column(x).flatten().to_numpy() for x in ("at", "c"))
+            counts[np.repeat(start, part.column("at").value_lengths().to_numpy()) + at] += c
         whole = np.zeros(len(order), np.int64)
         whole[order] = counts
         sums, backs = block.score(whole, total)
@@ -198,8 +200,8 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = deal_blocks(d, scratch, block_chars)
     n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    # a bucket has about as many entries as 64 blocks; fewer where the corpus is small
-    bits = max(8, math.ceil(math.log2(max(n_blocks, 1))) - 6)
+    # a bucket has about as many entries as 16 blocks; fewer where the corpus is small
+    bits = max(10, math.ceil(math.log2(max(n_blocks, 1))) - 4)
     back = counts_elsewhere(ngram_entries(blocks, bits))
     rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block(total, bits), "doc_id long, n_tokens long, n_backoff long, s double")
     log_score = F.round("s", 6)

@@ -224,13 +224,20 @@ def test_backoff_counts_every_word(spark, scratch):
     assert all(r["score"] == pytest.approx(math.log(0.4 / 290_000), abs=1e-6) for r in got)
 
 
+def test_backoff_counts_beyond_15_bits(spark, scratch):
+    texts = ["x " * 70_000, "x " * 70_000 + "y", "x"]
+    got = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch, block_chars=1).collect()
+    want = dict(enumerate(brute_scores(texts)))
+    assert all((r["n_tokens"], r["n_backoff"], r["log_score"]) == (*want[r["doc_id"]][:2], pytest.approx(want[r["doc_id"]][2], abs=1e-4)) for r in got)
+
+
 def test_a_hot_bigram_has_one_entry_a_block(spark, scratch):
     rows = [(i, f"the the a{i} b{i}") for i in range(3_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     blocks = lm.deal_blocks(d, scratch, block_chars=9_000)
     n = blocks.count()
     entries = lm.ngram_entries(blocks, 8)
-    assert lm.counts_elsewhere(entries).select(F.explode("c").alias("c")).agg(F.max("c")).first()[0] < 6_000
+    assert lm.counts_elsewhere(entries).select(F.explode(F.zip_with("c", "c_high", lambda a, b: b * 32768 + a)).alias("c")).agg(F.max("c")).first()[0] < 6_000
     keys = entries.select("bucket", "block", F.explode(F.arrays_zip("hi", "lo", "n")).alias("g")).groupBy("bucket", "g.hi", "g.lo").agg(F.count("*").alias("n"), F.sum("g.n").alias("c"))
     top = keys.agg(F.max("n"), F.max("c"), F.count("*")).first()
     assert 3 < n < 10 and tuple(top) == (n, 6_000, 2 + 2 * 3_000 + 2 + 2 * 3_000)
