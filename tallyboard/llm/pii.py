@@ -5,17 +5,24 @@ same leftmost matches as the plain one of its comment in time linear in the text
 starts at the start of a run of its first class or where the last match ended (``\G``),
 and runs are possessive where the next character cannot belong to them.
 
-Information-theoretic sanitisation then looks at the corpus: for a term t within ``window``
-words of a protected value e, the pointwise mutual information log(P(e,t) / P(e)P(t)) is
-compared with the information of the value itself, -log P(e). The ratio is 1 where the term
-always comes with that value and so reveals it wholly. Terms at ``generalise`` or more are
-replaced by their kind of token, at ``remove`` or more they are removed, near that value.
-Counts are of distinct texts, so copies are no evidence; values and pairs need ``support``
-of them.
+Information-theoretic sanitisation then looks at the corpus. Protected entities of a text are
+its values, the classes of its values (the kind; the domain of an email, the network class of
+an address, the first digit of a card, the country of a phone number), so that a value which
+occurs once is protected by what it is, and identifiers: runs of letters and digits whose
+alternations carry ``identifier_bits`` or more, an alternation being worth -log2 of how often
+the corpus has one. For an entity e and a term t of the same text the pointwise mutual
+information log(P(e,t) / P(e)P(t)) is compared with the information of the entity itself,
+-log P(e). The ratio is 1 where the term occurs only with that entity and so reveals it wholly.
+Terms at ``generalise`` or more are replaced by their kind of token, at ``remove`` or more they
+are removed, wherever they stand in the texts that hold the entity; identifiers are
+generalised. All counts are of distinct texts, so copies are no evidence; entities and pairs
+need ``support`` of them, and an entity of over half of all texts tells nothing.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +30,21 @@ from .common import Scratch, rows_if_small
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ ; [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+) ;
-#: [0-9]([\x20-]?[0-9])+ ; \+[0-9][\x20().0-9-]+[0-9]
+#: [0-9]([\x20-]?[0-9])+ (of 12 digits or more: shorter ones are dropped anyway) ; \+[0-9][\x20().0-9-]+[0-9]
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A character that every match of the kind has: texts without it are not searched.
 MARK = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = "term"
-#: Context kept on either side of a value, in code points, and the longest term.
-CONTEXT = 160
 WORD = r"[\p{L}\p{N}]++"
+#: What may be an identifier, and where letters and digits alternate.
+LONG = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"
+MIX = r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"
+IDENTIFIER = "identifier"
 
 
 def _digits(value: Column) -> Column:
@@ -64,112 +73,154 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(9, 15)
 
 
-def _matches(kind: str, text: Column) -> Column:
-    """array<struct<start, value>> of all matches of the kind's pattern, valid or not.
+def _places(pattern: str, text: Column) -> Column:
+    """array<struct<start, value>> of all matches of a pattern.
 
     Splitting at the matches gives the gaps between them; lengths of gaps and matches add up
-    to the starts.
+    to the starts. They are added up in blocks of about the root of their number, so that no
+    array is copied once a match.
     """
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["value"].alias("value")))).alias("out"),
-    )
-    none = F.expr("CAST(array() AS array<struct<start: int, value: string>>)")
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
-    out = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value")))
+    one, none = "struct<start: int, value: string>", "CAST(array() AS array<{}>)"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value")))).alias("out"))
+
+    def join(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), m["value"].alias("value")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def placed(all_pairs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(all_pairs))).cast("int")
+        first = F.struct(F.lit(0).alias("at"), F.expr(none.format(one)).alias("out"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / width).cast("int")), lambda i: F.aggregate(F.slice(all_pairs, i * width + 1, width), first, step))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr(none.format(f"array<{one}>")).alias("out")), join, lambda a: F.flatten(a["out"]))
+
+    return F.when(F.size(found) > 0, placed(pairs)).otherwise(F.expr(none.format(one)))
+
+
+def _matches(kind: str, text: Column) -> Column:
+    """All matches of the kind's pattern, valid or not; texts without a character that each has are not searched."""
     here = text.contains(MARK[kind]) if MARK[kind] else text.rlike("[0-9]")
-    return F.when(here, out).otherwise(none)
+    return F.when(here, _places(PATTERNS[kind], text)).otherwise(F.expr("CAST(array() AS array<struct<start: int, value: string>>)"))
 
 
 def _valid_only(kind: str, matches: Column) -> Column:
     return F.filter(matches, lambda m: _valid(kind, m["value"]))
 
 
-def _with_context(kind: str, matches: Column, text: Column) -> Column:
+def _spans(kind: str, matches: Column) -> Column:
     def span(m: Column) -> Column:
-        start, end = m["start"], m["start"] + F.length(m["value"])
-        before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-        return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), m["value"].alias("value"), before.alias("before"), F.substring(text, end + 1, F.lit(CONTEXT)).alias("after"))
+        start, end = m["start"].cast("long"), (m["start"] + F.length(m["value"])).cast("long")
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"))
 
     return F.transform(matches, span)
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, spans): spans is array<struct<kind, start, end, value, before, after>>.
+    """(doc_id, text_hash, spans, long, mixes, chars, text) of every row; a null text counts as empty.
 
-    Every row is kept; a null text counts as empty. Offsets are code points, the end
-    exclusive. ``before`` and ``after`` are CONTEXT code points of text around the span.
+    spans is array<struct<kind, start, end, value>>, ``long`` array<struct<start, end, mixes>> of
+    what may be an identifier. Offsets are code points, the end exclusive. ``mixes`` is how often
+    letters and digits alternate. The text is kept where there are spans or long runs.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     for k in KINDS:
         d = d.withColumn(f"m_{k}", _valid_only(k, _matches(k, text)))
-    parts = [_with_context(k, F.col(f"m_{k}"), text) for k in KINDS]
-    return d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(*parts).alias("spans"))
-
-
-def _term_positions(context: Column, base: Column, last: bool, window: int) -> Column:
-    """array<struct<term, start, end>> of the ``window`` words at one end of the context."""
-    words = F.regexp_extract_all(context, F.lit(WORD), F.lit(0))
-    gaps = F.split(context, WORD, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(F.lower(x["w"]).alias("term"), (base + acc["at"] + F.length(x["g"])).alias("start"), (base + acc["at"] + F.length(x["g"]) + F.length(x["w"])).alias("end")))).alias("out"),
-    )
-    none = F.expr("CAST(array() AS array<struct<term: string, start: bigint, end: bigint>>)")
-    pairs = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    every = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda a: a["out"])
-    # a word at the cut of the context may be half a word
-    near = F.slice(every, F.greatest(F.size(every) - window + 1, F.lit(1)), F.lit(window)) if last else F.slice(every, 1, window)
-    return near
-
-
-def revealing(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", window: int = 10, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
-    """(row, start, end, removed): term spans near protected values that they reveal.
-
-    ``found`` is the written table of ``find_base`` with ``row``. Terms are words of three
-    characters or more; only counts of terms near a value that recurs are gathered.
-    """
-    spans = found.select("row", "text_hash", F.explode("spans").alias("s")).select("row", "text_hash", F.xxhash64("s.kind", "s.value").alias("e"), "s.start", "s.end", "s.before", "s.after")
-    # a text's copies count once: the row of least number stands for them
-    values = spans.groupBy("e").agg(F.count_distinct("text_hash").alias("n_e")).filter(F.col("n_e") >= support)
-    known = scratch.write(spans.join(values, "e"), "values")
-    b = _term_positions(F.col("before"), F.col("start") - F.length("before"), True, window)
-    a = _term_positions(F.col("after"), F.col("end"), False, window)
-    near = known.select("row", "text_hash", "e", "n_e", F.explode(F.concat(b, a)).alias("t")).select("row", "text_hash", "e", "n_e", "t.term", "t.start", "t.end").filter("length(term) >= 3")
-    near = scratch.write(near, "near")
-    pairs = scratch.write(near.groupBy("e", "term").agg(F.count_distinct("text_hash").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support), "pairs")
-    total = found.select("text_hash").distinct().count()
+    digits = text.rlike("[0-9]")
+    d = d.withColumn("mixes", F.when(digits, F.regexp_count(text, F.lit(MIX))).otherwise(0))
+    none = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, mixes: int>>)")
+    long = F.transform(_places(LONG, text), lambda m: F.struct(m["start"].cast("long").alias("start"), (m["start"] + F.length(m["value"])).cast("long").alias("end"), F.regexp_count(m["value"], F.lit(MIX)).alias("mixes")))
+    d = d.withColumn("long", F.when(F.col("mixes") > 1, F.filter(long, lambda m: m["mixes"] > 1)).otherwise(none))
+    d = d.withColumn("spans", F.concat(*[_spans(k, F.col(f"m_{k}")) for k in KINDS]))
+    kept = F.when((F.size("spans") > 0) | (F.size("long") > 0), text)
+    return d.select("doc_id", F.xxhash64("text").alias("text_hash"), "spans", "long", "mixes", F.length("text").alias("chars"), kept.alias("text"))
+
+
+def _entities(spans: Column, long: Column) -> Column:
+    """The distinct entities of a text as strings: kinds, classes and values, and whether it has an identifier."""
+
+    def of(s: Column) -> Column:
+        k, v = s["kind"], s["value"]
+        first = F.substring_index(v, ".", 1)
+        network = F.when(F.length(first) < 3, "A").when(first < "128", "A").when(first < "192", "B").otherwise("C")
+        group = F.when(k == "email", F.substring_index(v, "@", -1)).when(k == "ip", network).when(k == "card", F.substring(v, 1, 1)).otherwise(F.regexp_extract(v, r"^\+[0-9]+", 0))
+        return F.array(k, F.concat(k, F.lit("/"), group), F.concat(k, F.lit("="), v))
+
+    own = F.when(F.size(long) > 0, F.array(F.lit(IDENTIFIER))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return F.array_distinct(F.concat(F.flatten(F.transform(spans, of)), own))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct words of three characters or more, in lower case."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
+
+
+def document_frequency(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """(term, n_t): in how many distinct texts each word occurs."""
     # a text that m rows hold counts 1/m in each, so words add up within tasks before the shuffle
     copies = scratch.write(found.groupBy("text_hash").agg(F.count("*").alias("m")).filter("m > 1"), "copies")
     side = F.broadcast(copies) if rows_if_small(copies, 200_000) else copies
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(text.alias("text")).join(side, F.xxhash64("text") == F.col("text_hash"), "left")
-    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))).alias("term"), (F.lit(1.0) / F.coalesce("m", F.lit(1))).alias("share"))
-    df = words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t"))
+    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"), (F.lit(1.0) / F.coalesce("m", F.lit(1))).alias("share"))
+    return words.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t"))
+
+
+def ratings(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str = "text", support: int = 5, generalise: float = 0.8) -> DataFrame:
+    """(e, term, ratio): the terms that reveal an entity by ``generalise`` or more."""
+    total = found.select("text_hash").distinct().count()
+    holders = found.filter("text IS NOT NULL").dropDuplicates(["text_hash"])
+    held = scratch.write(holders.select(F.explode(_entities(F.col("spans"), F.col("long"))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") * 2 <= total)), "entities")
+    side = F.broadcast(held) if rows_if_small(held, 200_000) else held
+    known = holders.select(F.explode(_entities(F.col("spans"), F.col("long"))).alias("e"), "text").join(side, "e")
+    near = known.select("e", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
+    pairs = scratch.write(near.groupBy("e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support), "pairs")
     if pairs.isEmpty():  # no term to rate: the corpus need not be read
-        df = pairs.select("term", F.lit(1).cast("long").alias("n_t"))
-    n = F.lit(float(max(total, 2)))
-    rated = pairs.join(df, "term").withColumn("ratio", F.log(F.col("n_et") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e")))
-    out = rated.filter(F.col("ratio") >= generalise).select("e", "term", (F.col("ratio") >= remove).alias("removed"))
-    hits = near.join(out, ["e", "term"]).groupBy("row", "start", "end").agg(F.max("removed").alias("removed"))
-    return hits
+        return pairs.select("e", "term", F.lit(0.0).alias("ratio"))
+    n = F.lit(float(total))
+    ratio = F.log(F.col("n_et") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
+    return pairs.join(document_frequency(docs, found, scratch, text_col), "term").select("e", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise)
+
 
+def revealing(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str = "text", support: int = 5, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+    """(row, terms): array<struct<start, end, removed>> of all places of the terms that reveal an entity of the row's text.
 
-def sanitise_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    ``found`` is the written table of ``find_base`` with ``row``.
+    """
+    out = scratch.write(ratings(docs, found, scratch, text_col, support, generalise), "rated")
+    out = F.broadcast(out) if rows_if_small(out, 200_000) else out
+    texts = found.filter("text IS NOT NULL")
+    each = texts.select("row", F.explode(_entities(F.col("spans"), F.col("long"))).alias("e"), "text")
+    hits = each.select("row", "e", F.explode(_terms(F.col("text"))).alias("term")).join(out, ["e", "term"])
+    hits = hits.groupBy("row", "term").agg(F.max(F.col("ratio") >= remove).alias("removed"))
+    lists = hits.groupBy(F.col("row").alias("h_row")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("marked"))
+    words = F.transform(_places(WORD, F.col("text")), lambda m: F.struct(m["start"].cast("long").alias("start"), (m["start"] + F.length(m["value"])).cast("long").alias("end"), F.element_at("marked", F.lower(m["value"])).alias("removed")))
+    return texts.join(lists, F.col("row") == F.col("h_row")).select("row", F.filter(words, lambda w: w["removed"].isNotNull()).alias("terms"))
+
+
+def sanitise_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", identifier_bits: float = 64.0, **limits) -> DataFrame:
     """(doc_id, spans, terms) of every row; spans as from ``find_base``, terms array<struct<start, end, removed>>.
 
-    Terms that overlap a base span are left to it. Repeated rows each get their row, null ids
-    are kept; an empty table gives an empty result; other columns are ignored.
+    Terms are the places of revealing words and the identifiers. Those that overlap a base span
+    are left to it. Null texts are empty; repeated rows each get their row, null ids are kept;
+    an empty table gives an empty result; other columns are ignored.
     """
-    found = scratch.write(find_base(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "base")
-    terms = revealing(docs, found, scratch, id_col, text_col, **limits)
-    lists = terms.groupBy(F.col("row").alias("t_row")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    base = scratch.write(find_base(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "base")
+    mixes, chars = base.agg(F.coalesce(F.sum("mixes"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    bits = math.log2((chars + 1) / (mixes + 1))  # what one alternation is worth
+    found = base.withColumn("long", F.filter("long", lambda m: m["mixes"] * bits >= identifier_bits))
+    found = found.withColumn("text", F.when((F.size("spans") > 0) | (F.size("long") > 0), F.col("text")))
+    marked = revealing(docs, found, scratch, text_col, **limits).select(F.col("row").alias("t_row"), "terms")
+    own = F.transform("long", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(False).alias("removed")))
     none = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, removed: boolean>>)")
-    out = found.join(lists, F.col("row") == F.col("t_row"), "left").select("doc_id", "spans", F.coalesce("terms", none).alias("terms"))
+    out = found.drop("text").join(marked, F.col("row") == F.col("t_row"), "left")
+    words = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("long", lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"])))
+    out = out.select("doc_id", "spans", F.sort_array(F.concat(own, words)).alias("terms"))
     clear = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return out.withColumn("terms", F.when(F.size("terms") > 0, clear).otherwise(F.col("terms")))
 
@@ -192,7 +243,8 @@ def digest(found: DataFrame) -> DataFrame:
 
     base = bare(F.col("spans"))
     terms = F.transform("terms", lambda t: F.struct(F.lit(TERM).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.concat(base, terms)).alias("spans"))
+    n_terms = F.size("terms").cast("long").alias("n_terms")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.concat(base, terms)).alias("spans"), n_terms, (F.size("spans") + F.size("terms")).cast("long").alias("n_spans"))
 
 
 def mask(text: Column, spans: Column, terms: Column) -> Column:

@@ -4,6 +4,8 @@ import functools
 import hashlib
 import math
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyboard.llm import chunks, graph, langid, lm, mixing, neighbours, packing, pii, queries, simhash, tokens, toxicity
 from tallyboard.llm.common import Scratch
 
-from .brute import DATA, ODD, base_spans, crc_ids, docs, odd_docs, roots, shingles, simhash as plain_simhash, words
+from .brute import BASE, DATA, ODD, base_spans, crc_ids, docs, odd_docs, roots, shingles, simhash as plain_simhash, words
 
 
 @pytest.fixture(params=["table", "odd", "empty"])
@@ -174,13 +176,57 @@ def test_patterns_on_hard_texts(spark, scratch):
 
 
 def test_terms_that_reveal_a_value(spark, scratch):
-    rows = [(i, f"note {i} zorblax the writer at zed@mail.org said so {i}") for i in range(6)] + [(100 + i, f"the writer of page {i} said so at noon") for i in range(60)]
+    rows = [(i, f"note {i} zorblax the writer at zed@mail.org said so {i} zorblax") for i in range(6)] + [(100 + i, f"the writer of page {i} said so at noon") for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.sanitise_spans(d, scratch)
     got = {r["doc_id"]: [rows[r["doc_id"]][1][t["start"] : t["end"]] for t in r["terms"]] for r in found.collect() if r["doc_id"] < 100}
-    assert all(x == ["note", "zorblax"] for x in got.values())
+    assert all(x == ["note", "zorblax", "zorblax"] for x in got.values())
     masked = d.join(found.withColumnRenamed("doc_id", "f"), F.col("doc_id") == F.col("f")).select("doc_id", pii.mask(F.col("text"), pii.bare(F.col("spans")), F.col("terms")).alias("t"))
-    assert {r["t"] for r in masked.filter("doc_id = 3").collect()} == {" 3  the writer at [EMAIL] said so 3"}
+    assert {r["t"] for r in masked.filter("doc_id = 3").collect()} == {" 3  the writer at [EMAIL] said so 3 "}
+
+
+def test_ratings_of_terms(spark, scratch):
+    rnd = random.Random(3)
+    values = ["a{}@mail1.example.com", "b{}@mail2.example.com", "10.0.{}.7", "+1 (407) 555-{:04d}", 'token = "9f86d081884c7d659a2feaa0c55ad{:03x}"']
+    rows = []
+    for i in range(300):
+        ws = [rnd.choice(["and", "of", "soup", "rain", "noon", f"rare{rnd.randint(0, 20)}"]) for _ in range(rnd.randint(0, 12))]
+        for k in range(len(values)):
+            if rnd.random() < 0.08:
+                ws.insert(rnd.randint(0, len(ws)), ["write", "write", "host", "ring", "secret"][k] + " " + values[k].format(i % 250))
+        rows.append((i, " ".join(ws)))
+    rows += rows[:40]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = scratch.write(pii.find_base(d).withColumn("row", F.monotonically_increasing_id()), "found")
+    got = {(r["e"], r["term"]): r["ratio"] for r in pii.ratings(d, found, scratch).collect()}
+    texts = {t for _, t in rows}
+    ents, terms = {}, {}
+    for t in texts:
+        e = set()
+        for k, (p, ok) in BASE.items():
+            for m in re.finditer(p, t):
+                if ok(m.group()):
+                    v = m.group()
+                    e |= {k, f"{k}={v}", f"{k}/" + {"email": v.split("@")[-1], "ip": "A", "card": v[0], "phone": "+1"}[k]}
+        ents[t] = e | ({"identifier"} if "token" in t else set())
+        terms[t] = {w.lower() for w in re.findall(r"[^\W_]+", t) if len(w) >= 3}
+    n_e, n_t = Counter(e for s in ents.values() for e in s), Counter(w for s in terms.values() for w in s)
+    n_et = Counter((e, w) for t in texts for e in ents[t] for w in terms[t])
+    n = len(texts)
+    want = {(e, w): math.log(k * n / (n_t[w] * n_e[e])) / math.log(n / n_e[e]) for (e, w), k in n_et.items() if k >= 5 and 5 <= n_e[e] <= n / 2}
+    want = {k: r for k, r in want.items() if r >= 0.8}
+    assert got == pytest.approx(want) and {("identifier", "token"), ("identifier", "secret"), ("ip", "host"), ("email/mail1.example.com", "mail1")} <= set(want)
+    spans = {r["doc_id"]: r for r in pii.digest(pii.sanitise_spans(d, scratch, identifier_bits=10.0)).collect()}
+    for i, t in rows:
+        assert (spans[i]["n_spans"] > 0) == bool(ents[t]), t
+
+
+def test_many_numbers_in_one_text(spark, scratch):
+    rows = [(1, ", ".join(str(10 + i % 90_000) for i in range(200_000))), (2, "x " + "a1@b.cc " * 3_000)]
+    start = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(pii.sanitise_spans(spark.createDataFrame(rows, "doc_id long, text string"), scratch)).collect()}
+    assert got[1]["n_spans"] == 0 and got[2]["n_email"] == 3_000 and time.time() - start < 60
+    assert got[2]["spans"] == ",".join(f"email:{2 + 8 * i}:{9 + 8 * i}" for i in range(3_000))
 
 
 def brute_scores(texts):
