@@ -73,15 +73,13 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(9, 15)
 
 
-def _places(pattern: str, text: Column) -> Column:
-    """array<struct<start, value>> of all matches of a pattern.
+def _places(pattern: str | Column, text: Column) -> Column:
+    """array<struct<start, value>> of all matches of a pattern, which may be a column.
 
     Splitting at the matches gives the gaps between them; lengths of gaps and matches add up
     to the starts. They are added up in blocks of about the root of their number, so that no
     array is copied once a match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value")))
     one, none = "struct<start: int, value: string>", "CAST(array() AS array<{}>)"
 
     def step(acc: Column, x: Column) -> Column:
@@ -92,13 +90,23 @@ def _places(pattern: str, text: Column) -> Column:
         moved = F.transform(x["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), m["value"].alias("value")))
         return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
-    def placed(all_pairs: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(all_pairs))).cast("int")
+    def placed(pairs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pairs))).cast("int")
         first = F.struct(F.lit(0).alias("at"), F.expr(none.format(one)).alias("out"))
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / width).cast("int")), lambda i: F.aggregate(F.slice(all_pairs, i * width + 1, width), first, step))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / width).cast("int")), lambda i: F.aggregate(F.slice(pairs, i * width + 1, width), first, step))
         return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.expr(none.format(f"array<{one}>")).alias("out")), join, lambda a: F.flatten(a["out"]))
 
-    return F.when(F.size(found) > 0, placed(pairs)).otherwise(F.expr(none.format(one)))
+    def paired(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        pairs = F.zip_with(found, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value")))
+        return F.when(F.size(found) > 0, _once(pairs, placed)).otherwise(F.expr(none.format(one)))
+
+    return _once(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), paired)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _matches(kind: str, text: Column) -> Column:
@@ -198,9 +206,12 @@ def revealing(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str
     each = texts.select("row", F.explode(_entities(F.col("spans"), F.col("long"))).alias("e"), "text")
     hits = each.select("row", "e", F.explode(_terms(F.col("text"))).alias("term")).join(out, ["e", "term"])
     hits = hits.groupBy("row", "term").agg(F.max(F.col("ratio") >= remove).alias("removed"))
-    lists = hits.groupBy(F.col("row").alias("h_row")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("marked"))
-    words = F.transform(_places(WORD, F.col("text")), lambda m: F.struct(m["start"].cast("long").alias("start"), (m["start"] + F.length(m["value"])).cast("long").alias("end"), F.element_at("marked", F.lower(m["value"])).alias("removed")))
-    return texts.join(lists, F.col("row") == F.col("h_row")).select("row", F.filter(words, lambda w: w["removed"].isNotNull()).alias("terms"))
+    removed = F.collect_list(F.when(F.col("removed"), F.col("term")))  # nulls are left out
+    lists = hits.groupBy(F.col("row").alias("h_row")).agg(F.array_join(F.collect_list("term"), "|").alias("marked"), removed.alias("removed"))
+    # terms are letters and digits, so they stand for themselves in a pattern
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col("marked"), F.lit(r")(?![\p{L}\p{N}])"))
+    terms = F.transform(_places(pattern, F.col("text")), lambda m: F.struct(m["start"].cast("long").alias("start"), (m["start"] + F.length(m["value"])).cast("long").alias("end"), F.array_contains("removed", F.lower(m["value"])).alias("removed")))
+    return texts.join(lists, F.col("row") == F.col("h_row")).select("row", terms.alias("terms"))
 
 
 def sanitise_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", identifier_bits: float = 64.0, **limits) -> DataFrame:
