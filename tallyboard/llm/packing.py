@@ -19,9 +19,10 @@ import pyarrow as pa
 import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, batches
-from .tokens import encoder
+from .tokens import dtype_of, encoder
 
 #: Documents ranked within one task; their number of groups follows from the rows.
 CHUNK = 20_000
@@ -150,22 +151,28 @@ def layout(hist: pd.DataFrame, size: int, width: int = 4) -> tuple[pd.DataFrame,
     return pd.DataFrame(rows, columns=names).astype("int64"), seq, {"patterns": int((used > 0).sum()), "rest": len(rest), "cut": cut}
 
 
+def wide_crcs(ids: bytes, dtype: np.dtype, size: int) -> list[int]:
+    """The crc32 of each ``size`` ids and of the rest, as little-endian 32-bit integers."""
+    wide = memoryview(np.frombuffer(ids, dtype).astype("<u4").tobytes())
+    return [zlib.crc32(wide[k : k + 4 * size]) for k in range(0, len(wide), 4 * size)]
+
+
 def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, keep_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, crcs, parts, tail): every row's ids with ``end_id``, cut every ``size`` of them.
 
-    ``crcs`` are the crc32 of each piece, ``parts`` the whole pieces (none unless ``keep_ids``)
-    and ``tail`` the rest, which may be empty, as little-endian 32-bit binary.
+    ``crcs`` are the crc32 of each piece's ids as 32-bit integers, ``parts`` the whole pieces
+    (none unless ``keep_ids``) and ``tail`` the rest, which may be empty, as little-endian
+    integers of the vocabulary's width (2 bytes up to 65,536 ids, else 4).
     """
 
     def run(batch: pa.RecordBatch):
         enc = encoder(vocabulary)
-        end, step = np.array([end_id], enc.dtype).tobytes(), 4 * size
-        for i, j, raw in enc.batches(batch.column(1), end):
-            blobs = [np.frombuffer(b, enc.dtype).astype("<u4").tobytes() for b in raw]
-            crcs = [[zlib.crc32(memoryview(b)[k : k + step]) for k in range(0, len(b), step)] for b in blobs]
+        end, step = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize * size
+        for i, j, blobs in enc.batches(batch.column(1), end):
+            crcs = [wide_crcs(b, enc.dtype, size) for b in blobs]
             parts = [[b[k : k + step] for k in range(0, len(b) - step + 1, step)] if keep_ids else [] for b in blobs]
             tails = [b[len(b) // step * step :] for b in blobs]
-            lens = pa.array([len(b) // 4 for b in blobs], pa.int64())
+            lens = pa.array([len(b) // enc.dtype.itemsize for b in blobs], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lens, pa.array(crcs, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.binary())), pa.array(tails, pa.binary())], ["doc_id", "n", "crcs", "parts", "tail"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -182,7 +189,7 @@ class Packed:
 def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int = 0, size: int = 1024, width: int = 4, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> Packed:
     """Pieces (row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and ids where they are kept.
 
-    ``ids`` are little-endian 32-bit binary. A null or empty text is one token, ``end_id``. Null ids keep their rows; rows that repeat
+    ``ids`` are little-endian binary of the vocabulary's width. A null or empty text is one token, ``end_id``. Null ids keep their rows; rows that repeat
     an id are documents of their own. An empty table gives no piece. ``size`` is a power of two,
     ``width`` the lengths of one histogram bin: about half of it is padding for each remainder.
     """
@@ -232,7 +239,14 @@ def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int = 0, si
     whole = tail.filter("length = l").drop("l", "sub")
     cut = scratch.write(tail.filter("length < l").drop("l", "ids_crc32", *ids), "cut")  # pieces of the rest, bounded by size
     tails = tokens.select(F.col("row").alias("t_row"), "tail")
-    inside = F.expr("substring(tail, CAST(4 * sub + 1 AS INT), CAST(4 * length AS INT))")
-    cut = tails.join(F.broadcast(cut), F.col("t_row") == F.col("row")).withColumn("ids", inside).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = head.unionByName(whole).unionByName(cut.drop("t_row", "tail", "sub", *([] if keep_ids else ["ids"])))
+    width_of = dtype_of(vocabulary)
+    inside = F.expr(f"substring(tail, CAST({width_of.itemsize} * sub + 1 AS INT), CAST({width_of.itemsize} * length AS INT))")
+    cut = tails.join(F.broadcast(cut), F.col("t_row") == F.col("row")).withColumn("ids", inside).drop("t_row", "tail", "sub")
+
+    def with_crc(batch: pa.RecordBatch):
+        crcs = [wide_crcs(b, width_of, size)[0] for b in batch.column("ids").to_pylist()]
+        yield batch.append_column("ids_crc32", pa.array(crcs, pa.int64()))
+
+    cut = cut.mapInArrow(batches(with_crc), StructType([*cut.schema.fields, StructField("ids_crc32", LongType())]))
+    pieces = head.unionByName(whole).unionByName(cut.drop(*([] if keep_ids else ["ids"])))
     return Packed(pieces, {**totals, "sequences": int(total_full) + n_seq, "documents": count})

@@ -187,10 +187,8 @@ def ratings(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str =
     side = F.broadcast(held) if rows_if_small(held, 200_000) else held
     known = holders.select(F.explode(_entities(F.col("spans"), F.col("long"))).alias("e"), "text").join(side, "e")
     near = known.select("e", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
-    pairs = scratch.write(near.groupBy("e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support), "pairs")
-    if pairs.isEmpty():  # no term to rate: the corpus need not be read
-        return pairs.select("e", "term", F.lit(0.0).alias("ratio"))
-    n = F.lit(float(total))
+    pairs = near.groupBy("e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support)
+    n = F.lit(float(max(total, 2)))
     ratio = F.log(F.col("n_et") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
     return pairs.join(document_frequency(docs, found, scratch, text_col), "term").select("e", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise)
 

@@ -142,6 +142,11 @@ class Encoder:
             yield i, j, [b + end for b in self.encode(texts.slice(i, j - i)).to_pylist()]
 
 
+def dtype_of(path: str) -> np.dtype:
+    """The integers that hold a vocabulary's ids."""
+    return encoder(path).dtype
+
+
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     import os

@@ -140,11 +140,11 @@ def test_packing_holds_each_token_once(some_docs, scratch):
     for r in got:
         by_row[r["row"]].append(r)
         by_seq[r["sequence_id"]].append(r)
-        assert crc_ids(np.frombuffer(r["ids"], "<u4")) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] > 0
+        assert crc_ids(np.frombuffer(r["ids"], "<u2")) == r["ids_crc32"] and len(r["ids"]) == 2 * r["length"] > 0
     made = Counter()
     for parts in by_row.values():
         parts.sort(key=lambda r: r["start"])
-        ids = np.frombuffer(b"".join(r["ids"] for r in parts), "<u4").tolist()
+        ids = np.frombuffer(b"".join(r["ids"] for r in parts), "<u2").tolist()
         assert [r["start"] for r in parts] == np.cumsum([0, *[r["length"] for r in parts[:-1]]]).tolist() and len(ids) == parts[0]["doc_tokens"]
         made[parts[0]["doc_id"], tuple(ids)] += 1
     assert made == Counter((i, tuple(_ids("byte_bpe_50k.json", t) + [0])) for i, t in rows_of(some_docs))

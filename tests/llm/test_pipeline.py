@@ -63,8 +63,8 @@ def test_sources_near_targets(kept):
 def test_all_tokens_are_packed(kept):
     before, after = kept[4]
     pieces = after.toPandas()
-    assert (pieces["ids"].map(len) == 4 * pieces["length"]).all()
-    ends = sum((np.frombuffer(x, "<u4") == 0).sum() for x in pieces["ids"])
+    assert (pieces["ids"].map(len) == 2 * pieces["length"]).all()
+    ends = sum((np.frombuffer(x, "<u2") == 0).sum() for x in pieces["ids"])
     assert ends == before.count() and pieces.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
