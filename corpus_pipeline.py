@@ -79,7 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 1,024 tokens, with their ids (little-endian 32-bit).
+    """The pieces of sequences of 1,024 tokens, with their ids (little-endian, of the width of the vocabulary).
 
     A null or empty text is one token; rows that repeat are documents of their own; null ids
     are kept. An empty table gives no piece.
