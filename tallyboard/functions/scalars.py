@@ -10,6 +10,7 @@ KINDS = ("Bug", "需求", "建议", "支持", "任务")
 PRIORITIES = {"紧急": 0, "高": 1, "普通": 2}
 STATUSES = ("新建", "处理中", "待反馈", "待测试", "已完成")
 NO_VERSION, NO_PROJECT = "未指定", "未分类项目"
+NO_DESCRIPTION = "知识库列表未提供描述，打开原工单可查看完整内容。"
 #: Stages after which a work item no longer counts as active.
 ENDED = ("completed", "cancelled", "failed")
 APPROVAL = ("awaitingPlanApproval", "awaitingApproval")
@@ -61,6 +62,7 @@ def normalise(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col("id").isNotNull() & (F.col("id") != 0)).select(
         "id", blank_to(F.col("project"), F.lit(NO_PROJECT)).alias("project"), kind(F.col("tracker")).alias("kind"), priority(F.col("priority")).alias("priority"),
         status(F.col("status")).alias("status"), blank_to(F.col("version"), F.lit(NO_VERSION)).alias("version"), "updated_at", "assignee", blank_to(F.col("author"), F.lit(None)).alias("author"),
+        "title", blank_to(F.col("description"), F.lit(NO_DESCRIPTION)).alias("description"), "source_url",
     )
 
 
@@ -69,8 +71,9 @@ def delivery_assignee(kind_: Column, author: Column, manual: Column) -> Column:
     return F.when(kind_ == "需求", "").when(needs, F.coalesce(trim_all(author), F.lit(""))).otherwise(F.coalesce(trim_all(manual), F.lit("")))
 
 
-def delivery_error(kind_: Column, author: Column) -> Column:
-    return F.when(kind_.isin("Bug", "支持") & (F.coalesce(trim_all(author), F.lit("")) == ""), "missingTicketAuthor")
+def delivery_error(kind_: Column, author: Column, source_url: Column) -> Column:
+    """An author is missing only where the ticket has a source to reassign it in."""
+    return F.when(source_url.isNotNull() & kind_.isin("Bug", "支持") & (F.coalesce(trim_all(author), F.lit("")) == ""), "missingTicketAuthor")
 
 
 def without_page(url: Column) -> Column:

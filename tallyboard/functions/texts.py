@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import trim_all
+from .scalars import NO_DESCRIPTION, trim_all
 
-# The two labels, the text for a missing description, the delivery messages.
+# The two labels and the delivery messages.
 QUOTE, DESCRIPTION = "引用", "描述"
-NO_DESCRIPTION = "知识库列表未提供描述，打开原工单可查看完整内容。"
 KEPT = "工单已转为待测试，负责人保持不变"
 KEPT_NO_AUTHOR = "工单已转为待测试，未获取到创建人，负责人保持不变"
 TO_AUTHOR = "工单已转为待测试并转交给创建人 "

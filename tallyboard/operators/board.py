@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -92,8 +92,10 @@ def view_counts(tickets: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_r", r).filter("_r = 1").drop("_r")
+    """One row a key, the first by ``order``; a minimum adds up within tasks before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order])).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}") for c in rest]).select(*rows.columns)
 
 
 def sync_new(synced: DataFrame, cached: DataFrame) -> DataFrame:
@@ -110,13 +112,17 @@ def sync_merged(synced: DataFrame, cached: DataFrame, items: DataFrame) -> DataF
     return synced.unionByName(sync_retained(synced, cached, items))
 
 
-def upsert(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Changes replace rows of their key in place: ``position`` stays that of the first insert."""
-    old, new = rows.withColumn("_n", F.lit(0)), changes.withColumn("_n", F.lit(1))
-    every = old.unionByName(new)
-    whole = Window.partitionBy(*key)
-    r = F.row_number().over(whole.orderBy(F.desc("_n")))
-    return every.withColumn("position", F.first("position").over(whole.orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_r", r).filter("_r = 1").drop("_r", "_n")
+def upsert(rows: DataFrame, changes: DataFrame, key: list[str], sequence: str = "sequence") -> DataFrame:
+    """Changes replace rows of their key in place: ``position`` stays that of the first insert.
+
+    Of several changes of a key the last by ``sequence`` counts. Rows without a change are
+    passed on as they are: only the keys of the changes are grouped.
+    """
+    columns = [c for c in rows.columns if c not in key]
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in columns]), sequence).alias("_c"))
+    known = rows.groupBy(*key).agg(F.min("position").alias("_position")).join(last.select(*key), key, "left_semi")
+    new = last.join(known, key, "left").select(*key, *[F.coalesce("_position", "_c.position").alias(c) if c == "position" else F.col(f"_c.{c}") for c in columns])
+    return rows.join(last.select(*key), key, "left_anti").unionByName(new.select(*rows.columns))
 
 
 def delete(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ def _board(**params):
 
 def normalize_tickets(spark, sf_dir):
     t = A.tickets(spark, sf_dir)
-    return t.select("*", S.rank(F.col("priority")).cast("int").alias("sort_rank"), F.concat(F.lit("#"), "id").alias("issue_number"), F.col("kind").isin("Bug", "支持").alias("needs_author"), S.symbol(F.col("project")).alias("symbol"))
+    return t.select("id", "project", "kind", "priority", "status", "version", "updated_at", "assignee", "author", "title", "description", "source_url", S.rank(F.col("priority")).cast("int").alias("sort_rank"), F.concat(F.lit("#"), "id").alias("issue_number"), F.col("kind").isin("Bug", "支持").alias("needs_author"), S.symbol(F.col("project")).alias("symbol"))
 
 
 def board_search(spark, sf_dir):
@@ -92,8 +92,9 @@ def sync_merged(spark, sf_dir):
 
 def upsert_items(spark, sf_dir):
     rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("position"), F.col("o_orderstatus").alias("stage"))
-    changes = rows.filter("id % 3 = 0").select("id", (F.col("position") + 1000000).alias("position"), F.lit("U").alias("stage"))
-    return B.upsert(rows, changes, ["id"]).select("id", "position", "stage")
+    changes = rows.filter("id % 3 = 0").select("id", (F.col("position") + 1000000).alias("position"), F.lit("U").alias("stage"), F.lit(2).alias("sequence"))
+    earlier = changes.withColumn("stage", F.lit("T")).withColumn("sequence", F.lit(1))
+    return B.upsert(rows, changes.unionByName(earlier), ["id"]).select("id", "position", "stage")
 
 
 def delete_rows(spark, sf_dir):
@@ -124,7 +125,7 @@ def item_repository(spark, sf_dir):
 
 def delivery(spark, sf_dir):
     t = A.tickets(spark, sf_dir)
-    return t.select("id", S.delivery_assignee(F.col("kind"), F.col("author"), F.col("assignee")).alias("assignee"), S.delivery_error(F.col("kind"), F.col("author")).alias("error"), F.concat(F.lit("[#"), "id", F.lit("] "), "version").alias("commit_message"))
+    return t.select("id", S.delivery_assignee(F.col("kind"), F.col("author"), F.col("assignee")).alias("assignee"), S.delivery_error(F.col("kind"), F.col("author"), F.col("source_url")).alias("error"), F.concat(F.lit("[#"), "id", F.lit("] "), "version").alias("commit_message"))
 
 
 def delivery_message(spark, sf_dir):
@@ -181,7 +182,7 @@ def liveness(spark, sf_dir):
     last = A.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("beat"))
     top = A.table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
     age = F.unix_micros(F.col("now").cast("timestamp")) / 1e6 - F.unix_micros(F.col("beat").cast("timestamp")) / 1e6
-    return last.crossJoin(F.broadcast(top)).select("user_id", E.liveness(F.col("user_id") % 11 == 0, F.col("user_id") % 7 != 0, age, age, 3600.0).alias("status"))  # one row
+    return last.crossJoin(F.broadcast(top)).select("user_id", E.liveness(F.col("user_id") % 11 == 0, F.col("user_id") % 7 != 0, F.when(F.col("user_id") % 5 != 0, age), F.col("user_id") % 2 * 7200.0, 3600.0).alias("status"))  # one row
 
 
 def stage_history_invalid(spark, sf_dir):
@@ -192,9 +193,12 @@ def recoverable_jobs(spark, sf_dir):
     return A.work_items(spark, sf_dir).filter(F.col("stage").isin(*S.RECOVERABLE)).groupBy("ticket_id").agg(F.count("*").alias("n"))
 
 
+from .job_queries import JOB_ORACLE_SQL, JOB_QUERIES  # noqa: E402
+
 QUERIES = {
+    **JOB_QUERIES,
     "board_processing": _board(view="processing"), "board_approval": _board(view="approval"), "board_completed": _board(view="completed"), "board_all": _board(),
-    "board_filtered": _board(view="processing", kind="Bug", priority="紧急", project="BUILDING"), "board_by_version": _board(status="新建", sort="version"), "board_by_updated": _board(status="处理中", sort="updated"),
+    "board_text": _board(text="CLERK in ír", status="新建"), "board_version": _board(version="v1996.7"), "board_filtered": _board(view="processing", kind="Bug", priority="紧急", project="BUILDING"), "board_by_version": _board(status="新建", sort="version"), "board_by_updated": _board(status="处理中", sort="updated"),
     **{f.__name__: f for f in (
         normalize_tickets, board_search, project_counts, view_counts, repo_counts, versions_distinct, projects_first, display_status, active_item, detail_item, dedup_first, sync_new, sync_retained,
         sync_merged, upsert_items, delete_rows, delivered_state, detail_enriched, item_ticket, item_repository, delivery, delivery_message, strip_labels, strip_page_param, report_sections, parse_dates, updated_text, parse_events,
@@ -209,7 +213,9 @@ tickets AS (
     CASE o_orderpriority WHEN '1-URGENT' THEN '紧急' WHEN '2-HIGH' THEN '高' ELSE '普通' END AS priority,
     CASE o_orderstatus WHEN 'F' THEN '已完成' WHEN 'P' THEN '处理中' ELSE '新建' END AS status,
     'v' || year(o_orderdate) || '.' || month(o_orderdate) AS version, o_orderdate AS updated_at, c_name AS assignee,
-    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE n_name END AS author
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE n_name END AS author, 'order of ' || c_name AS title,
+    CASE WHEN o_orderkey % 4 = 0 THEN '知识库列表未提供描述，打开原工单可查看完整内容。' ELSE 'Clerk in ' || n_name END AS description,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'https://tracker.example/issues/' || o_orderkey END AS source_url
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey <> 0
 )"""
 _ITEMS = """
@@ -232,10 +238,13 @@ _EVENTS = """ev AS (
 )"""
 
 ORACLE_SQL = {
+    **JOB_ORACLE_SQL,
     "board_processing": _BOTH + _COLS + _PROCESSING,
     "board_approval": _BOTH + _COLS + " JOIN active ON id = ticket_id WHERE active_stage IN ('awaitingPlanApproval', 'awaitingApproval')",
     "board_completed": _BOTH + _COLS + " WHERE status = '已完成' OR EXISTS (SELECT 1 FROM items WHERE ticket_id = id AND stage = 'completed')",
     "board_all": f"WITH {_TICKETS} {_COLS}",
+    "board_text": f"WITH {_TICKETS} {_COLS} WHERE status = '新建' AND contains(lower(id || ' ' || title || ' ' || description), 'clerk in ir')",
+    "board_version": f"WITH {_TICKETS} {_COLS} WHERE version = 'v1996.7'",
     "board_filtered": _BOTH + _COLS + _PROCESSING + " AND kind = 'Bug' AND priority = '紧急' AND project = 'BUILDING'",
     "board_by_version": f"WITH {_TICKETS} {_COLS} WHERE status = '新建'",
     "board_by_updated": f"WITH {_TICKETS} {_COLS} WHERE status = '处理中'",
@@ -259,7 +268,7 @@ ORACLE_SQL = {
     "detail_enriched": "SELECT d.doc_id, coalesce(nullif(lang, 'fr'), CAST(quality AS VARCHAR)) AS author FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "item_ticket": _BOTH + " SELECT id, project, count(*) AS n_items FROM items JOIN tickets ON ticket_id = id GROUP BY id, project",
     "item_repository": f"WITH {_TICKETS}, {_REPOS}, best AS (SELECT project, path FROM repos QUALIFY row_number() OVER (PARTITION BY project ORDER BY is_default DESC, position) = 1) SELECT id, path FROM tickets LEFT JOIN best USING (project)",
-    "delivery": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '' WHEN kind IN ('Bug', '支持') THEN coalesce(author, '') ELSE assignee END AS assignee, CASE WHEN kind IN ('Bug', '支持') AND author IS NULL THEN 'missingTicketAuthor' END AS error, '[#' || id || '] ' || version AS commit_message FROM tickets",
+    "delivery": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '' WHEN kind IN ('Bug', '支持') THEN coalesce(author, '') ELSE assignee END AS assignee, CASE WHEN kind IN ('Bug', '支持') AND author IS NULL AND source_url IS NOT NULL THEN 'missingTicketAuthor' END AS error, '[#' || id || '] ' || version AS commit_message FROM tickets",
     "delivery_message": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '工单已转为待测试，负责人保持不变' WHEN kind IN ('Bug', '支持') THEN CASE WHEN coalesce(author, '') = '' THEN '工单已转为待测试，未获取到创建人，负责人保持不变' ELSE '工单已转为待测试并转交给创建人 ' || author END WHEN coalesce(assignee, '') = '' THEN '工单已转为待测试，负责人保持不变' ELSE '工单已转为待测试并转交给 ' || assignee END AS message FROM tickets",
     "strip_labels": "SELECT doc_id, 'of ' || source AS text FROM documents",
     "strip_page_param": r"SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page(=|&|#|$)') THEN regexp_replace(regexp_replace(regexp_replace(url, '([?&])page(=[^&#]*)?(&|$)', '\1'), '[?&]$', ''), '[?&]#', '#') ELSE url END AS url FROM pages",
@@ -268,8 +277,8 @@ ORACLE_SQL = {
     "updated_text": f"SELECT event_id, CASE WHEN CAST(ts AS DATE) = DATE '{NOW[:10]}' THEN CASE WHEN greatest(floor((epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', ts))) / 3600), 0) = 0 THEN '刚刚' ELSE CAST(greatest(floor((epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', ts))) / 3600), 0) AS BIGINT) || ' 小时前' END ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS updated FROM events",
     "parse_events": f"WITH {_EVENTS} SELECT * FROM ev",
     "final_message": f"WITH {_EVENTS} SELECT run_id, arg_max(final, \"offset\") FILTER (WHERE final <> '') AS final FROM ev GROUP BY run_id",
-    "visible_logs": f"WITH {_EVENTS} SELECT run_id, \"offset\" FROM ev WHERE display IS NOT NULL AND NOT contains(display, 'idiot') AND NOT contains(display, 'scum') AND NOT starts_with(display, 'The ')",
-    "liveness": "SELECT user_id, CASE WHEN user_id % 11 = 0 THEN 'completed' WHEN user_id % 7 = 0 THEN 'interrupted' WHEN epoch_us((SELECT max(ts) FROM events)) / 1e6 - epoch_us(max(ts)) / 1e6 <= 3600 THEN 'running' ELSE 'interrupted' END AS status FROM events GROUP BY user_id",
-    "stage_history_invalid": f"WITH {_ITEMS}, steps AS (SELECT stage, lag(stage) OVER (PARTITION BY ticket_id ORDER BY position) AS previous FROM items) SELECT previous, stage, count(*) AS n FROM steps WHERE previous IS NOT NULL AND previous <> stage AND stage NOT IN ('failed', 'interrupted', 'cancelled') AND (previous, stage) NOT IN (('awaitingPlanApproval', 'runningAI'), ('interrupted', 'runningAI')) GROUP BY previous, stage",
+    "visible_logs": f"WITH {_EVENTS}, kept AS (SELECT *, lag(display) OVER (PARTITION BY run_id ORDER BY \"offset\") AS previous FROM ev WHERE display IS NOT NULL) SELECT run_id, \"offset\" FROM kept WHERE display IS DISTINCT FROM previous AND NOT contains(display, 'idiot') AND NOT contains(display, 'scum') AND NOT starts_with(display, 'The ')",
+    "liveness": "SELECT user_id, CASE WHEN user_id % 11 = 0 THEN 'completed' WHEN user_id % 7 = 0 THEN 'interrupted' WHEN CASE WHEN user_id % 5 <> 0 THEN epoch_us((SELECT max(ts) FROM events)) / 1e6 - epoch_us(max(ts)) / 1e6 ELSE user_id % 2 * 7200 END <= 3600 THEN 'running' ELSE 'interrupted' END AS status FROM events GROUP BY user_id",
+    "stage_history_invalid": f"WITH {_ITEMS}, steps AS (SELECT ticket_id, stage, lag(stage) OVER (PARTITION BY ticket_id ORDER BY position) AS previous FROM items) SELECT ticket_id, previous, stage, count(*) AS n FROM steps WHERE previous IS NOT NULL AND previous <> stage AND stage NOT IN ('failed', 'interrupted', 'cancelled') AND (previous, stage) NOT IN (('awaitingPlanApproval', 'runningAI'), ('interrupted', 'runningAI')) GROUP BY ticket_id, previous, stage",
     "recoverable_jobs": f"WITH {_ITEMS} SELECT ticket_id, count(*) AS n FROM items WHERE stage IN ('analyzing', 'runningAI', 'reviewing') GROUP BY ticket_id",
 }

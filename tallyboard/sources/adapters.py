@@ -25,6 +25,8 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("v"), F.year("o_orderdate"), F.lit("."), F.month("o_orderdate")).alias("version"),
         F.col("o_orderdate").alias("updated_at"), F.col("c_name").alias("assignee"),
         F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("n_name")).alias("author"),
+        F.concat(F.lit("order of "), "c_name").alias("title"), F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(F.concat(F.lit("Clerk in "), "n_name")).alias("description"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("https://tracker.example/issues/"), "o_orderkey")).alias("source_url"),
     )
 
 

@@ -2,15 +2,15 @@
 
 ``read_pages`` parses each page on its own (one row in, one row out), so pages spread over
 tasks; ``issue_rows`` then applies the rules of a whole scan with DataFrame operations:
-a sign-in page voids the scan, a page counts once by its address and only among the
-first ``most_pages``, and of rows with one id the first wins.
+a sign-in page voids the scan, the walk ends at an address that it has seen or after
+``most_pages``, and of rows with one id the first wins.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -116,6 +116,13 @@ def _join(base: str, href: str) -> str:
         return href
 
 
+def _path(url: str) -> str:
+    try:
+        return urlsplit(url).path
+    except ValueError:
+        return ""
+
+
 def read_pages(pages: DataFrame) -> DataFrame:
     """(page_no, url, login, next_url, rows) of each page; ``pages`` has page_no, url and html.
 
@@ -130,7 +137,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 page = _Page(url or "")
                 page.feed(html or "")
                 page.close()
-                login = page.login or "/login" in (url or "")
+                login = page.login or "/login" in _path(url or "")
                 out.append({"page_no": no, "url": url or "", "login": login, "next_url": _join(url or "", page.next) if page.next else None, "rows": page.found()})
             yield pa.RecordBatch.from_pylist(out, _PAGE)
 
@@ -140,11 +147,15 @@ def read_pages(pages: DataFrame) -> DataFrame:
 def issue_rows(parsed: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:
     """Raw ticket rows of one scan from ``read_pages``; none at all if one of its pages asks to sign in.
 
-    Pages are taken in order of page_no: the first of each address, ``most_pages`` at most,
-    which is the scan's own guard. Rows without id or subject are left out.
+    Pages are taken in order of page_no, ``most_pages`` at most, which is the scan's own guard;
+    the walk ends where an address comes for the second time. Rows without id or subject are
+    left out.
     """
     voided = parsed.agg(F.coalesce(F.bool_or("login"), F.lit(False)).alias("voided")).filter(~F.col("voided"))
-    first = parsed.groupBy("url").agg(F.min_by(F.struct("page_no", "rows"), "page_no").alias("p")).select("p.page_no", "p.rows").orderBy("page_no").limit(most_pages)
+    seen = parsed.withColumn("visit", F.row_number().over(Window.partitionBy("url").orderBy("page_no")))
+    end = seen.agg(F.min(F.when(F.col("visit") > 1, F.col("page_no"))).alias("end"))
+    walked = parsed.crossJoin(F.broadcast(end)).filter("end IS NULL OR page_no < end")  # one row
+    first = walked.select("page_no", "rows").orderBy("page_no").limit(most_pages)
     rows = first.select("page_no", F.posexplode("rows").alias("pos", "r")).select("page_no", "pos", "r.*").filter("id <> 0 AND subject <> ''")
     nth = F.row_number().over(Window.partitionBy("id").orderBy("page_no", "pos"))
     rows = rows.withColumn("nth", nth).filter("nth = 1").drop("nth", "pos")

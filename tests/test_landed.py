@@ -24,15 +24,16 @@ def test_rows_of_pages(spark):
     pages = [
         (1, "http://t/issues", page((7, "one"), (8, "two"), more="<ul class=pagination><li class='next page'><a href='?page=2'>next</a></li></ul>")),
         (2, "http://t/issues?page=2", page((8, "again"), (0, "no id"), (10, ""))),
-        (3, "http://t/issues", page((11, "a page seen before"))),
-        (4, "http://t/x", "<table class=issues><tr><td class=id>12<td class=subject>un&amp;closed<tr><td class=id>13<td class=subject>last"),
+        (4, "http://t/x?back=/login", "<table class=issues><tr><td class=id>12<td class=subject>un&amp;closed<tr><td class=id>13<td class=subject>last"),
         (5, None, None),
+        (6, "http://t/issues", page((11, "a page seen before"))),
+        (7, "http://t/y", page((14, "behind it"))),
     ]
     got = {r["id"]: r for r in scan(spark, pages).collect()}
     assert {i: r["subject"] for i, r in got.items()} == {7: "one", 8: "two", 12: "un&closed", 13: "last", 10: "#10"}
     assert got[7]["url"] == "http://t/issues/7" and got[7]["version"] == "v1" and got[7]["tracker"] == "Bug" and got[12]["url"] == ""
     parsed = I.read_pages(spark.createDataFrame(pages, "page_no long, url string, html string")).collect()
-    assert [r["next_url"] for r in parsed] == ["http://t/issues?page=2", None, None, None, None]
+    assert [r["next_url"] for r in parsed] == ["http://t/issues?page=2", None, None, None, None, None]
 
 
 @pytest.mark.parametrize("bad", [(2, "http://t/a", "<form action='/login'>"), (2, "http://t/a", "<div id=login-form>"), (2, "http://t/login", "")])
