@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.llm import mixing, packing, pii, simhash, tokens, toxicity
-from tallyboard.llm.common import Scratch, crc_mod
+from tallyboard.llm.common import Scratch, crc_mod, rows_if_small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,6 +20,11 @@ def _from(scratch: Scratch, out: DataFrame) -> DataFrame:
     return out
 
 
+def _side(table: DataFrame, most: int) -> DataFrame:
+    """A written table for a join with the texts: broadcast if its size allows, so that texts stay where they are."""
+    return F.broadcast(table) if rows_if_small(table, most) else table
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from labels as in op9.
 
@@ -49,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = simhash.similar_groups(rows, scratch, id_col="row").filter("group_id <> doc_id").select(F.col("doc_id").alias("row"))
     gone = scratch.write(gone, "gone")
     scratch.keep(rows, gone)
-    return _from(scratch, rows.join(gone, "row", "left_anti").select(*COLUMNS))
+    return _from(scratch, rows.join(_side(gone, 1_000_000), "row", "left_anti").select(*COLUMNS))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = pii.sanitise_spans(rows, scratch, id_col="row").filter("size(spans) > 0 OR size(terms) > 0")
     found = scratch.write(found.select(F.col("doc_id").alias("f_row"), pii.bare(F.col("spans")).alias("spans"), "terms"), "found")
     scratch.keep(rows, found)
-    joined = rows.join(found, F.col("row") == F.col("f_row"), "left")
+    joined = rows.join(_side(found, 200_000), F.col("row") == F.col("f_row"), "left")
     text = F.when(F.col("f_row").isNull(), F.col("text")).otherwise(pii.mask(F.col("text"), F.col("spans"), F.col("terms")))
     return _from(scratch, joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
