@@ -24,7 +24,7 @@ STATUS_TEXT = "等待人工确认"
 INTERRUPTED = "AI 后台任务已中断，你可以重新检查进程或返回配置。"
 RECONNECTING, RECOVERED = "正在重新连接 AI 任务…", "已恢复后台任务，正在继续接收日志"
 NO_REASONING = "AI 未按结构返回原因说明，请查看原始输出。"
-MARKS = ("DEVFLOW_SUMMARY:", "DEVFLOW_REASONING:", "DEVFLOW_TESTS:", "DEVFLOW_RISKS:")
+MARKS = ("SUMMARY:", "REASONING:", "TESTS:", "RISKS:")
 FRESH_S = 8.0
 HELPER_CHARS, HASH_CHARS = 500, 8
 
@@ -60,11 +60,15 @@ def progress(stage: Column, state: Column, error: Column, provider: Column, tick
     return F.when(stage == "interrupted", F.coalesce(error, F.lit(INTERRUPTED))).otherwise(by_state)
 
 
-def report(message: Column) -> Column:
-    """struct<summary, reasoning, tests, risks> of a final message; a blank summary is the whole message."""
-    parts = [S.section(message, a, b) for a, b in zip(MARKS, MARKS[1:])]
-    at = F.instr(message, MARKS[-1])
-    last = F.when(at > 0, S.trim_all(F.substring(message, at + len(MARKS[-1]), F.lit(2**31 - 1)))).otherwise("")
+def report(message: Column, prefix: str = "") -> Column:
+    """struct<summary, reasoning, tests, risks> of a final message; a blank summary is the whole message.
+
+    ``prefix`` stands before each of the four marks in the message.
+    """
+    marks = [prefix + m for m in MARKS]
+    parts = [S.section(message, a, b) for a, b in zip(marks, marks[1:])]
+    at = F.instr(message, marks[-1])
+    last = F.when(at > 0, S.trim_all(F.substring(message, at + len(marks[-1]), F.lit(2**31 - 1)))).otherwise("")
     summary, reasoning, tests = parts
     return F.struct(
         F.when(summary == "", message).otherwise(summary).alias("summary"), F.when(reasoning == "", NO_REASONING).otherwise(reasoning).alias("reasoning"),

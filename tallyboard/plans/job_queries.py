@@ -28,9 +28,9 @@ def progress_texts(spark, sf_dir):
 
 def job_reports(spark, sf_dir):
     d, i = A.table(spark, sf_dir, "documents"), F.col("doc_id") % 4
-    head = F.when(i == 0, "").when(i == 1, "DEVFLOW_SUMMARY:  \n").otherwise(F.concat(F.lit("DEVFLOW_SUMMARY: "), F.coalesce("source", F.lit("")), F.lit("\n")))
-    tail = F.concat(F.when(i == 3, "").otherwise("DEVFLOW_REASONING: why\n"), F.lit("DEVFLOW_TESTS:\n- a\n\n  -b \nc\nDEVFLOW_RISKS:\n- none"))
-    r = d.select("doc_id", J.report(F.concat(head, tail)).alias("r"))
+    head = F.when(i == 0, "").when(i == 1, "JOB_SUMMARY:  \n").otherwise(F.concat(F.lit("JOB_SUMMARY: "), F.coalesce("source", F.lit("")), F.lit("\n")))
+    tail = F.concat(F.when(i == 3, "").otherwise("JOB_REASONING: why\n"), F.lit("JOB_TESTS:\n- a\n\n  -b \nc\nJOB_RISKS:\n- none"))
+    r = d.select("doc_id", J.report(F.concat(head, tail), "JOB_").alias("r"))
     return r.select("doc_id", "r.summary", "r.reasoning", F.array_join("r.tests", "|").alias("tests"), F.array_join("r.risks", "|").alias("risks"))
 
 
@@ -180,10 +180,10 @@ JOB_ORACLE_SQL = {
     "progress_texts": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN coalesce(CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END, 'AI 后台任务已中断，你可以重新检查进程或返回配置。')
       WHEN o_orderkey % 5 = 0 THEN '正在重新连接 AI 任务…' WHEN o_orderkey % 5 = 1 THEN '已恢复后台任务，正在继续接收日志' WHEN o_orderkey % 7 = 0 THEN o_orderpriority
       ELSE 'Codex 正在处理 #' || o_orderkey || '，你可以在此查看实时进度。' END AS progress FROM orders""",
-    "job_reports": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'DEVFLOW_REASONING: why' || chr(10) || tail WHEN 1 THEN 'DEVFLOW_SUMMARY:  ' || chr(10) || 'DEVFLOW_REASONING: why' || chr(10) || tail
+    "job_reports": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'JOB_REASONING: why' || chr(10) || tail WHEN 1 THEN 'JOB_SUMMARY:  ' || chr(10) || 'JOB_REASONING: why' || chr(10) || tail
         WHEN 2 THEN coalesce(source, '') ELSE coalesce(source, '') || chr(10) || tail END AS summary,
       CASE WHEN doc_id % 4 = 3 THEN 'AI 未按结构返回原因说明，请查看原始输出。' ELSE 'why' END AS reasoning, 'a|b|c' AS tests, 'none' AS risks
-      FROM documents, (SELECT 'DEVFLOW_TESTS:' || chr(10) || '- a' || chr(10) || chr(10) || '  -b ' || chr(10) || 'c' || chr(10) || 'DEVFLOW_RISKS:' || chr(10) || '- none' AS tail)""",
+      FROM documents, (SELECT 'JOB_TESTS:' || chr(10) || '- a' || chr(10) || chr(10) || '  -b ' || chr(10) || 'c' || chr(10) || 'JOB_RISKS:' || chr(10) || '- none' AS tail)""",
     "run_inspection": f"""WITH u AS (SELECT user_id, min(ts) AS started, max(ts) AS last FROM events GROUP BY user_id),
       v AS (SELECT *, CASE WHEN user_id % 5 <> 0 AND (user_id % 3 <> 0 OR user_id * 10 = -1) THEN last END AS beat FROM u),
       w AS (SELECT *, date_diff('microsecond', coalesce(beat, started), TIMESTAMP '{NOW}') <= 259200000000 AS fresh FROM v)
