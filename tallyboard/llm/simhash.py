@@ -276,7 +276,9 @@ def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         blob = [shingle_set(t, width).tobytes() for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blob, pa.binary())], ["comp", "node", "shingles"])
 
-    texts = d.join(inside, d.doc_id == inside.rep).select("comp", "node", "text").dropDuplicates(["node"])
+    # three longs a row: where they are few, the texts that are no candidates stay where they are
+    side = F.broadcast(inside) if rows_if_small(inside, 500_000) else inside
+    texts = d.join(side, F.col("doc_id") == F.col("rep")).select("comp", "node", "text").dropDuplicates(["node"])
     with_sets = scratch.write(texts.mapInArrow(batches(sets), "comp long, node long, shingles binary"), "shingle-sets")
     checks = dealt(with_sets.withColumn("level", F.lit(0)), "comp", "level", "node", SET_TILE, scratch).select("comp", "pair", "side", "node", "shingles")
     exact = checks.repartition("comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_verify_frames(similarity), "u long, v long")
