@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, langid, lm, mixing, neighbours, packing, pii, simhash, tokens, toxicity
+from . import audit, chunks, langid, lm, mixing, neighbours, packing, pii, quality, simhash, tokens, toxicity, variants
 from .common import Scratch, crc_mod, documents
 
 
@@ -59,10 +59,36 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_token_files, op4_packing, op5_pii, op6_lm_scores, op7_fingerprints, op8_mixing, op9_toxicity, op10_near_vectors)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = quality.fit(docs, labels.filter(~held), Scratch(spark, "op11"))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def drop_one_in_97(doc_id: Column, run: Column) -> Column:
+    """The run, or in one of 97 places (by a checksum of id and run) the run without one character; a null id counts as ''."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 97 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op12")
+    words = scratch.write(variants.count_words(documents(spark, sf_dir), drop_one_in_97), "words")
+    return variants.group_variants(words, scratch)
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "op13"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_token_files, op4_packing, op5_pii, op6_lm_scores, op7_fingerprints, op8_mixing, op9_toxicity, op10_near_vectors, op11_quality, op12_variants, op13_interactions)}
 
 #: The SQL of operator 8 finds the same thresholds by sorting each source by hash, that of
-#: operator 6 counts words and bigrams themselves, not their hashes.
+#: operator 6 counts words and bigrams themselves, not their hashes. That of operator 12 computes
+#: the checksum byte by byte and finds near words by their patterns, that of operator 13 applies the
+#: filters of each order to the documents themselves.
 ORACLE_SQL = {
     "op6_lm_scores": r"""
 WITH d AS (
@@ -121,5 +147,73 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
        CAST(size * least(2, whole + CASE WHEN upto <= b OR (upto - same <= b AND upto - b < b - (upto - same)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
+""",
+    "op12_variants": r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (
+  SELECT d, run, count(*) AS n FROM runs GROUP BY d, run
+), summed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(d || ':' || run)), 2), lambda i: CAST('0x' || substr(hex(d || ':' || run), i, 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM counted, bits
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), holes AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), patterns AS (
+  SELECT word, n, left(word, i - 1) || '?' || substr(word, i + 1) AS same, left(word, i - 1) || substr(word, i + 1) AS less FROM holes
+), shorter AS (
+  SELECT DISTINCT p.word AS a, p.n AS a_n, w.word AS b, w.n AS b_n FROM patterns p JOIN words w ON p.less = w.word
+), near AS (
+  SELECT p.word, p.n, q.word AS other, q.n AS other_n FROM patterns p JOIN patterns q ON p.same = q.same AND p.word <> q.word
+  UNION ALL SELECT a, a_n, b, b_n FROM shorter UNION ALL SELECT b, b_n, a, a_n FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, min((-other_n, encode(other), other)) AS top FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 2 * n THEN top[3] END AS form, CASE WHEN -top[1] >= 2 * n THEN -top[1] END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), chain(word, root) AS (
+  SELECT word, word FROM words UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM formed f JOIN chain c ON f.word = c.word JOIN formed e ON c.root = e.word AND e.form IS NULL
+""",
+    "op13_interactions": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), l AS (
+  SELECT doc_id AS l_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l ON doc_id = l_id
+), parts AS (
+  SELECT DISTINCT part FROM d
+), orders(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o AS filter_order, k AS step, left(o, k - 1) AS before, o[k] AS letter FROM orders, range(1, 6) r(k) WHERE length(o) = 5
+), hits AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), judged AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails = letter AS only_this, contains(fails, letter) AS hit,
+         length(translate(fails, before, '')) < length(fails) AS gone
+  FROM hits, steps
+), per AS (
+  SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN only_this THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM per
 """,
 }
