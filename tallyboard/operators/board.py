@@ -115,13 +115,14 @@ def sync_merged(synced: DataFrame, cached: DataFrame, items: DataFrame) -> DataF
 def upsert(rows: DataFrame, changes: DataFrame, key: list[str], sequence: str = "sequence") -> DataFrame:
     """Changes replace rows of their key in place: ``position`` stays that of the first insert.
 
-    Of several changes of a key the last by ``sequence`` counts. Rows without a change are
+    Of several changes of a key the last by ``sequence`` counts; the first gives the place of a new
+    key. Rows without a change are
     passed on as they are: only the keys of the changes are grouped.
     """
     columns = [c for c in rows.columns if c not in key]
-    last = changes.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in columns]), sequence).alias("_c"))
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in columns]), sequence).alias("_c"), F.min_by("position", sequence).alias("_first"))
     known = rows.groupBy(*key).agg(F.min("position").alias("_position")).join(last.select(*key), key, "left_semi")
-    new = last.join(known, key, "left").select(*key, *[F.coalesce("_position", "_c.position").alias(c) if c == "position" else F.col(f"_c.{c}") for c in columns])
+    new = last.join(known, key, "left").select(*key, *[F.coalesce("_position", "_first").alias(c) if c == "position" else F.col(f"_c.{c}") for c in columns])
     return rows.join(last.select(*key), key, "left_anti").unionByName(new.select(*rows.columns))
 
 

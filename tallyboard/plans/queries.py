@@ -194,6 +194,7 @@ def recoverable_jobs(spark, sf_dir):
 
 
 from .job_queries import JOB_ORACLE_SQL, JOB_QUERIES  # noqa: E402
+from .stream_queries import STREAM_ORACLE_SQL, STREAM_QUERIES  # noqa: E402
 
 QUERIES = {
     **JOB_QUERIES,
@@ -204,6 +205,7 @@ QUERIES = {
         sync_merged, upsert_items, delete_rows, delivered_state, detail_enriched, item_ticket, item_repository, delivery, delivery_message, strip_labels, strip_page_param, report_sections, parse_dates, updated_text, parse_events,
         final_message, visible_logs, liveness, stage_history_invalid, recoverable_jobs,
     )},
+    **STREAM_QUERIES,
 }
 
 _TICKETS = """
@@ -239,6 +241,8 @@ _EVENTS = """ev AS (
 
 ORACLE_SQL = {
     **JOB_ORACLE_SQL,
+    **STREAM_ORACLE_SQL,
+    "stream_merge": _SYNC + "SELECT id, status, project, id % 10 = 0 AS is_new, 'loginRequired' AS sync_status, true AS unread FROM (SELECT * FROM synced UNION ALL SELECT * FROM retained)",
     "board_processing": _BOTH + _COLS + _PROCESSING,
     "board_approval": _BOTH + _COLS + " JOIN active ON id = ticket_id WHERE active_stage IN ('awaitingPlanApproval', 'awaitingApproval')",
     "board_completed": _BOTH + _COLS + " WHERE status = '已完成' OR EXISTS (SELECT 1 FROM items WHERE ticket_id = id AND stage = 'completed')",
