@@ -11,11 +11,14 @@ TRANSITIONS = (
     ("reviewing", "awaitingApproval"), ("awaitingApproval", "committing"), ("committing", "pulling"), ("pulling", "pushing"),
     ("pushing", "updatingTicket"), ("updatingTicket", "completed"), ("updatingTicket", "partial"), ("partial", "updatingTicket"),
     # recovery, by the phase of the run
-    ("interrupted", "analyzing"), ("interrupted", "runningAI"), ("runningAI", "analyzing"), ("analyzing", "runningAI"),
-    ("reviewing", "runningAI"), ("reviewing", "analyzing"),
+    ("interrupted", "analyzing"), ("interrupted", "runningAI"), ("reviewing", "runningAI"),
 )
 
 
+#: Fixed value: what a completed turn shows.
+TURN_DONE = "Codex 已完成本轮任务"
+
+
 def text_at(json: Column, path: str) -> Column:
     """The string at a path of a JSON line, null where there is none or it is of another type."""
     v = F.try_parse_json(json)
@@ -29,14 +32,15 @@ def codex_event(line: Column) -> Column:
     kind, item = text_at(line, "$.type"), text_at(line, "$.item.type")
     said = F.when((kind == "item.completed") & (item == "agent_message"), text_at(line, "$.item.text"))
     none = F.lit(None).cast("string")
-    shown = F.when(~is_object, line).when(kind == "item.completed", said).when(kind == "item.started", none).when(kind == "turn.completed", "done").otherwise(text_at(line, "$.message"))
+    shown = F.when(~is_object, line).when(said.isNotNull(), said).when(kind == "item.started", none).when(kind == "turn.completed", TURN_DONE).otherwise(text_at(line, "$.message"))
     return F.struct(shown.alias("display"), F.when(is_object, said).alias("final"))
 
 
 def _blocks(v: Column, path: str) -> Column:
-    """An array of JSON objects at a path, else null."""
+    """An array of JSON objects at a path; null if one element is of another type."""
     at = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(at).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
+    blocks = F.try_variant_get(v, path, "array<variant>")
+    return F.when(F.schema_of_variant(at).startswith("ARRAY") & F.forall(blocks, lambda b: F.schema_of_variant(b).startswith("OBJECT")), blocks)
 
 
 def _text(v: Column, path: str) -> Column:
@@ -47,7 +51,7 @@ def _text(v: Column, path: str) -> Column:
 def cursor_event(line: Column) -> Column:
     """struct<display, final>: the first block's text of an assistant, the result at the end."""
     v, kind = F.try_parse_json(line), text_at(line, "$.type")
-    said = F.when(kind == "assistant", text_at(line, "$.message.content[0].text"))
+    said = F.when((kind == "assistant") & _blocks(v, "$.message.content").isNotNull(), text_at(line, "$.message.content[0].text"))
     result = F.when(kind == "result", text_at(line, "$.result"))
     shown = F.coalesce(said, F.when(result.isNotNull(), "Cursor 已完成"))
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
@@ -61,7 +65,8 @@ def claude_event(line: Column) -> Column:
     first = F.get(F.filter(blocks, lambda b: _text(b, "$.type") == "text"), F.lit(0))
     model, result = text_at(line, "$.model"), text_at(line, "$.result")
     started = F.when(model.isNull(), "Claude Code 已启动").otherwise(F.concat(F.lit("Claude Code 已启动（"), model, F.lit("）")))
-    failed = F.coalesce(F.try_variant_get(v, "$.is_error", "boolean"), F.lit(False))
+    error = F.try_variant_get(v, "$.is_error", "variant")
+    failed = F.coalesce((F.schema_of_variant(error) == "BOOLEAN") & F.try_variant_get(v, "$.is_error", "boolean"), F.lit(False))
     ended = F.when(failed, F.coalesce(result, F.lit("Claude Code 执行失败"))).otherwise("Claude Code 已完成")
     shown = F.when((kind == "system") & (text_at(line, "$.subtype") == "init"), started).when(kind == "assistant", F.nullif(_text(first, "$.text"), F.lit(""))).when(kind == "result", ended)
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))

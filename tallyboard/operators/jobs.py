@@ -80,11 +80,13 @@ def failure_message(launch_error: Column, stderr: Column, stdout: Column) -> Col
     return F.coalesce(launch_error, F.nullif(stderr, F.lit("")), stdout)
 
 
-def inspect(runs: DataFrame, beats: DataFrame, results: DataFrame, now: Column, limit: float = FRESH_S) -> DataFrame:
+def inspect(runs: DataFrame, beats: DataFrame, results: DataFrame, now: Column, limit: float = FRESH_S, manifests: DataFrame | None = None) -> DataFrame:
     """``runs`` (run_id, worker_pid, directory, started_at, alive) with status and may_cancel.
 
     A heartbeat counts if its run and worker are the run's, a result if its run is; a run in
-    a directory of another name is interrupted. Of several heartbeats the latest counts.
+    a directory of another name is interrupted. Of several heartbeats the latest counts. A run may
+    be cancelled while its heartbeat is fresh and, where ``manifests`` (run_id, worker_pid) are
+    given, one is of its run and worker.
     """
     b = beats.groupBy(F.col("run_id").alias("b_run"), F.col("worker_pid").alias("b_pid")).agg(F.max("updated_at").alias("beat"))
     r = results.select(F.col("run_id").alias("r_run")).distinct()
@@ -94,6 +96,10 @@ def inspect(runs: DataFrame, beats: DataFrame, results: DataFrame, now: Column,
     fresh = seconds(F.coalesce("beat", "started_at")) <= limit
     status = F.when(~placed, "interrupted").when(F.col("r_run").isNotNull(), "completed").when(F.col("alive") & fresh, "running").otherwise("interrupted")
     may = placed & F.col("beat").isNotNull() & (seconds(F.col("beat")) <= limit)
+    if manifests is not None:
+        m = manifests.select(F.col("run_id").alias("m_run"), F.col("worker_pid").alias("m_pid")).distinct()
+        every = every.join(m, (F.col("run_id") == F.col("m_run")) & (F.col("worker_pid") == F.col("m_pid")), "left")
+        may = may & F.col("m_run").isNotNull()
     return every.select(*runs.columns, status.alias("status"), F.coalesce(may, F.lit(False)).alias("may_cancel"))
 
 
@@ -104,8 +110,17 @@ def set_status(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     return t.withColumn("status", F.coalesce("c_status", "status")).drop("c_id", "c_status")
 
 
+def cancel_active(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Work items with the active one of each ticket in ``ids`` cancelled: the last by position that has not ended."""
+    live = ~F.col("stage").isin(*S.ENDED)
+    last = items.join(ids.select(F.col("id").alias("ticket_id")).distinct(), "ticket_id", "left_semi").filter(live)
+    last = last.groupBy(F.col("ticket_id").alias("c_ticket")).agg(F.max("position").alias("c_position"))
+    d = items.join(last, (F.col("ticket_id") == F.col("c_ticket")) & (F.col("position") == F.col("c_position")), "left")
+    return d.withColumn("stage", F.when(F.col("c_ticket").isNotNull() & live, "cancelled").otherwise(F.col("stage"))).drop("c_ticket", "c_position")
+
+
 def leave_processing(tickets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Tickets that leave the processing view: those being processed are new again."""
+    """Tickets that leave the processing view: those being processed are new again (see ``cancel_active`` for their items)."""
     t = tickets.join(ids.select(F.col("id").alias("l_id")).distinct(), F.col("id") == F.col("l_id"), "left")
     back = F.col("l_id").isNotNull() & (F.col("status") == "处理中")
     return t.withColumn("status", F.when(back, "新建").otherwise(F.col("status"))).drop("l_id")
@@ -121,8 +136,8 @@ def import_repositories(known: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def refresh_branch(repositories: DataFrame, found: DataFrame) -> DataFrame:
-    """Repositories with the branch that was found (path, branch) where it is not empty."""
-    f = found.groupBy(F.col("path").alias("f_path")).agg(F.max("branch").alias("f_branch"))
+    """Repositories with the branch that was found (path, branch, sequence) where it is not empty; the last by sequence counts."""
+    f = found.groupBy(F.col("path").alias("f_path")).agg(F.max_by("branch", "sequence").alias("f_branch"))
     r = repositories.join(f, F.col("path") == F.col("f_path"), "left")
     return r.withColumn("branch", F.coalesce(F.nullif("f_branch", F.lit("")), "branch")).drop("f_path", "f_branch")
 

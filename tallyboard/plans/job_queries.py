@@ -66,7 +66,7 @@ def repositories_imported(spark, sf_dir):
 
 def branches_refreshed(spark, sf_dir):
     r = A.repositories(spark, sf_dir).withColumn("branch", F.lit("main"))
-    found = r.filter("position % 2 = 0").select("path", F.when(F.col("position") % 4 == 0, "").otherwise("dev").alias("branch"))
+    found = r.filter("position % 2 = 0").select("path", F.explode(F.array(F.struct(F.lit(1).alias("sequence"), F.lit("old").alias("branch")), F.struct(F.lit(2).alias("sequence"), F.when(F.col("position") % 4 == 0, "").otherwise("dev").alias("branch")))).alias("f")).select("path", "f.*")
     return J.refresh_branch(r, found).select("position", "branch")
 
 
@@ -77,7 +77,8 @@ def item_remotes(spark, sf_dir):
 
 
 def ticket_repositories(spark, sf_dir):
-    return A.tickets(spark, sf_dir).join(A.repositories(spark, sf_dir).select("project", "path"), "project").groupBy("id").agg(F.count("*").alias("n"))
+    n = A.repositories(spark, sf_dir).groupBy("project").agg(F.count("*").alias("n"))
+    return A.tickets(spark, sf_dir).join(n, "project").select("id", "n")
 
 
 def status_texts(spark, sf_dir):

@@ -194,18 +194,20 @@ def recoverable_jobs(spark, sf_dir):
 
 
 from .job_queries import JOB_ORACLE_SQL, JOB_QUERIES  # noqa: E402
+from .state_queries import STATE_ORACLE_SQL, STATE_QUERIES  # noqa: E402
 from .stream_queries import STREAM_ORACLE_SQL, STREAM_QUERIES  # noqa: E402
 
 QUERIES = {
     **JOB_QUERIES,
     "board_processing": _board(view="processing"), "board_approval": _board(view="approval"), "board_completed": _board(view="completed"), "board_all": _board(),
-    "board_text": _board(text="CLERK in ír", status="新建"), "board_version": _board(version="v1996.7"), "board_filtered": _board(view="processing", kind="Bug", priority="紧急", project="BUILDING"), "board_by_version": _board(status="新建", sort="version"), "board_by_updated": _board(status="处理中", sort="updated"),
+    "board_text": _board(text="CLERK in nàtion_1", status="新建"), "board_version": _board(version="v1996.7"), "board_filtered": _board(view="processing", kind="Bug", priority="紧急", project="BUILDING"), "board_by_version": _board(status="新建", sort="version"), "board_by_updated": _board(status="处理中", sort="updated"),
     **{f.__name__: f for f in (
         normalize_tickets, board_search, project_counts, view_counts, repo_counts, versions_distinct, projects_first, display_status, active_item, detail_item, dedup_first, sync_new, sync_retained,
         sync_merged, upsert_items, delete_rows, delivered_state, detail_enriched, item_ticket, item_repository, delivery, delivery_message, strip_labels, strip_page_param, report_sections, parse_dates, updated_text, parse_events,
         final_message, visible_logs, liveness, stage_history_invalid, recoverable_jobs,
     )},
     **STREAM_QUERIES,
+    **STATE_QUERIES,
 }
 
 _TICKETS = """
@@ -235,19 +237,20 @@ _PROCESSING = " LEFT JOIN active ON id = ticket_id WHERE ((active_stage IS NOT N
 _REPOS = "repos AS (SELECT s_suppkey AS position, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS project, s_name AS path, s_suppkey % 10 = 3 AS is_default FROM supplier)"
 _SYNC = _BOTH + ", cached AS (SELECT * FROM tickets WHERE id % 10 <> 0), synced AS (SELECT * FROM tickets WHERE id % 10 NOT IN (1, 2)), retained AS (SELECT * FROM cached WHERE id NOT IN (SELECT id FROM synced) AND id IN (SELECT ticket_id FROM active)) "
 _EVENTS = """ev AS (
-  SELECT conv_id AS run_id, turn AS "offset", CASE role WHEN 'user' THEN 'done' WHEN 'assistant' THEN text ELSE 'log ' || turn END AS display,
+  SELECT conv_id AS run_id, turn AS "offset", CASE role WHEN 'user' THEN 'Codex 已完成本轮任务' WHEN 'assistant' THEN text ELSE 'log ' || turn END AS display,
     CASE WHEN role = 'assistant' THEN text END AS final FROM conversations
 )"""
 
 ORACLE_SQL = {
     **JOB_ORACLE_SQL,
     **STREAM_ORACLE_SQL,
+    **STATE_ORACLE_SQL,
     "stream_merge": _SYNC + "SELECT id, status, project, id % 10 = 0 AS is_new, 'loginRequired' AS sync_status, true AS unread FROM (SELECT * FROM synced UNION ALL SELECT * FROM retained)",
     "board_processing": _BOTH + _COLS + _PROCESSING,
     "board_approval": _BOTH + _COLS + " JOIN active ON id = ticket_id WHERE active_stage IN ('awaitingPlanApproval', 'awaitingApproval')",
     "board_completed": _BOTH + _COLS + " WHERE status = '已完成' OR EXISTS (SELECT 1 FROM items WHERE ticket_id = id AND stage = 'completed')",
     "board_all": f"WITH {_TICKETS} {_COLS}",
-    "board_text": f"WITH {_TICKETS} {_COLS} WHERE status = '新建' AND contains(lower(id || ' ' || title || ' ' || description), 'clerk in ir')",
+    "board_text": f"WITH {_TICKETS} {_COLS} WHERE status = '新建' AND contains(strip_accents(lower(id || ' ' || title || ' ' || description)), strip_accents('clerk in nàtion_1'))",
     "board_version": f"WITH {_TICKETS} {_COLS} WHERE version = 'v1996.7'",
     "board_filtered": _BOTH + _COLS + _PROCESSING + " AND kind = 'Bug' AND priority = '紧急' AND project = 'BUILDING'",
     "board_by_version": f"WITH {_TICKETS} {_COLS} WHERE status = '新建'",

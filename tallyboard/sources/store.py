@@ -97,3 +97,17 @@ class Store:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
+
+
+class Tables:
+    """Tables written in turn to one folder, so that a loop's plan stays short and survives lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.store, self.n = spark, Store(spark, work_folder(spark, name)), 0
+
+    def write(self, df):
+        """The table as read back from the folder."""
+        self.n += 1
+        path = f"{self.store.root}/{self.n:04d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
