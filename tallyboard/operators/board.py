@@ -1,4 +1,9 @@
-"""Board queries: active items, views, filters, search, order, counts; and sync with cached rows."""
+"""Board queries: active items, views, filters, search, order, counts; and sync with cached rows.
+
+Nulls: a null stage is no stage and never active; a null status, kind or text fits no filter; null ids
+join with nothing. Where rows tie the lowest id or position wins. Empty tables give empty results,
+and counts of 0. Repeated rows are kept, but keys that are looked up count once.
+"""
 
 from __future__ import annotations
 
@@ -39,6 +44,11 @@ class BoardQuery:
     version: str | None = None
     sort: str = "priority"
 
+    @property
+    def filters_empty(self) -> bool:
+        """Whether no filter of a ticket's own fields is set; the search text is none of them."""
+        return self.kind is None and self.priority is None and self.status is None and self.version is None
+
     def run(self, tickets: DataFrame, items: DataFrame) -> DataFrame:
         t = tickets
         for name in ("project", "kind", "priority", "status", "version"):
@@ -112,6 +122,46 @@ def sync_merged(synced: DataFrame, cached: DataFrame, items: DataFrame) -> DataF
     return synced.unionByName(sync_retained(synced, cached, items))
 
 
+def enriched(tickets: DataFrame, details: DataFrame) -> DataFrame:
+    """Tickets with what their own pages say: ``details`` has id, ok, description and author.
+
+    A page that failed (``ok`` is not true) changes nothing. A description is taken as it is, '' where
+    the page has none; an author only where the list has none. Of several pages of a ticket the
+    first by description and author counts; null ids match nothing.
+    """
+    d = details.filter(F.col("ok")).groupBy(F.col("id").alias("d_id")).agg(F.min(F.struct(F.coalesce("description", F.lit("")).alias("description"), F.coalesce("author", F.lit("")).alias("author"))).alias("d"))
+    t = tickets.join(d, F.col("id") == F.col("d_id"), "left")
+    author = S.blank_to(F.col("author"), F.coalesce(F.nullif("d.author", F.lit("")), F.col("author")))
+    return t.withColumn("description", F.coalesce("d.description", "description")).withColumn("author", author).drop("d_id", "d")
+
+
+def reselected(selected: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Each selection (viewer, id) with the ticket that it means now; null where that is gone or nothing was selected."""
+    mine = selected.select("viewer", F.col("id").alias("s_id"))
+    kept = tickets.select(F.struct(*[F.col(c) for c in tickets.columns]).alias("ticket"), F.col("id").alias("t_id"))
+    return mine.join(kept, F.col("s_id") == F.col("t_id"), "left").select("viewer", "s_id", "ticket")
+
+
+def titles(views: DataFrame, projects: DataFrame) -> DataFrame:
+    """``views`` (viewer, project, label) with the title shown: the selected project's name, else the view's label."""
+    p = projects.select(F.col("project").alias("p_project"), F.col("project").alias("p_name")).distinct()
+    return views.join(p, F.col("project") == F.col("p_project"), "left").select("viewer", F.coalesce("p_name", "label").alias("title"))
+
+
+def solvable(tickets: DataFrame) -> DataFrame:
+    """Tickets that may be solved: those that do not wait for tests."""
+    return tickets.filter(F.col("status") != "待测试")
+
+
+def sync_totals(synced: DataFrame, cached: DataFrame, unread: bool = False) -> DataFrame:
+    """One row (n_tickets, n_new, unread, needs_login): the counts of a sync; unread news stay unread.
+
+    ``cached`` are the tickets before; one must sign in where there are none after it either.
+    """
+    new = sync_new(synced, cached).agg(F.count("*").alias("n_new"))
+    return synced.agg(F.count("*").alias("n_tickets")).crossJoin(new).select("n_tickets", "n_new", ((F.col("n_new") > 0) | F.lit(unread)).alias("unread"), (F.col("n_tickets") == 0).alias("needs_login"))  # one row by one row
+
+
 def upsert(rows: DataFrame, changes: DataFrame, key: list[str], sequence: str = "sequence") -> DataFrame:
     """Changes replace rows of their key in place: ``position`` stays that of the first insert.
 

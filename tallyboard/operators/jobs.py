@@ -23,6 +23,7 @@ STATUS_TEXTS = {"partial": "代码已提交，工单待重试", "completed": "
 STATUS_TEXT = "等待人工确认"
 INTERRUPTED = "AI 后台任务已中断，你可以重新检查进程或返回配置。"
 RECONNECTING, RECOVERED = "正在重新连接 AI 任务…", "已恢复后台任务，正在继续接收日志"
+CLEAN, DIRTY, NO_REPOSITORY = "仓库状态正常", "仓库存在未提交改动（将保留并继续）", "所选目录不是 Git 仓库"
 NO_REASONING = "AI 未按结构返回原因说明，请查看原始输出。"
 MARKS = ("SUMMARY:", "REASONING:", "TESTS:", "RISKS:")
 FRESH_S = 8.0
@@ -158,6 +159,26 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x != "")
 
 
+def repository_state(inside: Column, porcelain: Column, branch: Column, remote: Column, error: Column) -> Column:
+    """struct<is_repository, is_clean, branch, remote, message> from the captured texts of a probe.
+
+    ``error`` is what stopped the probe, null if nothing did; a remote that is not there is ''.
+    """
+    blank, no = F.lit(""), F.lit(False)
+    ok = error.isNull() & (S.trim_all(F.coalesce(inside, blank)) == "true")
+    clean = S.trim_all(F.coalesce(porcelain, blank)) == ""
+    found = F.struct(F.lit(True).alias("is_repository"), clean.alias("is_clean"), S.trim_all(F.coalesce(branch, blank)).alias("branch"), S.trim_all(F.coalesce(remote, blank)).alias("remote"), F.when(clean, CLEAN).otherwise(DIRTY).alias("message"))
+    none = F.struct(no.alias("is_repository"), no.alias("is_clean"), blank.alias("branch"), blank.alias("remote"), F.coalesce(error, F.lit(NO_REPOSITORY)).alias("message"))
+    return F.when(ok, found).otherwise(none)
+
+
+def with_lines(text: Column, more: Column) -> Column:
+    """A text with the lines of an array behind it, empty ones left out; null counts as empty."""
+    kept = F.array_join(F.filter(more, lambda x: x != ""), "\n")
+    text = F.coalesce(text, F.lit(""))
+    return F.when(kept == "", text).when(text == "", kept).otherwise(F.coalesce(F.concat(text, F.lit("\n"), kept), text))
+
+
 def whole_diff(unstaged: Column, staged: Column) -> Column:
     return F.array_join(F.filter(F.array(unstaged, staged), lambda x: x != ""), "\n")
 

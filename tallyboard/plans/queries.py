@@ -125,7 +125,7 @@ def item_repository(spark, sf_dir):
 
 def delivery(spark, sf_dir):
     t = A.tickets(spark, sf_dir)
-    return t.select("id", S.delivery_assignee(F.col("kind"), F.col("author"), F.col("assignee")).alias("assignee"), S.delivery_error(F.col("kind"), F.col("author"), F.col("source_url")).alias("error"), F.concat(F.lit("[#"), "id", F.lit("] "), "version").alias("commit_message"))
+    return t.select("id", S.delivery_assignee(F.col("kind"), F.col("author"), F.col("assignee")).alias("assignee"), S.delivery_error(F.col("kind"), F.col("author"), F.col("source_url")).alias("error"), F.concat(F.lit("[#"), "id", F.lit("] "), "title").alias("commit_message"))
 
 
 def delivery_message(spark, sf_dir):
@@ -193,6 +193,7 @@ def recoverable_jobs(spark, sf_dir):
     return A.work_items(spark, sf_dir).filter(F.col("stage").isin(*S.RECOVERABLE)).groupBy("ticket_id").agg(F.count("*").alias("n"))
 
 
+from .board_queries import BOARD_QUERIES, board_oracle_sql  # noqa: E402
 from .job_queries import JOB_ORACLE_SQL, JOB_QUERIES  # noqa: E402
 from .state_queries import STATE_ORACLE_SQL, STATE_QUERIES  # noqa: E402
 from .stream_queries import STREAM_ORACLE_SQL, STREAM_QUERIES  # noqa: E402
@@ -208,6 +209,7 @@ QUERIES = {
     )},
     **STREAM_QUERIES,
     **STATE_QUERIES,
+    **BOARD_QUERIES,
 }
 
 _TICKETS = """
@@ -245,6 +247,7 @@ ORACLE_SQL = {
     **JOB_ORACLE_SQL,
     **STREAM_ORACLE_SQL,
     **STATE_ORACLE_SQL,
+    **board_oracle_sql(_TICKETS, _ITEMS, _REPOS),
     "stream_merge": _SYNC + "SELECT id, status, project, id % 10 = 0 AS is_new, 'loginRequired' AS sync_status, true AS unread FROM (SELECT * FROM synced UNION ALL SELECT * FROM retained)",
     "board_processing": _BOTH + _COLS + _PROCESSING,
     "board_approval": _BOTH + _COLS + " JOIN active ON id = ticket_id WHERE active_stage IN ('awaitingPlanApproval', 'awaitingApproval')",
@@ -275,7 +278,7 @@ ORACLE_SQL = {
     "detail_enriched": "SELECT d.doc_id, coalesce(nullif(lang, 'fr'), CAST(quality AS VARCHAR)) AS author FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "item_ticket": _BOTH + " SELECT id, project, count(*) AS n_items FROM items JOIN tickets ON ticket_id = id GROUP BY id, project",
     "item_repository": f"WITH {_TICKETS}, {_REPOS}, best AS (SELECT project, path FROM repos QUALIFY row_number() OVER (PARTITION BY project ORDER BY is_default DESC, position) = 1) SELECT id, path FROM tickets LEFT JOIN best USING (project)",
-    "delivery": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '' WHEN kind IN ('Bug', '支持') THEN coalesce(author, '') ELSE assignee END AS assignee, CASE WHEN kind IN ('Bug', '支持') AND author IS NULL AND source_url IS NOT NULL THEN 'missingTicketAuthor' END AS error, '[#' || id || '] ' || version AS commit_message FROM tickets",
+    "delivery": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '' WHEN kind IN ('Bug', '支持') THEN coalesce(author, '') ELSE assignee END AS assignee, CASE WHEN kind IN ('Bug', '支持') AND author IS NULL AND source_url IS NOT NULL THEN 'missingTicketAuthor' END AS error, '[#' || id || '] ' || title AS commit_message FROM tickets",
     "delivery_message": f"WITH {_TICKETS} SELECT id, CASE WHEN kind = '需求' THEN '工单已转为待测试，负责人保持不变' WHEN kind IN ('Bug', '支持') THEN CASE WHEN coalesce(author, '') = '' THEN '工单已转为待测试，未获取到创建人，负责人保持不变' ELSE '工单已转为待测试并转交给创建人 ' || author END WHEN coalesce(assignee, '') = '' THEN '工单已转为待测试，负责人保持不变' ELSE '工单已转为待测试并转交给 ' || assignee END AS message FROM tickets",
     "strip_labels": "SELECT doc_id, 'of ' || source AS text FROM documents",
     "strip_page_param": r"SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page(=|&|#|$)') THEN regexp_replace(regexp_replace(regexp_replace(url, '([?&])page(=[^&#]*)?(&|$)', '\1'), '[?&]$', ''), '[?&]#', '#') ELSE url END AS url FROM pages",

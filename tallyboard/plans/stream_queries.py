@@ -9,6 +9,7 @@ from ..sources import adapters as A
 from ..sources.store import work_folder
 from ..streaming import liveness as L
 from ..streaming import log_files
+from ..streaming.single_flight import run_once
 from ..streaming.sync_merge import SyncMerge, merge_stream
 
 #: Seconds that a run stays fresh in ``live_runs``, and of its grace: users act a few times a week.
@@ -59,7 +60,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     for sync in syncs:
         sync.write.mode("append").parquet(f"{folder}/landed")
         rows = spark.readStream.schema(sync.schema).parquet(f"{folder}/landed")
-        merge_stream(rows, merge, f"{folder}/checkpoint").awaitTermination()
+        run_once(spark, f"{folder}/sync", lambda checkpoint, rows=rows: merge_stream(rows, merge, checkpoint))
     tables, settings = merge.state()
     new = tables["new_tickets"].withColumnRenamed("id", "n_id")
     out = tables["tickets"].join(new, F.col("id") == F.col("n_id"), "left")
