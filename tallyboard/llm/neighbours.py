@@ -6,11 +6,13 @@
    Lists hold the ``k`` best whatever their cosine; one whose members all are links is
    saturated and may grow to ``4 k``. It ends when fewer than ``settled`` of all entries
    are new.
-3. Audit: a sample of classes is compared with all vectors in blocks. It doubles until it
-   holds enough classes with few links (``k`` at most), or is all classes. Where the share
-   of those whose links all lie within one component is below ``recall``, or that of all
-   others' links is, more trees are grown; after the last forest the classes that are not
-   in the sample are compared with all vectors, too.
+3. Audit: ``sample`` classes at most, chosen by hash, are compared with all vectors in blocks:
+   one pass, whatever the number of links that it sees. Forests are grown, each followed by a
+   descent, until the share of the sample's classes with few links (``k`` at most) whose links
+   all lie within one component is ``recall`` or more, and that of the others' links, too.
+   Where links are so rare that the sample holds few of them, the last forest must also have
+   joined less than 1 - ``recall`` of all that is joined: trees are independent, so what
+   one of them finds tells what the others have missed.
 4. Within each component all pairs are compared exactly in double precision, tile by tile;
    that confirms links and counts those that no list could hold.
 """
@@ -116,8 +118,8 @@ def _descend(lists: DataFrame, classes: DataFrame, scratch: Scratch, k: int, thr
     return scratch.write(rows.repartition("hub").sortWithinPartitions("hub").mapInPandas(_compare(["hub"], k, threshold), EDGES), "descent")
 
 
-#: Classes of the audit that are compared in one pass, and those with few links that it looks for.
-PASS, ENOUGH = 4096, 64
+#: Audited classes with few links that tell the recall by themselves.
+ENOUGH = 64
 
 
 def _audit(classes: DataFrame, first: int, end: int, of: int, k: int, threshold: float, scratch: Scratch) -> DataFrame:
@@ -127,7 +129,7 @@ def _audit(classes: DataFrame, first: int, end: int, of: int, k: int, threshold:
     all are returned, of others some that span them.
     """
     some = classes.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(of)).between(first, end - 1)).select("node", "label", "vec").toPandas()
-    shared = classes.sparkSession.sparkContext.broadcast(some)  # about PASS vectors at most
+    shared = classes.sparkSession.sparkContext.broadcast(some)  # about ``sample`` vectors
 
     def run(frames):
         for pdf in frames:
@@ -153,14 +155,14 @@ def _few(truth: DataFrame, k: int) -> DataFrame:
     return truth.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("n")).filter(F.col("n") <= k).select("u")
 
 
-def _found(truth: DataFrame, parts: DataFrame, k: int, recall: float) -> bool:
-    """Whether enough classes with few links, and enough of the other links, lie within components."""
+def _recall(truth: DataFrame, parts: DataFrame, k: int) -> tuple[int, int, int, int]:
+    """Audited classes with few links, those of them whose links all lie within components; the other links, and those within."""
     of = truth.filter("v IS NOT NULL").select("u", "v").join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     of = of.withColumn("hit", F.coalesce(F.col("cu") == F.col("cv"), F.lit(False)).cast("int"))
     few = _few(truth, k)
     n, hit = of.join(few, "u", "left_semi").groupBy("u").agg(F.min("hit").alias("hit")).agg(F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))).first()
     m, more = of.join(few, "u", "left_anti").agg(F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))).first()
-    return hit >= recall * n and more >= recall * m
+    return n, hit, m, more
 
 
 def _exact(threshold: float):
@@ -189,14 +191,19 @@ def _exact(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, k: int = 10, trees: int = 8, settled: float = 0.001, recall: float = 0.999, sample: int = 256, most_forests: int = 6, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, k: int = 10, trees: int = 8, settled: float = 0.001, recall: float = 0.999, sample: int = 4096, most_forests: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", report: dict | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows whose label or vector is null, or whose vector is empty, zero or holds null or
     non-finite components, link with nothing: 0 links, their own component. Vectors of
     different length never link. Copies of a vector are one class: they link with one another
     and share their links. Null ids are kept, with a null component unless it has other
-    rows; rows that repeat an id count as vectors of their own.
+    rows; rows that repeat an id count as vectors of their own. An empty table gives an empty result.
+
+    ``report`` gets what the audit saw: classes, audited, linked (with few links), found, forests.
+    Links that the audit saw are kept. ``most_forests`` ends the search earlier: then, if the audit
+    measured too little, the classes that it did not compare are compared with all vectors, too,
+    which costs the square of their number.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("vec"))
     fine = F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("vec", lambda x: x != 0)
@@ -208,19 +215,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
     per = classes.groupBy("label").agg(F.count("*").alias("n"))
     sized = scratch.write(classes.join(per, "label"), "sized")
     n_classes = classes.count()
-    slices, at = max(1, -(-n_classes // max(1, sample))), 0
-    wide = max(1, PASS // max(1, sample))
-    truth, edges = None, None
-    while at < slices:
-        end = min(slices, at + max(1, min(at, wide)))
-        more = _audit(classes, at, end, slices, k, threshold, scratch)
-        truth, at = more if truth is None else truth.unionByName(more), end
-        if _few(truth, k).count() >= ENOUGH:
-            break
-    if truth is None:
-        truth = _audit(classes, 0, 0, 1, k, threshold, scratch)
-    truth = scratch.write(truth, "truth")
-    for forest in range(most_forests):
+    slices = max(1, -(-n_classes // sample))
+    truth = _audit(classes, 0, 1, slices, k, threshold, scratch)
+    edges, forest, joined = None, 0, None
+    while True:
         found = _forest(sized, forest * trees, trees, scratch, k, threshold)
         edges = found if edges is None else edges.unionByName(found)
         lists = scratch.write(_lists(edges, k, threshold), "lists")
@@ -236,12 +234,17 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
         own = edges.filter(F.isnan("sim") | (F.col("sim") >= threshold - 1e-6)).select("u", "v")
         parts = connected_components(own, scratch)
         parts = scratch.write(parts, "parts")
-        if _found(truth, parts, k, recall):
+        linked, hit, others, more = _recall(truth, parts, k)
+        enough = hit >= recall * linked and more >= recall * others
+        before, joined, forest = joined, parts.count() - parts.select("component").distinct().count(), forest + 1
+        quiet = before is not None and joined - before <= (1 - recall) * joined
+        if enough and (slices == 1 or linked >= ENOUGH or quiet) or forest == most_forests:
             break
-    else:  # the rest exactly
-        while at < slices:
-            end = min(slices, at + wide)
-            truth, at = truth.unionByName(_audit(classes, at, end, slices, k, threshold, scratch)), end
+    if not enough:
+        for at in range(1, slices):
+            truth = truth.unionByName(_audit(classes, at, at + 1, slices, k, threshold, scratch))
+    if report is not None:
+        report |= {"classes": n_classes, "audited": min(n_classes, sample), "linked": linked, "found": hit, "forests": forest}
     links = truth.filter("v IS NOT NULL").select("u", "v")
     parts = connected_components(own.unionByName(links), scratch)
     inside = sized.join(parts.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node")).select(F.col("component").alias("comp"), "node", "vec", "size", F.lit(0).alias("level"))

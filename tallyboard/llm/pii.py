@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, rows_if_small
@@ -182,11 +182,14 @@ def document_frequency(docs: DataFrame, found: DataFrame, scratch: Scratch, text
 def ratings(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str = "text", support: int = 5, generalise: float = 0.8) -> DataFrame:
     """(e, term, ratio): the terms that reveal an entity by ``generalise`` or more."""
     total = found.select("text_hash").distinct().count()
-    holders = found.filter("text IS NOT NULL").dropDuplicates(["text_hash"])
-    held = scratch.write(holders.select(F.explode(_entities(F.col("spans"), F.col("long"))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") * 2 <= total)), "entities")
+    holders = found.filter("text IS NOT NULL").dropDuplicates(["text_hash"]).select("row", "text", _entities(F.col("spans"), F.col("long")).alias("es"))
+    holders = scratch.write(holders, "holders")
+    each = holders.select("row", F.explode("es").alias("e"))
+    held = scratch.write(each.groupBy("e").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") * 2 <= total)), "entities")
     side = F.broadcast(held) if rows_if_small(held, 200_000) else held
-    known = holders.select(F.explode(_entities(F.col("spans"), F.col("long"))).alias("e"), "text").join(side, "e")
-    near = known.select("e", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
+    # a text is carried once, with those of its entities that count; terms are extracted once
+    known = each.join(side, "e").groupBy(F.col("row").alias("k_row")).agg(F.collect_list(F.struct("e", "n_e")).alias("known"))
+    near = holders.join(known, F.col("row") == F.col("k_row")).select("known", F.explode(_terms(F.col("text"))).alias("term")).select("term", F.inline("known"))
     pairs = near.groupBy("e", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support)
     n = F.lit(float(max(total, 2)))
     ratio = F.log(F.col("n_et") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
@@ -201,9 +204,10 @@ def revealing(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str
     out = scratch.write(ratings(docs, found, scratch, text_col, support, generalise), "rated")
     out = F.broadcast(out) if rows_if_small(out, 200_000) else out
     texts = found.filter("text IS NOT NULL")
-    each = texts.select("row", F.explode(_entities(F.col("spans"), F.col("long"))).alias("e"), "text")
-    hits = each.select("row", "e", F.explode(_terms(F.col("text"))).alias("term")).join(out, ["e", "term"])
-    hits = hits.groupBy("row", "term").agg(F.max(F.col("ratio") >= remove).alias("removed"))
+    # a text's terms meet the ratings, what is left its entities: no pairs of the two are made
+    hits = texts.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(out, "term")
+    own = texts.select("row", F.explode(_entities(F.col("spans"), F.col("long"))).alias("e"))
+    hits = hits.join(own, ["row", "e"], "left_semi").groupBy("row", "term").agg(F.max(F.col("ratio") >= remove).alias("removed"))
     removed = F.collect_list(F.when(F.col("removed"), F.col("term")))  # nulls are left out
     lists = hits.groupBy(F.col("row").alias("h_row")).agg(F.array_join(F.collect_list("term"), "|").alias("marked"), removed.alias("removed"))
     # terms are letters and digits, so they stand for themselves in a pattern
@@ -225,13 +229,35 @@ def sanitise_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     found = base.withColumn("long", F.filter("long", lambda m: m["mixes"] * bits >= identifier_bits))
     found = found.withColumn("text", F.when((F.size("spans") > 0) | (F.size("long") > 0), F.col("text")))
     marked = revealing(docs, found, scratch, text_col, **limits).select(F.col("row").alias("t_row"), "terms")
-    own = F.transform("long", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(False).alias("removed")))
+    some = found.select("row", "spans", "long").join(marked, F.col("row") == F.col("t_row"), "left").filter("t_row IS NOT NULL OR size(long) > 0")
+    clear = _clear(some).withColumnRenamed("row", "c_row")
+    out = found.drop("text").join(clear, F.col("row") == F.col("c_row"), "left")
     none = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, removed: boolean>>)")
-    out = found.drop("text").join(marked, F.col("row") == F.col("t_row"), "left")
-    words = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("long", lambda m: (m["start"] < t["end"]) & (t["start"] < m["end"])))
-    out = out.select("doc_id", "spans", F.sort_array(F.concat(own, words)).alias("terms"))
-    clear = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.withColumn("terms", F.when(F.size("terms") > 0, clear).otherwise(F.col("terms")))
+    return out.select("doc_id", "spans", F.coalesce("terms", none).alias("terms"))
+
+
+def _clear(d: DataFrame) -> DataFrame:
+    """(row, terms): identifiers that overlap no base span, and terms that overlap neither.
+
+    ``d`` has row, spans, long, terms. The stretches of a row are sorted, so no two are compared: one
+    overlaps an earlier one that reaches beyond its start, or a later one that starts before its end.
+    """
+
+    def stretches(xs: Column, tag: int, removed) -> Column:
+        return F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(tag).alias("tag"), removed(x).alias("removed")))
+
+    none, no = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, removed: boolean>>)"), lambda x: F.lit(False)
+    every = F.concat(stretches(F.col("spans"), 0, no), stretches(F.col("long"), 1, no), stretches(F.coalesce("terms", none), 2, lambda x: x["removed"]))
+    rows = d.select("row", F.inline(every))
+    order = Window.partitionBy("row").orderBy("start", "end", "tag")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("tag")).rowsBetween(Window.unboundedPreceding, -1)
+    for tag in (0, 1):
+        mine = F.col("tag") == tag
+        rows = rows.withColumn(f"reach{tag}", F.max(F.when(mine, F.col("end"))).over(before)).withColumn(f"next{tag}", F.min(F.when(mine, F.col("start"))).over(back))
+    hit = lambda tag: F.coalesce(F.col(f"reach{tag}") > F.col("start"), F.lit(False)) | F.coalesce(F.col(f"next{tag}") < F.col("end"), F.lit(False))
+    kept = rows.filter(((F.col("tag") == 1) & ~hit(0)) | ((F.col("tag") == 2) & ~hit(0) & ~hit(1)))
+    return kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
 
 
 def bare(spans: Column) -> Column:

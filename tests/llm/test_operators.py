@@ -408,3 +408,53 @@ def test_audit_counts_isolated_pairs_and_the_rest_is_exact(spark, scratch):
     got = {r["vec_id"]: r["n_links"] for r in neighbours.near_vectors(d, scratch, k=1, threshold=0.98, trees=1, most_forests=1).collect()}
     u = m / np.linalg.norm(m, axis=1)[:, None]
     assert got == dict(enumerate((((u @ u.T) >= 0.98).sum(axis=1) - 1).tolist()))
+
+
+@pytest.mark.parametrize("pairs, cluster", [(0, 0), (5, 0), (60, 0), (0, 3000)])
+def test_audit_is_one_bounded_pass(spark, scratch, monkeypatch, pairs, cluster):
+    # strangers beyond the sample, with no link, few links, or a cluster of thousands
+    rng = np.random.default_rng(7)
+    m = rng.standard_normal((2_000, 24))
+    twins = m[:pairs] + 0.05 * rng.standard_normal((pairs, 24))
+    hot = np.r_[5.0, np.zeros(23)] + 0.1 * rng.standard_normal((cluster, 24))
+    m = np.concatenate([m, twins, hot]).astype(np.float32).astype(float)
+    d = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(m)], "vec_id long, embedding array<float>, label int")
+    passes, real, report = [], neighbours._audit, {}
+    monkeypatch.setattr(neighbours, "_audit", lambda *a: passes.append(a[1:4]) or real(*a))
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_vectors(d, scratch, sample=200, report=report).collect()}
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    assert got == dict(enumerate((((u @ u.T) >= 0.93).sum(axis=1) - 1).tolist()))
+    assert len(passes) == 1 and report["audited"] == 200 and 2 <= report["forests"] <= 4 and report["found"] == report["linked"]
+
+
+def test_thousands_of_different_addresses_in_one_text(spark, scratch):
+    parts = [f"name{i} user{i}@host{i % 50}.org" for i in range(20_000)]
+    rows = [(i, f"mail user{i}@example.org about alpha{i % 7}") for i in range(68)] + [(100, " ".join(parts))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(pii.sanitise_spans(d, scratch)).collect()}
+    assert time.time() - start < 60  # each term and each entity once: about 10 s, most of it start-up
+    at, want = 0, []
+    for x in parts:
+        a = at + x.index(" ") + 1
+        want.append(f"email:{a}:{at + len(x)}")
+        at += len(x) + 1
+    assert got[100]["spans"] == ",".join(want)
+
+
+def test_terms_and_identifiers_beside_spans(spark, scratch):
+    spans, stretch = "array<struct<kind string, start bigint, end bigint>>", "array<struct<start bigint, end bigint, removed boolean>>"
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        cut = lambda n: [(a, a + rng.randint(1, 6)) for a in (rng.randint(0, 60) for _ in range(n))]
+        rows.append((i, [("email", a, b) for a, b in cut(rng.randint(0, 4))], [(a, b, 9) for a, b in cut(rng.randint(0, 3))], [(a, b, rng.random() < 0.5) for a, b in cut(rng.randint(0, 6))]))
+    d = spark.createDataFrame(rows, f"row long, spans {spans}, long array<struct<start bigint, end bigint, mixes int>>, terms {stretch}")
+    hit = lambda x, ys: any(x[0] < b and a < x[1] for a, b in ys)
+    want = {}
+    for i, ss, ls, ts in rows:
+        base, own = [x[1:] for x in ss], [x[:2] for x in ls]
+        kept = sorted([(*x, False) for x in own if not hit(x, base)] + [t for t in ts if not hit(t, base) and not hit(t, own)])
+        if kept:
+            want[i] = kept
+    assert {r["row"]: [tuple(t) for t in r["terms"]] for r in pii._clear(d).collect()} == want
