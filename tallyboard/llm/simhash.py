@@ -10,10 +10,11 @@ over many tasks.
 * ``near_duplicates``: 64 bits, small radius. Of ``radius + 1`` blocks of bits, two linked
   fingerprints agree in one at least, so no link is lost.
 * ``similar_groups``: links texts whose sets of five-word shingles have a Jaccard
-  similarity of 0.8 or more. 256 bits tell that similarity well, the radius lies four
-  standard deviations beyond its mean there, and bands of sampled bits find a pair of
-  similarity 0.8 with probability ``recall`` (more similar ones more surely). The shingles
-  themselves then decide each link exactly.
+  similarity of 0.8 or more. Candidates are texts that share a band of minima of random
+  functions over their sets (a pair of similarity 0.8 shares none in three of a million
+  cases, more similar ones more rarely, whatever the number and length of texts) and whose
+  256-bit fingerprints lie within a radius, six standard deviations beyond the mean of such
+  pairs. The shingles themselves then decide each link exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ from .graph import connected_components, spanning
 SEED = 42
 #: Shingles held as bits at one time; fingerprints, and shingle sets, in one tile.
 BLOCK, TILE, SET_TILE = 1 << 15, 2048, 256
+#: Shingles of all sets in one tile.
+TILE_SHINGLES = 1 << 20
+#: Minima in a band, and bands: (1 - 0.8 ** 4) ** 24 is 3e-6.
+ROWS, BANDS = 4, 24
+#: Sets below this size tell too little by their bits, so their bands alone make them candidates.
+FEW = 16
 
 
 def shingle_hashes(text: str | None, width: int, part: int = BLOCK):
@@ -77,6 +84,25 @@ def wide_fingerprint(shingles: np.ndarray, lanes: int) -> np.ndarray:
     return ones * 2 > len(shingles)
 
 
+def _functions() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    return rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
+
+
+SLOPES, SHIFTS = _functions()
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A number for each band: the hash of the least values of its linear functions over the shingles."""
+    best = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(best, (mix64(shingles[at : at + 2048], 99)[:, None] * SLOPES + SHIFTS).min(axis=0), out=best)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in best.reshape(BANDS, ROWS).T:
+        key = mix64(key ^ row, 5)
+    return key.view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every row as a signed long.
 
@@ -237,55 +263,110 @@ def _verify_frames(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.999) -> DataFrame:
+def _verified(units: DataFrame, with_sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Exact links between the sets that meet in a unit (comp, pair); ``units`` has comp, pair, node."""
+    rows = units.join(with_sets.select(F.col("node").alias("s_node"), "shingles"), F.col("node") == F.col("s_node")).select("comp", "pair", "node", F.lit(3).alias("side"), "shingles")
+    out = rows.repartition("comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_verify_frames(similarity), "u long, v long")
+    return scratch.write(out, "exact")
+
+
+def _grouped(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members`` with ``sub``, the smallest node of those that the edges join."""
+    parts = connected_components(edges, scratch)
+    m = members.drop("sub").join(parts.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node"), "left")
+    return scratch.write(m.select("comp", "node", "size", F.coalesce("component", "node").alias("sub")), "grouped")
+
+
+def _parts(n, size):
+    return F.greatest(F.ceil(n / SET_TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
+
+
+def exact_links(members: DataFrame, with_sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(u, v): links of ``similarity`` or more within each group of candidates, enough of them to join all that are linked.
+
+    ``members`` has comp, node, size (of the set); ``with_sets`` node and shingles. A group that
+    fits a tile is compared whole. In larger ones the sets of a tile meet first, then one of each group
+    found so far, in tiles again. What is still apart is compared in full: each set outside
+    the largest group with every other, tile by tile. Sets already joined need not meet.
+    """
+    whole = members.groupBy(F.col("comp").alias("w_comp")).agg(_parts(F.count("*"), F.sum("size")).alias("parts"))
+    units = members.join(whole, F.col("comp") == F.col("w_comp")).select("comp", F.pmod(F.xxhash64("node"), F.col("parts")).alias("pair"), "node")
+    edges = _verified(units, with_sets, similarity, scratch)
+    large = members.join(whole.filter("parts > 1"), F.col("comp") == F.col("w_comp"), "left_semi")
+    now, n = _grouped(large, edges, scratch), None
+    while True:
+        heads = now.filter("node = sub")
+        per = heads.groupBy(F.col("comp").alias("h_comp")).agg(F.count("*").alias("heads"), _parts(F.count("*"), F.sum("size")).alias("parts")).filter("heads > 1")
+        apart = per.agg(F.coalesce(F.sum("heads"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(0))).first()
+        if not apart[0]:
+            return edges
+        if apart[0] == n:
+            break
+        n = apart[0]
+        units = heads.join(per, F.col("comp") == F.col("h_comp")).select("comp", F.pmod(F.xxhash64("node", F.lit(n)), F.col("parts")).alias("pair"), "node")
+        edges = scratch.write(edges.unionByName(_verified(units, with_sets, similarity, scratch)), "edges")
+        now = _grouped(large, edges, scratch)
+    subs = now.groupBy("comp", "sub").agg(F.count("*").alias("n"))
+    top = subs.groupBy(F.col("comp").alias("t_comp")).agg(F.max(F.struct("n", "sub")).alias("top"), F.count("*").alias("subs")).filter("subs > 1")
+    d = now.join(top, F.col("comp") == F.col("t_comp")).select("comp", "node", "size", (F.col("sub") == F.col("top.sub")).alias("major"))
+    tiles = d.groupBy(F.col("comp").alias("t_comp")).agg(*[_parts(F.count_if(F.col("major") == x), F.sum(F.when(F.col("major") == x, F.col("size")).otherwise(0))).alias(name) for name, x in (("minor_parts", F.lit(False)), ("major_parts", F.lit(True)))])
+    d = d.join(tiles, F.col("comp") == F.col("t_comp"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("major_parts")).otherwise(F.col("minor_parts"))).cast("int") + F.when(F.col("major"), F.col("minor_parts")).otherwise(0)
+    upto = F.when(F.col("major"), F.col("minor_parts")).otherwise(F.col("minor_parts") + F.col("major_parts"))
+    d = d.withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
+    pair = F.least("tile", "other").cast("long") * (1 << 31) + F.greatest("tile", "other")
+    return edges.unionByName(_verified(d.select("comp", pair.alias("pair"), "node"), with_sets, similarity, scratch))
+
+
+def similar_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, lanes: int = 4, deviations: float = 6.0) -> DataFrame:
     """(doc_id, group_id) of every row: groups joined by links of ``similarity`` or more.
 
     group_id is the smallest id of the group. Links are between sets of distinct
     ``width``-word shingles (a shorter text is one shingle; texts without words are alike).
-    Null ids keep their row. The band width follows the number of distinct fingerprints,
-    and the number of bands follows from it and ``recall``.
+    Texts of equal sets are one class. Null ids keep their row. An empty table gives an empty result.
     """
     bits = 64 * lanes
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
-    radius = min(bits - 1, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
-    at_most = docs.count()
-    take = min(24, max(12, math.ceil(math.log2(max(at_most, 2))) - 6))
-    n_bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** take))
-    picks = np.random.default_rng(7).permuted(np.tile(np.arange(bits), (n_bands, 1)), axis=1)[:, :take]
-    power = 1 << np.arange(take, dtype=np.int64)
+    radius = min(bits - 1, math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
 
     def fps(batch: pa.RecordBatch):
-        fp, ones, keys = [], [], []
+        key, fp, ones, size, bands = [], [], [], [], []
         for t in batch.column(1).to_pylist():
-            b = wide_fingerprint(shingle_set(t, width), lanes)
+            s = shingle_set(t, width)
+            b = wide_fingerprint(s, lanes)
+            key.append(xxhash.xxh3_128_digest(s.tobytes(), SEED))
             fp.append(np.packbits(b).tobytes())
             ones.append(int(b.sum()))
-            keys.append((b[picks] @ power) + (np.arange(n_bands, dtype=np.int64) << 32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(ones, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "ones", "bands"])
+            size.append(len(s))
+            bands.append(band_keys(s))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(fp, pa.binary()), pa.array(ones, pa.int32()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "ones", "size", "bands"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.write(d.mapInArrow(batches(fps), "doc_id long, fp binary, ones int, bands array<long>"), "wide")
-    # a class is a fingerprint; its node number is a hash that stays the same in a rerun
-    classes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("ones").alias("ones"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("fp")), "classes")
-    candidates = connected_components(links(classes.select("node", "fp", "ones", F.explode("bands").alias("band")), scratch, radius), scratch)
+    rows = scratch.write(d.mapInArrow(batches(fps), "doc_id long, key binary, fp binary, ones int, size long, bands array<long>"), "wide")
+    # a class is a set of shingles; its node number is a hash that stays the same in a rerun
+    first = [F.first(c).alias(c) for c in ("fp", "ones", "size", "bands")]
+    classes = scratch.write(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), *first).withColumn("node", F.xxhash64("key")), "classes")
+    of = lambda some, mark: classes.filter(some).select("node", "fp", "ones", F.explode("bands").alias("band")).withColumn("band", F.col("band").bitwiseXOR(F.lit(mark)))
+    near = links(of(F.col("size") >= FEW, 0), scratch, radius)
+    # a small set's partner may be a quarter larger
+    small = links(of(F.col("size") < FEW * 5 // 4, 1), scratch, bits)
+    candidates = connected_components(near.unionByName(small), scratch)
     candidates = candidates.withColumnRenamed("component", "comp").withColumnRenamed("node", "c_node")
-    inside = scratch.write(classes.join(candidates, classes.node == F.col("c_node")).select("rep", "node", "comp").filter("rep IS NOT NULL"), "inside")
+    inside = scratch.write(classes.join(candidates, classes.node == F.col("c_node")).select("rep", "node", "comp", "size").filter("rep IS NOT NULL"), "inside")
 
     def sets(batch: pa.RecordBatch):
-        blob = [shingle_set(t, width).tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blob, pa.binary())], ["comp", "node", "shingles"])
+        blob = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blob, pa.binary())], ["node", "shingles"])
 
-    # three longs a row: where they are few, the texts that are no candidates stay where they are
+    # four longs a row: where they are few, the texts that are no candidates stay where they are
     side = F.broadcast(inside) if rows_if_small(inside, 500_000) else inside
-    texts = d.join(side, F.col("doc_id") == F.col("rep")).select("comp", "node", "text").dropDuplicates(["node"])
-    with_sets = scratch.write(texts.mapInArrow(batches(sets), "comp long, node long, shingles binary"), "shingle-sets")
-    checks = dealt(with_sets.withColumn("level", F.lit(0)), "comp", "level", "node", SET_TILE, scratch).select("comp", "pair", "side", "node", "shingles")
-    exact = checks.repartition("comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_verify_frames(similarity), "u long, v long")
-    parts = connected_components(exact, scratch)
+    texts = d.join(side, F.col("doc_id") == F.col("rep")).select("node", "text").dropDuplicates(["node"])
+    with_sets = scratch.write(texts.mapInArrow(batches(sets), "node long, shingles binary"), "shingle-sets")
+    parts = connected_components(exact_links(inside.select("comp", "node", "size"), with_sets, similarity, scratch), scratch)
     member = classes.join(parts.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node"), "left")
-    member = scratch.write(member.select("fp", "rep", F.coalesce("component", "node").alias("root")), "members")
+    member = scratch.write(member.select("key", "rep", F.coalesce("component", "node").alias("root")), "members")
     low = member.groupBy("root").agg(F.min("rep").alias("group_id"))
-    named = member.join(low, "root").select(F.col("fp").alias("c_fp"), "group_id")
+    named = member.join(low, "root").select(F.col("key").alias("c_key"), "group_id")
     scratch.drop(with_sets, inside)
-    return rows.join(named, rows.fp == named.c_fp).select("doc_id", "group_id")
+    return rows.join(named, rows.key == named.c_key).select("doc_id", "group_id")

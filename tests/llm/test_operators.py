@@ -458,3 +458,40 @@ def test_terms_and_identifiers_beside_spans(spark, scratch):
         if kept:
             want[i] = kept
     assert {r["row"]: [tuple(t) for t in r["terms"]] for r in pii._clear(d).collect()} == want
+
+
+def pairs_at(similarity_of_union, n, seed):
+    """Pairs of texts that share four of five of all their shingles, for unions of several sizes."""
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        union = rng.choice(similarity_of_union)
+        shared, a = 4 * union // 5, rng.randint(0, union // 5)
+        base = [f"w{rng.randrange(10**9)}" for _ in range(shared + 4)]
+        for extra in (a, union // 5 - a):
+            rows.append((len(rows), " ".join(base + [f"x{rng.randrange(10**9)}" for _ in range(extra)])))
+    return rows
+
+
+def test_pairs_at_exactly_the_threshold(spark, scratch):
+    rows = pairs_at([5, 5, 10, 15, 20, 25, 50, 100], 1_500, 4)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert all(got[i] == got[i + 1] == i for i in range(0, len(rows), 2))
+
+
+def test_exact_links_of_groups_beyond_a_tile(spark, scratch, monkeypatch):
+    # chains, whose ends are far apart, and clusters, in candidate groups of many tiles
+    monkeypatch.setattr(simhash, "SET_TILE", 6)
+    rng = random.Random(2)
+    sets = {}
+    for c in range(12):
+        at = rng.getrandbits(40)
+        sets[len(sets)] = set(range(at, at + 40))
+        for step in range(rng.randint(1, 9)):
+            at += rng.choice([2, 4, 4, 5, 9])
+            sets[len(sets)] = set(range(at, at + 40))
+    members = spark.createDataFrame([(i % 2, i, len(x)) for i, x in sets.items()], "comp long, node long, size long")
+    blobs = spark.createDataFrame([(i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in sets.items()], "node long, shingles binary")
+    links = [(a, b) for a in sets for b in sets if a < b and (a - b) % 2 == 0 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    edges = [(r["u"], r["v"]) for r in simhash.exact_links(members, blobs, 0.8, scratch).collect()]
+    assert roots(sets, edges) == want and all(want[a] == want[b] for a, b in edges) and len(set(want.values())) > 12
