@@ -223,22 +223,24 @@ def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int = 0, si
     lens = F.broadcast(spark.createDataFrame(pd.DataFrame({"s_l": np.arange(size), "shorter": shorter})))  # size rows
     placed = ranked.join(by_len, (F.col("chunk") == F.col("b_chunk")) & (F.col("l") == F.col("b_l"))).join(by_chunk, F.col("chunk") == F.col("c_chunk")).join(lens, F.col("l") == F.col("s_l"))
     placed = placed.select("row", "doc_id", "n", "crcs", "l", "full", F.expr(f"(l - 1) DIV {width}").alias("bin"), (F.col("r0") + F.col("r1") + F.col("shorter")).alias("rank"), (F.col("f0") + F.col("f1")).alias("before"))
-    if keep_ids:  # one row a document on either side
-        placed = placed.join(tokens.select(F.col("row").alias("i_row"), "parts", "tail"), F.col("row") == F.col("i_row")).drop("i_row")
-    ids = ["ids"] if keep_ids else []
-    head = placed.filter("full > 0").select("row", "doc_id", "n", "before", F.posexplode(F.expr("transform(parts, (p, i) -> struct(crcs[i] AS crc, p AS ids))" if keep_ids else "slice(crcs, 1, CAST(full AS INT))")).alias("k", "piece"))
+    heads = placed.filter("full > 0")
+    if keep_ids:  # one row a document on either side; tails wait until their places are known
+        heads = heads.join(tokens.filter("size(parts) > 0").select(F.col("row").alias("i_row"), "parts"), F.col("row") == F.col("i_row")).drop("i_row")
+    head = heads.select("row", "doc_id", "n", "before", F.posexplode(F.expr("transform(parts, (p, i) -> struct(crcs[i] AS crc, p AS ids))" if keep_ids else "slice(crcs, 1, CAST(full AS INT))")).alias("k", "piece"))
     head = head.withColumn("ids_crc32", F.col("piece.crc" if keep_ids else "piece")).select("row", "doc_id", (F.col("k") * F.lit(size).cast("long")).alias("start"), F.lit(size).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("before") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *([F.col("piece.ids").alias("ids")] if keep_ids else []))
     schema = "a_bin long, lo long, hi long, per long, seq long, sub long, len long, at long"
     table = F.broadcast(spark.createDataFrame(places.set_axis([c.split()[0] for c in schema.split(", ")], axis=1), schema) if len(places) else spark.createDataFrame([], schema))  # bounded by size
     tail = placed.filter("l > 0").join(table, (F.col("bin") == F.col("a_bin")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    tail = tail.select("row", "doc_id", (F.col("full") * size + F.col("sub")).alias("start"), F.when(F.col("at") < 0, F.col("l")).otherwise(F.col("len")).alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.lit(int(total_full)) + F.col("seq") + F.expr("(rank - lo) DIV per")).alias("sequence_id"), "at", "l", "rank", "sub", *([F.col("tail").alias("ids")] if keep_ids else []))
+    tail = tail.select("row", "doc_id", (F.col("full") * size + F.col("sub")).alias("start"), F.when(F.col("at") < 0, F.col("l")).otherwise(F.col("len")).alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), F.col("n").alias("doc_tokens"), (F.lit(int(total_full)) + F.col("seq") + F.expr("(rank - lo) DIV per")).alias("sequence_id"), "at", "l", "rank", "sub")
     inside = Window.partitionBy("sequence_id").orderBy("l", "rank", "row")  # a sequence: size pieces at most
     regular = tail.filter("at < 0").withColumn("offset", F.sum("length").over(inside) - F.col("length"))
     rest = tail.filter("at >= 0").withColumn("offset", F.col("at"))
     tail = regular.unionByName(rest).drop("at", "rank")
     whole = tail.filter("length = l").drop("l", "sub")
-    cut = scratch.write(tail.filter("length < l").drop("l", "ids_crc32", *ids), "cut")  # pieces of the rest, bounded by size
+    cut = scratch.write(tail.filter("length < l").drop("l", "ids_crc32"), "cut")  # pieces of the rest, bounded by size
     tails = tokens.select(F.col("row").alias("t_row"), "tail")
+    if keep_ids:
+        whole = whole.join(tails.withColumnRenamed("tail", "ids"), F.col("row") == F.col("t_row")).drop("t_row")
     width_of = dtype_of(vocabulary)
     inside = F.expr(f"substring(tail, CAST({width_of.itemsize} * sub + 1 AS INT), CAST({width_of.itemsize} * length AS INT))")
     cut = tails.join(F.broadcast(cut), F.col("t_row") == F.col("row")).withColumn("ids", inside).drop("t_row", "tail", "sub")
