@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
 from ..functions import texts as T
 from ..operators import board as B
 from ..operators import jobs as J
@@ -79,13 +80,31 @@ def helper_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", J.with_lines(F.when(k % 5 == 0, "").otherwise(F.col("p_type")), more).alias("text"))
 
 
-BOARD_QUERIES = {f.__name__: f for f in (tickets_enriched, processing_cancelled, repositories_upserted, reselected, board_titles, board_solvable, sync_totals, landed_labels, repository_states, helper_paths)}
+def job_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a job would ask for each ticket, as checksums of the two texts."""
+    ticket = {c: F.col(c) for c in ("id", "project", "kind", "priority", "title", "description")}
+    helper, plan = F.when(F.col("id") % 3 == 0, "").otherwise(F.col("version")), F.when(F.col("id") % 2 == 0, F.concat(F.lit("change "), "title"))
+    texts = P.prompt(ticket, helper, "Board", "JOB_"), P.prompt(ticket, helper, "Board", "JOB_", plan)
+    return A.tickets(spark, sf_dir).select("id", *[F.md5(x.cast("binary")).alias(n) for x, n in zip(texts, ("analysis", "changes"))])
+
+
+BOARD_QUERIES = {f.__name__: f for f in (tickets_enriched, processing_cancelled, repositories_upserted, reselected, board_titles, board_solvable, sync_totals, landed_labels, repository_states, helper_paths, job_prompts)}
 
 
 def board_oracle_sql(tickets: str, items: str, repos: str) -> dict[str, str]:
     """The SQL, over the shared definitions of tickets, work items and repositories."""
     nl = "chr(10)"
+
+    def prompt(template: str) -> str:
+        out = "'" + template.replace("{workbench}", "Board").replace("{prefix}", "JOB_") + "'"
+        fields = {"number": "'#' || id", "project": "project", "kind": "kind", "priority": "priority", "title": "title", "description": "description"}
+        fields |= {"helper": f"CASE WHEN id % 3 = 0 THEN '{P.NO_HELPER}' ELSE version END", "plan": f"CASE WHEN id % 2 = 0 THEN 'change ' || title ELSE '{P.NO_PLAN}' END"}
+        for name, value in fields.items():
+            out = f"replace({out}, '{{{name}}}', {value})"
+        return f"md5({out})"
+
     return {
+        "job_prompts": f"WITH {tickets} SELECT id, {prompt(P.ANALYSIS)} AS analysis, {prompt(P.CHANGES)} AS changes FROM tickets",
         "tickets_enriched": f"""WITH {tickets} SELECT id, CASE WHEN id % 3 <> 0 AND id % 5 <> 1 THEN CASE WHEN id % 7 = 0 THEN '' ELSE 'page of ' || title END ELSE description END AS description,
           CASE WHEN author IS NULL AND id % 3 <> 0 AND id % 5 <> 1 AND id % 2 = 0 THEN 'page author' ELSE author END AS author FROM tickets""",
         "processing_cancelled": f"""WITH {tickets}, {items}, last AS (SELECT i.ticket_id AS t, max(position) AS p FROM items i JOIN tickets k ON i.ticket_id = k.id WHERE k.id % 2 = 0 AND stage NOT IN ('completed', 'cancelled', 'failed') GROUP BY i.ticket_id)
