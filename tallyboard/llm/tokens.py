@@ -10,7 +10,7 @@ File format, for each partition of documents in ascending id order:
 * ``NAME.bin``: the ids of all documents, unsigned little-endian integers of 2 bytes where
   the vocabulary has at most 65,536 ids, else 4;
 * ``NAME.idx``: 64-bit little-endian offsets, one a document and the end (count + 1);
-* ``NAME.ids``: 64-bit little-endian document ids.
+* ``NAME.ids``: 64-bit little-endian document ids, 0 for the ``n_null`` first, whose id is null.
 
 A table names the files that count, with documents, tokens and the base: how many tokens
 lie before the file, from a prefix sum over the files. Tasks write under a name of their
@@ -35,7 +35,7 @@ from .common import Scratch, batches, slices
 #: Units, and bare words, that a worker remembers, and the longest unit that it remembers.
 CACHE, LONGEST = 200_000, 48
 #: Characters of text that are split at one time.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 2 << 20
 #: White space where a cut before a space or a line end may fall within a token.
 RUNS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]{3}|[\s\p{Z}\x{1c}-\x{1f}\x{85}]{2}$"
 #: Marks that may end a word of Latin letters: letters and marks are tokens apart.
@@ -166,7 +166,9 @@ def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-MANIFEST = "file string, width int, first_id long, n_docs long, n_tokens long"
+MANIFEST = "file string, width int, first_id long, n_null long, n_docs long, n_tokens long"
+#: Documents whose offsets are read at one time.
+READ_DOCS = 1_000
 
 
 def write_files(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -174,8 +176,8 @@ def write_files(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int
 
     ``end_id`` is appended to each document. Documents are dealt by ranges of their id and
     sorted within, so files follow one another. A null text has no ids but ``end_id``; null
-    ids are left out, as the format has no place for them; rows that repeat an id follow one
-    another in order of their text. An empty table gives an empty table of files.
+    ids come first; rows that repeat an id, or have none, follow one another in order of
+    their text. An empty table gives an empty table of files.
     """
     folder = folder or scratch.path("token-files")
 
@@ -183,14 +185,14 @@ def write_files(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int
         enc = encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         fs, base = store(folder)
-        name, n_docs, n_tokens, first = None, 0, 0, None
+        name, n_null, n_docs, n_tokens, first = None, 0, 0, 0, None
         files: list = []
         for batch in stream:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1)
+            ids, texts = batch.column(0), batch.column(1)
             if not len(ids):
                 continue
             if name is None:
-                name, first = f"{base}/{uuid.uuid4().hex}", int(ids[0])
+                name, first = f"{base}/{uuid.uuid4().hex}", ids[0].as_py()
                 fs.create_dir(base, recursive=True)
                 files = [fs.open_output_stream(f"{name}.{x}") for x in ("bin", "idx", "ids")]
             for _, _, blobs in enc.batches(texts, end):
@@ -198,15 +200,15 @@ def write_files(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int
                 files[0].write(b"".join(blobs))
                 files[1].write((n_tokens + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
                 n_tokens += int(sizes.sum())
-            files[2].write(ids.astype("<i8").tobytes())
-            n_docs += len(ids)
+            files[2].write(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            n_null, n_docs = n_null + ids.null_count, n_docs + len(ids)
         if name is not None:
             files[1].write(np.array([n_tokens], "<i8").tobytes())
             for f in files:
                 f.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "width": enc.dtype.itemsize, "first_id": first, "n_docs": n_docs, "n_tokens": n_tokens}], pa.schema([("file", pa.string()), ("width", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"file": name, "width": enc.dtype.itemsize, "first_id": first, "n_null": n_null, "n_docs": n_docs, "n_tokens": n_tokens}], pa.schema([("file", pa.string()), ("width", pa.int32()), ("first_id", pa.int64()), ("n_null", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     manifest = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST)
     manifest = scratch.write(manifest.withColumn("folder", F.lit(folder)), "files")
     before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
@@ -214,21 +216,35 @@ def write_files(docs: DataFrame, scratch: Scratch, vocabulary: str, end_id: int
 
 
 class TokenFile:
-    """One partition's files, memory-mapped where the store is local."""
-
-    def __init__(self, folder: str, name: str, width: int):
-        fs, _ = store(folder)
-        if isinstance(fs, pyarrow.fs.LocalFileSystem):
-            read = lambda x, kind: np.memmap(f"{name}.{x}", kind, "r") if fs.get_file_info(f"{name}.{x}").size else np.zeros(0, kind)
-        else:
-            read = lambda x, kind: np.frombuffer(fs.open_input_file(f"{name}.{x}").readall(), kind)
-        self.tokens, self.offsets, self.ids = read("bin", f"<u{width}"), read("idx", "<i8"), read("ids", "<i8")
+    """One partition's files: memory-mapped where the store is local, else read by ranges."""
+
+    def __init__(self, folder: str, name: str, width: int, n_docs: int, n_null: int = 0):
+        self.fs, _ = store(folder)
+        self.name, self.n_docs, self.n_null = name, n_docs, n_null
+        self.kinds = {"bin": np.dtype(f"<u{width}"), "idx": np.dtype("<i8"), "ids": np.dtype("<i8")}
+        self.local = isinstance(self.fs, pyarrow.fs.LocalFileSystem)
+        self._open: dict = {}
+
+    def part(self, which: str, a: int, b: int) -> np.ndarray:
+        """Elements a to b - 1 of one of the three files."""
+        kind = self.kinds[which]
+        if a >= b:
+            return np.zeros(0, kind)
+        if which not in self._open:
+            path = f"{self.name}.{which}"
+            self._open[which] = np.memmap(path, kind, "r") if self.local else self.fs.open_input_file(path)
+        if self.local:
+            return self._open[which][a:b]
+        return np.frombuffer(self._open[which].read_at((b - a) * kind.itemsize, a * kind.itemsize), kind)
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return self.n_docs
 
     def __getitem__(self, i: int) -> np.ndarray:
-        return self.tokens[self.offsets[i] : self.offsets[i + 1]]
+        return self.part("bin", *self.part("idx", i, i + 2))
+
+    def doc_ids(self, a: int, b: int) -> pa.Array:
+        return pa.array(np.asarray(self.part("ids", a, b)), mask=np.arange(a, b) < self.n_null)
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -236,12 +252,12 @@ def read_files(files: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         for r in batch.to_pylist():
-            f = TokenFile(r["folder"], r["file"], r["width"])
-            for at in range(0, len(f), 10_000):
-                to = min(at + 10_000, len(f))
-                off = np.asarray(f.offsets[at : to + 1])
-                crc = [crc_u32(f[i]) for i in range(at, to)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(f.ids[at:to])), pa.array(off[:-1] + r["base"]), pa.array(np.diff(off)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            f = TokenFile(r["folder"], r["file"], r["width"], r["n_docs"], r["n_null"])
+            for at in range(0, len(f), READ_DOCS):
+                to = min(at + READ_DOCS, len(f))
+                off = np.asarray(f.part("idx", at, to + 1))
+                crc = [crc_u32(f.part("bin", a, b)) for a, b in zip(off, off[1:])]
+                yield pa.RecordBatch.from_arrays([f.doc_ids(at, to), pa.array(off[:-1] + r["base"]), pa.array(np.diff(off)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     one_each = files.repartition(max(1, files.count()))
     return one_each.mapInArrow(batches(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

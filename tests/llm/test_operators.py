@@ -111,12 +111,25 @@ def _ids(name, text):
 
 def test_token_files_round_trip(some_docs, scratch):
     got = tokens.read_files(tokens.write_files(some_docs, scratch, tokens.vocabulary_path("word_bpe_49k.json"), end_id=1)).orderBy("start").collect()
-    rows = sorted((i, t) for i, t in rows_of(some_docs) if i is not None)
+    rows = sorted(rows_of(some_docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))  # null ids first
     ids = [_ids("word_bpe_49k.json", t) + [1] for _, t in rows]
     starts = np.cumsum([0, *map(len, ids)]).tolist()
     assert [tuple(r) for r in got] == [(i, s, len(x), crc_ids(x)) for (i, _), s, x in zip(rows, starts, ids)]
 
 
+def test_token_files_by_ranges(spark, scratch, monkeypatch):
+    d = odd_docs(spark, [*ODD, (None, "a", None, None, 1), (None, None, None, None, 0)])
+    files = tokens.write_files(d, scratch, tokens.vocabulary_path("word_bpe_49k.json"), end_id=1)
+    want = [tuple(r) for r in tokens.read_files(files).orderBy("start").collect()]
+    for r in files.collect():
+        near = tokens.TokenFile(r["folder"], r["file"], r["width"], r["n_docs"], r["n_null"])
+        far = tokens.TokenFile(r["folder"], r["file"], r["width"], r["n_docs"], r["n_null"])
+        far.local = False  # as in a store that cannot be mapped
+        assert [near[i].tolist() for i in range(len(near))] == [far[i].tolist() for i in range(len(far))]
+        assert near.doc_ids(0, len(near)).to_pylist() == far.doc_ids(0, len(far)).to_pylist()
+    assert len(want) == d.count() and want[0][0] is None
+
+
 @pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_agrees_with_the_library(vocabulary):
     enc = tokens.encoder(tokens.vocabulary_path(vocabulary))
