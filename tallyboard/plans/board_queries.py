@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions import scalars as S
 from ..functions import texts as T
 from ..operators import board as B
 from ..operators import jobs as J
@@ -80,6 +81,13 @@ def helper_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", J.with_lines(F.when(k % 5 == 0, "").otherwise(F.col("p_type")), more).alias("text"))
 
 
+def project_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as projects, some named after what they do: the first word that a name has decides."""
+    k = F.col("c_custkey")
+    words = F.when(k % 5 == 0, "云上的数据").when(k % 5 == 1, "数据与移动").when(k % 5 == 2, "云").when(k % 5 == 3, "移动").otherwise("")
+    return A.table(spark, sf_dir, "customer").select("c_custkey", S.symbol(F.concat("c_name", words)).alias("symbol"))
+
+
 def job_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a job would ask for each ticket, as checksums of the two texts."""
     ticket = {c: F.col(c) for c in ("id", "project", "kind", "priority", "title", "description")}
@@ -88,7 +96,7 @@ def job_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tickets(spark, sf_dir).select("id", *[F.md5(x.cast("binary")).alias(n) for x, n in zip(texts, ("analysis", "changes"))])
 
 
-BOARD_QUERIES = {f.__name__: f for f in (tickets_enriched, processing_cancelled, repositories_upserted, reselected, board_titles, board_solvable, sync_totals, landed_labels, repository_states, helper_paths, job_prompts)}
+BOARD_QUERIES = {f.__name__: f for f in (tickets_enriched, processing_cancelled, repositories_upserted, reselected, board_titles, board_solvable, sync_totals, landed_labels, repository_states, helper_paths, project_symbols, job_prompts)}
 
 
 def board_oracle_sql(tickets: str, items: str, repos: str) -> dict[str, str]:
@@ -104,6 +112,7 @@ def board_oracle_sql(tickets: str, items: str, repos: str) -> dict[str, str]:
         return f"md5({out})"
 
     return {
+        "project_symbols": "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'chart.bar' WHEN 1 THEN 'iphone' WHEN 2 THEN 'cloud' WHEN 3 THEN 'iphone' ELSE 'shippingbox' END AS symbol FROM customer",
         "job_prompts": f"WITH {tickets} SELECT id, {prompt(P.ANALYSIS)} AS analysis, {prompt(P.CHANGES)} AS changes FROM tickets",
         "tickets_enriched": f"""WITH {tickets} SELECT id, CASE WHEN id % 3 <> 0 AND id % 5 <> 1 THEN CASE WHEN id % 7 = 0 THEN '' ELSE 'page of ' || title END ELSE description END AS description,
           CASE WHEN author IS NULL AND id % 3 <> 0 AND id % 5 <> 1 AND id % 2 = 0 THEN 'page author' ELSE author END AS author FROM tickets""",

@@ -88,17 +88,19 @@ def status_texts(spark, sf_dir):
 
 
 def option_matches(spark, sf_dir):
-    n = A.table(spark, sf_dir, "nation")
-    options = F.array(F.lit(" new "), F.concat(F.lit(" "), "n_name", F.lit(" x")), F.col("n_name"))
-    return n.select("n_nationkey", J.first_option(options, F.col("n_name")).alias("option"))
+    """The first word of each turn that holds the beginning of its role, as a form's options are searched."""
+    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), " ").alias("options"), F.left("role", F.lit(2)).alias("wanted"))
+    return c.select("conv_id", "turn", J.first_option(F.transform("options", lambda o: F.concat(F.lit(" "), o, F.lit(" "))), F.col("wanted")).alias("option"))
 
 
 def merged_environments(spark, sf_dir):
-    n = A.table(spark, sf_dir, "nation")
-    base = F.create_map(F.lit("PATH"), F.lit("/bin"), F.lit("HOME"), F.col("n_name"))
-    over = F.create_map(F.lit("PATH"), F.col("n_name"), F.lit("TERM"), F.lit("dumb"))
-    entries = F.sort_array(F.transform(F.map_entries(J.merged_environment(base, over)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return n.select("n_nationkey", F.array_join(entries, ";").alias("environment"))
+    """Properties of events as environments, some overridden by a user's own."""
+    e = A.table(spark, sf_dir, "events")
+    base = F.map_concat(F.from_json("props", "map<string, string>"), F.create_map(F.lit("type"), F.col("event_type")))
+    none = F.expr("map_from_arrays(CAST(array() AS array<string>), CAST(array() AS array<string>))")
+    over = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("k"), F.concat(F.lit("u"), "user_id"), F.lit("term"), F.lit("dumb"))).otherwise(none)
+    entries = F.sort_array(F.transform(F.map_entries(J.merged_environment(base, over)), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
+    return e.select("event_id", F.array_join(entries, ";").alias("environment"))
 
 
 def sync_summary(spark, sf_dir):
@@ -150,10 +152,16 @@ def final_or_output(spark, sf_dir):
 
 
 def line_offsets(spark, sf_dir):
-    """Lines of a text with the offset behind each: the pairing of two lists by place."""
-    d = A.table(spark, sf_dir, "nation").select("n_nationkey", F.split(F.concat("n_name", F.lit("\nb\n"), "n_name"), "\n").alias("lines"))
-    ends = F.transform("lines", lambda x, i: F.aggregate(F.slice("lines", 1, i + 1), F.lit(0), lambda a, y: a + F.length(y) + 1))
-    return d.select("n_nationkey", F.inline(F.arrays_zip(F.col("lines").alias("line"), ends.alias("end_offset"))))
+    """Lines of each turn with the offset behind each: the pairing of two lists by place."""
+    d = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("ends"))
+
+    def step(acc, x):
+        at = acc["at"] + F.length(x) + 1
+        return F.struct(at.alias("at"), F.concat(acc["ends"], F.array(at)).alias("ends"))
+
+    ends = F.aggregate("lines", start, step, lambda acc: acc["ends"])
+    return d.select("conv_id", "turn", F.inline(F.arrays_zip(F.col("lines").alias("line"), ends.alias("end_offset"))))
 
 
 JOB_QUERIES = {f.__name__: f for f in (
@@ -198,13 +206,13 @@ JOB_ORACLE_SQL = {
     "item_remotes": "SELECT l_suppkey AS supplier, CASE WHEN l_suppkey % 3 <> 0 AND s_suppkey IS NOT NULL THEN 'r' || l_suppkey ELSE 'origin' END AS remote, count(*) AS n FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_name = 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') GROUP BY 1, 2",
     "ticket_repositories": f"WITH {_REPOS} SELECT o_orderkey AS id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN r ON c_mktsegment = r.project WHERE o_orderkey <> 0 GROUP BY 1",
     "status_texts": "SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN '' ELSE source || '|' END || 'b.txt|a -> c' AS files, '?? ' || coalesce(source, '') || '| M b.txt|R  a -> c' AS lines, CASE WHEN doc_id % 2 = 0 THEN 's' ELSE 'u' || chr(10) || 's' END AS diff FROM documents",
-    "option_matches": "SELECT n_nationkey, ' ' || n_name || ' x' AS option FROM nation",
-    "merged_environments": "SELECT n_nationkey, 'HOME=' || n_name || ';PATH=' || n_name || ';TERM=dumb' AS environment FROM nation",
+    "option_matches": "SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda x: ' ' || x || ' '), lambda o: contains(o, left(role, 2)))[1] AS option FROM conversations",
+    "merged_environments": r"SELECT event_id, 'k=' || CASE WHEN event_id % 3 = 0 THEN 'u' || user_id || ';term=dumb' ELSE regexp_extract(props, '\d+') END || ';type=' || event_type AS environment FROM events",
     "sync_summary": f"""WITH {_STATUS}, s AS (SELECT count(*) AS n_tickets, count(DISTINCT id % 50) AS n_pages, count(*) FILTER (WHERE id % 10 = 0) AS n_new FROM t WHERE id % 10 NOT IN (1, 2))
       SELECT *, n_new > 0 AS unread, n_tickets = 0 AS needs_login, CASE WHEN n_tickets > 0 THEN 'idle' ELSE 'loginRequired' END AS state FROM s""",
     "interval_limits": "SELECT p_partkey, least(8, greatest(1, p_size % 12)) AS hours, CAST(least(4, greatest(1, floor((p_size * 40 - 32) / 376))) AS INTEGER) AS columns, left(p_name, 8) AS short, CAST(length(p_name) AS INTEGER) AS chars FROM part",
     "cursor_events": """SELECT conv_id AS run_id, turn AS "offset", CASE turn % 5 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN NULL WHEN 2 THEN 'Cursor 已完成' ELSE 'log ' || turn END AS display, CASE WHEN turn % 5 = 2 THEN coalesce(text, '') END AS final FROM conversations""",
     "claude_events": f"WITH {_CLAUDE} SELECT * FROM claude",
     "final_or_output": f"""WITH {_CLAUDE} SELECT run_id, coalesce(arg_max(final, "offset") FILTER (WHERE final <> ''), string_agg(coalesce(display, ''), chr(10) ORDER BY "offset")) AS final FROM claude GROUP BY run_id""",
-    "line_offsets": "SELECT n_nationkey, n_name AS line, CAST(length(n_name) + 1 AS INTEGER) AS end_offset FROM nation UNION ALL SELECT n_nationkey, 'b', CAST(length(n_name) + 3 AS INTEGER) FROM nation UNION ALL SELECT n_nationkey, n_name, CAST(2 * length(n_name) + 4 AS INTEGER) FROM nation",
+    "line_offsets": "WITH p AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), l AS (SELECT conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS k FROM p) SELECT conv_id, turn, line, CAST(sum(length(line) + 1) OVER (PARTITION BY conv_id, turn ORDER BY k) AS INTEGER) AS end_offset FROM l",
 }

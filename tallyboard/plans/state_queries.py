@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunk_lines as C
@@ -83,6 +83,16 @@ def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.logs(V.fold(job_event_rows(spark, sf_dir))).select("item_id", "seq", "message", "level")
 
 
+def stage_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step, phase and texts of every stage that the jobs go through, counted."""
+    stage, seq = F.col("stage"), F.col("seq")
+    texts = [J.step(stage).cast("int").alias("step"), J.phase(stage).alias("phase"), J.report_status(stage).alias("report_status"), J.report_visible(stage, seq % 2 == 0).alias("report_visible")]
+    state = F.when(seq % 5 == 0, "reconnecting").when(seq % 5 == 1, "recovered").otherwise("running")
+    progress = J.progress(stage, state, F.when(seq % 3 == 0, "an error"), F.lit("Codex"), F.lit("7")).alias("progress")
+    rows = V.fold(job_event_rows(spark, sf_dir)).select("stage", *texts, progress)
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
 SCANS, PER_PAGE = 40, 20
 
 
@@ -173,7 +183,7 @@ def control_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "status", "may_cancel")
 
 
-STATE_QUERIES = {f.__name__: f for f in (snapshot_documents, snapshot_saved, job_events, job_states, job_logs, scan_outcomes, scan_tickets, chunk_lines, recovered_items, control_runs)}
+STATE_QUERIES = {f.__name__: f for f in (snapshot_documents, snapshot_saved, job_events, job_states, job_logs, stage_texts, scan_outcomes, scan_tickets, chunk_lines, recovered_items, control_runs)}
 
 
 def _sql_case(column: str, values: list[str]) -> str:
@@ -243,6 +253,15 @@ FROM (
   SELECT *, lag(message) OVER (PARTITION BY item_id ORDER BY seq) AS before FROM folded WHERE NOT refused AND message IS NOT NULL
 )
 SELECT item_id, seq, message, CASE WHEN action IN {_SETS} THEN 'error' ELSE 'info' END AS level FROM said WHERE NOT (action = 'interrupt' AND before IS NOT DISTINCT FROM message)""",
+    "stage_texts": f"""{_JOB}
+SELECT stage, CASE stage WHEN 'analyzing' THEN 0 WHEN 'awaitingPlanApproval' THEN 1 WHEN 'runningAI' THEN 2 WHEN 'reviewing' THEN 3 WHEN 'awaitingApproval' THEN 3 WHEN 'updatingTicket' THEN 5 WHEN 'completed' THEN 5
+    ELSE CASE WHEN stage IN ('committing', 'pulling', 'pushing', 'partial') THEN 4 END END AS step,
+  CASE WHEN stage = 'analyzing' THEN 'analysis' WHEN stage IN ('runningAI', 'reviewing') THEN 'modification' END AS phase,
+  CASE stage WHEN 'partial' THEN '代码已提交，工单待重试' WHEN 'completed' THEN '交付已完成' ELSE '等待人工确认' END AS report_status,
+  seq % 2 = 0 AND stage IN ('awaitingApproval', 'reviewing', 'partial', 'completed') AS report_visible,
+  CASE WHEN stage = 'interrupted' THEN CASE WHEN seq % 3 = 0 THEN 'an error' ELSE 'AI 后台任务已中断，你可以重新检查进程或返回配置。' END WHEN seq % 5 = 0 THEN '正在重新连接 AI 任务…' WHEN seq % 5 = 1 THEN '已恢复后台任务，正在继续接收日志'
+    WHEN seq % 3 = 0 THEN 'an error' ELSE 'Codex 正在处理 #7，你可以在此查看实时进度。' END AS progress, count(*) AS n
+FROM folded GROUP BY 1, 2, 3, 4, 5, 6""",
     "scan_outcomes": f"{_PAGES} SELECT scan_id, status, CAST(n_pages AS BIGINT) AS n_pages FROM judged",
     "scan_tickets": f"{_PAGES} SELECT o.scan_id, CAST(o.page AS INTEGER) AS at, o.id, 'order ' || o.id AS subject, o.priority FROM o JOIN judged j ON o.scan_id = j.scan_id AND j.status = 'read' JOIN reached r ON o.scan_id = r.scan_id AND o.page = r.page WHERE o.id <> 0",
     "chunk_lines": r"""WITH l AS (
