@@ -270,11 +270,10 @@ def _verified(units: DataFrame, with_sets: DataFrame, similarity: float, scratch
     return scratch.write(out, "exact")
 
 
-def _grouped(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``members`` with ``sub``, the smallest node of those that the edges join."""
-    parts = connected_components(edges, scratch)
-    m = members.drop("sub").join(parts.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node"), "left")
-    return scratch.write(m.select("comp", "node", "size", F.coalesce("component", "node").alias("sub")), "grouped")
+def _merged(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members`` with ``sub`` followed along the edges of one round, which lead from each node to the smallest of its group."""
+    to = edges.select(F.col("u").alias("e_u"), F.col("v").alias("e_v"))
+    return scratch.write(members.join(to, F.col("sub") == F.col("e_u"), "left").select("comp", "node", "size", F.coalesce("e_v", "sub").alias("sub")), "merged")
 
 
 def _parts(n, size):
@@ -286,26 +285,26 @@ def exact_links(members: DataFrame, with_sets: DataFrame, similarity: float, scr
 
     ``members`` has comp, node, size (of the set); ``with_sets`` node and shingles. A group that
     fits a tile is compared whole. In larger ones the sets of a tile meet first, then one of each group
-    found so far, in tiles again. What is still apart is compared in full: each set outside
+    found so far, in tiles again, while that halves their number. What is still apart is compared in full: each set outside
     the largest group with every other, tile by tile. Sets already joined need not meet.
     """
     whole = members.groupBy(F.col("comp").alias("w_comp")).agg(_parts(F.count("*"), F.sum("size")).alias("parts"))
     units = members.join(whole, F.col("comp") == F.col("w_comp")).select("comp", F.pmod(F.xxhash64("node"), F.col("parts")).alias("pair"), "node")
     edges = _verified(units, with_sets, similarity, scratch)
     large = members.join(whole.filter("parts > 1"), F.col("comp") == F.col("w_comp"), "left_semi")
-    now, n = _grouped(large, edges, scratch), None
+    now, n = _merged(large.withColumn("sub", F.col("node")), edges, scratch), None
     while True:
         heads = now.filter("node = sub")
         per = heads.groupBy(F.col("comp").alias("h_comp")).agg(F.count("*").alias("heads"), _parts(F.count("*"), F.sum("size")).alias("parts")).filter("heads > 1")
         apart = per.agg(F.coalesce(F.sum("heads"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(0))).first()
         if not apart[0]:
             return edges
-        if apart[0] == n:
+        if n is not None and apart[0] * 2 > n:  # another round would join little more
             break
         n = apart[0]
         units = heads.join(per, F.col("comp") == F.col("h_comp")).select("comp", F.pmod(F.xxhash64("node", F.lit(n)), F.col("parts")).alias("pair"), "node")
-        edges = scratch.write(edges.unionByName(_verified(units, with_sets, similarity, scratch)), "edges")
-        now = _grouped(large, edges, scratch)
+        found = _verified(units, with_sets, similarity, scratch)
+        edges, now = edges.unionByName(found), _merged(now, found, scratch)
     subs = now.groupBy("comp", "sub").agg(F.count("*").alias("n"))
     top = subs.groupBy(F.col("comp").alias("t_comp")).agg(F.max(F.struct("n", "sub")).alias("top"), F.count("*").alias("subs")).filter("subs > 1")
     d = now.join(top, F.col("comp") == F.col("t_comp")).select("comp", "node", "size", (F.col("sub") == F.col("top.sub")).alias("major"))
