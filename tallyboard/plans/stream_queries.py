@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A
-from ..sources.store import work_folder
+from ..sources.store import Store, work_folder
 from ..streaming import liveness as L
 from ..streaming import log_files
 from ..streaming.single_flight import run_once
@@ -29,21 +29,27 @@ def run_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _landed_in_order(rows: DataFrame, folder: str, parts: int = 3) -> DataFrame:
-    """A stream of the rows, which lie in files of increasing ``at``, one file set a batch."""
+def _in_order(rows: DataFrame, folder: str, parts: int = 3):
+    """A stream of the rows, yielded after each part of increasing ``at`` has landed: one batch a part, in any number of files."""
+    spark = rows.sparkSession
     low, high = rows.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
     width = ((high or 0) - (low or 0)) // parts + 1
+    part = F.floor((F.unix_micros("at") - F.lit(low or 0)) / width)
+    rows.withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/signs")
+    store = Store(spark, folder)
+    store.fs.mkdirs(store.path("landed"))
     for i in range(parts):
-        part = rows.filter(F.floor((F.unix_micros("at") - F.lit(low or 0)) / width) == i)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/landed")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+        if store.exists(f"signs/part={i}"):
+            store._rename(store.path(f"signs/part={i}"), store.path(f"landed/{i}"), over=False)
+        yield spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/landed")
 
 
 def live_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "live")
-    changes = L.watch(_landed_in_order(run_signs(spark, sf_dir), folder), FRESH_S, GRACE_S, event_time=True)
-    done = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    done.awaitTermination()
+    for rows in _in_order(run_signs(spark, sf_dir), folder):
+        changes = L.watch(rows, FRESH_S, GRACE_S, event_time=True)
+        done = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        done.awaitTermination()
     return spark.read.schema(L.OUT).parquet(f"{folder}/out").select("run_id", "status", "raised", F.unix_millis("at").alias("at_ms"))
 
 

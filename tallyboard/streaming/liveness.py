@@ -77,12 +77,15 @@ class _Watch(StatefulProcessor):
     def _clock(self, timers) -> int:
         return timers.getCurrentWatermarkInMs() if self.event_time else timers.getCurrentProcessingTimeInMs()
 
-    def _keep(self, state: tuple | None) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if state is not None:
-            self.state.update(state)
-            at = due(state, self.limit, self.grace)
+    def _keep(self, old: tuple | None, state: tuple | None, fired: bool = False) -> None:
+        """The state and its one timer, which is when ``due`` says; Spark itself removes one that has ``fired``."""
+        if state is None or state == old:
+            return
+        self.state.update(state)
+        was, at = (None if s is None else due(s, self.limit, self.grace) for s in (old, state))
+        if was != at:
+            if was is not None and not fired:
+                self.handle.deleteTimer(was)
             if at is not None:
                 self.handle.registerTimer(at)
 
@@ -92,7 +95,7 @@ class _Watch(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state, out = self.state.get(), []
-        state = tuple(state) if state is not None else None
+        old = state = tuple(state) if state is not None else None
         # the signs of a run in one batch; a run sends one every two seconds
         signs = sorted((int(t), RANK[k], k, int(p), bool(d)) for f in rows for t, k, p, d in zip(f["ms"], f["kind"], f["worker_pid"], f["placed"]) if k in RANK)
         for at, _, kind, pid, placed in signs:
@@ -104,15 +107,18 @@ class _Watch(StatefulProcessor):
         if state is not None and not self.event_time:
             state, changes = pass_time(state, self._clock(timerValues), self.limit, self.grace)
             out += changes
-        self._keep(state)
-        yield self._rows(key, out)
+        self._keep(old, state)
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         state, out = self.state.get(), []
         if state is not None:
-            state, out = pass_time(tuple(state), max(expiredTimerInfo.getExpiryTimeInMs(), self._clock(timerValues)), self.limit, self.grace)
-            self._keep(state)
-        yield self._rows(key, out)
+            old = tuple(state)
+            state, out = pass_time(old, max(expiredTimerInfo.getExpiryTimeInMs(), self._clock(timerValues)), self.limit, self.grace)
+            self._keep(old, state, fired=True)
+        if out:
+            yield self._rows(key, out)
 
     def close(self) -> None:
         pass

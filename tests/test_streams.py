@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.operators import board as B
+from tallyboard.plans import stream_queries
 from tallyboard.sources.snapshots import Snapshots
 from tallyboard.streaming import liveness as L
 from tallyboard.streaming import log_files
@@ -71,6 +72,17 @@ def test_silence_is_noticed_without_input(spark, tmp_path):
     assert abs((times[1] - times[0]).total_seconds() - 8.001) < 1e-6 and abs((times[2] - times[1]).total_seconds() - 2) < 1e-6
 
 
+def test_parts_land_whole_in_many_files(spark, tmp_path):
+    """Each part is one batch, in time, and no task writes a whole part."""
+    rows = spark.range(0, 900, 1, 6).select(F.col("id").cast("string").alias("run_id"), F.timestamp_seconds("id").alias("at"))
+    seen = []
+    for n, stream in enumerate(stream_queries._in_order(rows, str(tmp_path))):
+        batch = lambda b, i: seen.append((b.count(), b.agg(F.max(F.unix_seconds("at"))).first()[0]))
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        assert len([f for f in os.listdir(tmp_path / f"landed/{n}") if f.endswith(".parquet")]) > 1
+    assert seen == [(300, 299), (300, 599), (300, 899)]
+
+
 T = "id long, status string, project string"
 
 
