@@ -4,7 +4,8 @@ An action moves an item from one stage to another if the item's stage allows it,
 and changes nothing. What a run of events does to an item is a table from the stage before to the
 stage after, and such tables compose, so the fold is an aggregate: blocks of an item's events become
 tables, blocks of blocks too, and the stages then flow back down to the events. No task holds more
-than ``BLOCK`` events of an item at a time, however many it has.
+than ``BLOCK`` events of an item at a time, however many it has. The first block of an item is entered
+at the stage of none, so items of one block need no tables. The blocks are written once to a scratch table.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import Tables
+
 #: Events of an item in one block, and blocks in one block of the next level.
 BLOCK = 1024
 NONE = ""
@@ -70,9 +73,14 @@ def _stay(number: Column) -> Column:
     return F.when(number < 0, number + 100).otherwise(number)
 
 
-def _composed(members: Column, step) -> Column:
-    """What a sorted array of members does to each stage."""
-    start = F.array(*[F.lit(i) for i in range(len(STAGES))])
+def _block(of: Column) -> Column:
+    """The block of a number; the first is 0."""
+    return F.greatest(F.floor(of / BLOCK), F.lit(0))
+
+
+def _composed(members: Column, number: Column, step) -> Column:
+    """What a sorted array of members does to each stage; the first block (``number`` 0) has an item of no stage only."""
+    start = F.when(number == 0, F.array(F.lit(0))).otherwise(F.array(*[F.lit(i) for i in range(len(STAGES))]))
     return F.aggregate(members, start, lambda acc, m: F.transform(acc, lambda s: step(m, s)))
 
 
@@ -90,22 +98,29 @@ def fold(events: DataFrame, key: str = "item_id") -> DataFrame:
     they differ. Events with a null key or seq are left out; unknown actions are refused. An empty
     table gives an empty one.
     """
-    once = events.filter(F.col(key).isNotNull() & F.col("seq").isNotNull()).groupBy(F.col(key).alias("k"), F.col("seq").cast("long").alias("seq")).agg(F.min(F.struct("at", "action", "message")).alias("e"))
-    rows = once.select("k", F.floor(F.col("seq") / BLOCK).alias("b"), F.struct("seq", _number("e.action").alias("n"), "e.action", "e.at", "e.message").alias("e"))
+    keyed = events.filter(F.col(key).isNotNull() & F.col("seq").isNotNull()).select(F.col(key).alias("k"), F.col("seq").cast("long").alias("seq"), F.struct("at", "action", "message").alias("e"))
+    # one shuffle, by block, for the single events and for the blocks
+    once = keyed.withColumn("b", _block(F.col("seq"))).repartition("k", "b").groupBy("k", "b", "seq").agg(F.min("e").alias("e"))
+    rows = once.select("k", "b", F.struct("seq", _number("e.action").alias("n"), "e.action", "e.at", "e.message").alias("e"))
+    stays = F.array(*[F.lit(i) for i in range(len(STAGES))], *[F.lit(x + 100 if x < 0 else x) for x in _numbers()])  # of unknown actions first
 
     def act(m: Column, s: Column) -> Column:
-        return F.when(m["n"] < 0, s).otherwise(_stay(_next(m["n"], s)))
+        return F.element_at(stays, (m["n"] + 1) * len(STAGES) + s + 1)
 
     def follow(m: Column, s: Column) -> Column:
         return F.element_at(m["does"], s + 1)
 
-    blocks = rows.groupBy("k", "b").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    low = blocks.select("k", F.floor(F.col("b") / BLOCK).alias("bb"), F.struct("b", _composed(F.col("es"), act).alias("does")).alias("m"))
-    high = low.groupBy("k", "bb").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    top = high.select("k", F.struct("bb", _composed(F.col("ms"), follow).alias("does")).alias("m")).groupBy("k").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    entered = top.select("k", F.inline(F.arrays_zip(F.col("ms.bb").alias("bb"), _before(F.col("ms"), F.lit(0), follow).alias("s"))))
-    entered = high.join(entered, ["k", "bb"]).select("k", F.inline(F.arrays_zip(F.col("ms.b").alias("b"), _before(F.col("ms"), F.col("s"), follow).alias("s"))))
-    each = blocks.join(entered, ["k", "b"]).select("k", F.inline(F.arrays_zip(F.col("es").alias("e"), _before(F.col("es"), F.col("s"), act).alias("s"))))
+    blocks = Tables(events.sparkSession, "fold").write(rows.groupBy("k", "b").agg(F.sort_array(F.collect_list("e")).alias("es")))
+    every = blocks.filter("b = 0").withColumn("s", F.lit(0))
+    if not (later := blocks.filter("b > 0")).isEmpty():
+        long = blocks.join(later.select("k").distinct(), "k", "left_semi")  # items of several blocks
+        low = long.select("k", _block(F.col("b")).alias("bb"), F.struct("b", _composed(F.col("es"), F.col("b"), act).alias("does")).alias("m"))
+        high = low.groupBy("k", "bb").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+        top = high.select("k", F.struct("bb", _composed(F.col("ms"), F.col("bb"), follow).alias("does")).alias("m")).groupBy("k").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+        entered = top.select("k", F.inline(F.arrays_zip(F.col("ms.bb").alias("bb"), _before(F.col("ms"), F.lit(0), follow).alias("s"))))
+        entered = high.join(entered, ["k", "bb"]).select("k", F.inline(F.arrays_zip(F.col("ms.b").alias("b"), _before(F.col("ms"), F.col("s"), follow).alias("s"))))
+        every = every.unionByName(later.join(entered, ["k", "b"]))
+    each = every.select("k", F.inline(F.arrays_zip(F.col("es").alias("e"), _before(F.col("es"), F.col("s"), act).alias("s"))))
     told = F.when(F.col("e.n") < 0, F.col("s") - 100).otherwise(_next(F.col("e.n"), F.col("s")))
     names = F.array(*[F.lit(x) for x in STAGES])
     name = lambda c: F.element_at(names, (c + 1).cast("int"))
@@ -142,10 +157,12 @@ def logs(folded: DataFrame, key: str = "item_id") -> DataFrame:
     """
     said = folded.filter(~F.col("refused") & F.col("message").isNotNull())
     # the entry before: within a block of an item's events, else the last of an earlier block
-    d = said.withColumn("_b", F.floor(F.col("seq") / BLOCK))
     inside = F.lag("message").over(Window.partitionBy(key, "_b").orderBy("seq"))
-    ends = d.groupBy(key, "_b").agg(F.max_by("message", "seq").alias("_last"))
-    ends = ends.select(F.col(key).alias("_k"), F.col("_b").alias("_eb"), F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_earlier"))
-    d = d.withColumn("_inside", inside).join(ends, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_eb")))
+    d = said.withColumn("_b", _block(F.col("seq"))).withColumn("_inside", inside)
+    d = Tables(folded.sparkSession, "said").write(d).withColumn("_earlier", F.lit(None).cast("string"))
+    if not d.filter("_b > 0").isEmpty():
+        ends = d.groupBy(key, "_b").agg(F.max_by("message", "seq").alias("_last"))
+        ends = ends.select(F.col(key).alias("_k"), F.col("_b").alias("_eb"), F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_earlier"))
+        d = d.drop("_earlier").join(ends, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_eb")))
     again = (F.col("action") == "interrupt") & F.coalesce("_inside", "_earlier").eqNullSafe(F.col("message"))
     return d.filter(~again).select(key, "seq", "at", "message", F.when(_effect(2) == "set", "error").otherwise("info").alias("level"))

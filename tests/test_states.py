@@ -61,6 +61,16 @@ def test_fold_in_blocks(spark, monkeypatch, block):
     assert kept == sorted(want)
 
 
+def test_first_blocks_follow_one_stage(spark):
+    """An item of one block is not tried at every stage; numbers below 0 belong to its first block."""
+    e = spark.createDataFrame([(-1, "start"), (0, "checked"), (1, "analysed")], "seq long, n string")
+    assert {r[0] for r in e.select(V._block(F.col("seq"))).collect()} == {0}
+    does = e.agg(V._composed(F.array(F.lit(1), F.lit(2)), F.lit(0), lambda m, s: m + s), V._composed(F.array(F.lit(1)), F.lit(1), lambda m, s: m + s)).first()
+    assert does[0] == [3] and does[1] == [i + 1 for i in range(len(V.STAGES))]
+    rows = [("a", s, None, a, "m") for s, a in ((-1, "start"), (0, "checked"), (1, "analysed"))]
+    assert [r["stage"] for r in V.fold(spark.createDataFrame(rows, EVENT)).orderBy("seq").collect()] == ["preparing", "analyzing", "awaitingPlanApproval"]
+
+
 def test_effects_of_events(spark):
     def state(*actions):
         rows = [("a", i, None, a, f"said {i}") for i, a in enumerate(actions)]
