@@ -117,13 +117,13 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walked(spark: SparkSession, sf_dir: str):
-    landed = landed_pages(spark, sf_dir)
+    """The landed pages, the walks over their links and how those ended."""
     tables = Tables(spark, "pages")
-    read = I.read_pages(landed.select("page_no", "url", "html")).withColumnRenamed("url", "r_url")
-    pages = tables.write(landed.select("scan_id", F.col("page_no").alias("no"), "url", "ok").join(read, (F.col("no") == F.col("page_no")) & (F.col("url") == F.col("r_url"))).drop("no", "r_url"))
-    starts = pages.select("scan_id", F.concat(F.lit("https://tracker.example/s/"), "scan_id", F.lit("?page=0")).alias("url"))
-    walked = tables.write(W.walk(pages, starts))
-    return pages, walked, tables.write(W.outcomes(pages, walked))
+    landed = tables.write(landed_pages(spark, sf_dir))
+    links = tables.write(I.read_pages(landed, keep=("scan_id", "ok"), with_rows=False))
+    starts = links.select("scan_id", F.concat(F.lit("https://tracker.example/s/"), "scan_id", F.lit("?page=0")).alias("url"))
+    walked = tables.write(W.walk(links, starts))
+    return landed, walked, tables.write(W.outcomes(links, walked))
 
 
 def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,9 @@ def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.scan_rows(*_walked(spark, sf_dir)).select("scan_id", "at", "id", "subject", "priority")
+    landed, walked, ended = _walked(spark, sf_dir)
+    pages = I.read_pages(landed.join(walked.select("scan_id", "url"), ["scan_id", "url"], "left_semi"), keep=("scan_id",))
+    return W.scan_rows(pages, walked, ended).select("scan_id", "at", "id", "subject", "priority")
 
 
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from tallyboard.operators import job_events as V
 from tallyboard.operators import jobs as J
 from tallyboard.operators import recovery as R
 from tallyboard.sources import control_files as K
+from tallyboard.sources import issue_pages as I
 from tallyboard.sources import page_walk as W
 from tallyboard.streaming import single_flight as X
 
@@ -127,6 +128,17 @@ def test_walk_stops_at_its_limit(spark):
     assert walked(spark, [], [(1, "u0")])[0] == {1: ["u0"]}
 
 
+def test_links_without_rows(spark):
+    """Links and sign-in pages are read without the rows, and columns are passed on, as the walk needs them."""
+    row = "<table class=issues><tbody><tr><td class=id>7</td><td class=subject><a href=/i/7>x</a></td></tr></tbody></table>"
+    pages = [(1, "https://t/a", row + "<a rel=next href='?page=2'>n</a>", 5), (2, "https://t/login", row, 6), (3, None, None, None), (4, "https://t/b", "<ul class=pagination><li class='next page'><a href=/c>n</a>" + row, 7)]
+    d = spark.createDataFrame(pages, "page_no long, url string, html string, scan_id long")
+    whole, links = I.read_pages(d), I.read_pages(d, keep=("scan_id",), with_rows=False)
+    assert links.columns == ["page_no", "url", "login", "next_url", "scan_id"]
+    assert sorted((r["page_no"], r["url"], r["login"], r["next_url"]) for r in links.collect()) == sorted((r["page_no"], r["url"], r["login"], r["next_url"]) for r in whole.collect())
+    assert {r["page_no"]: r["scan_id"] for r in links.collect()} == {1: 5, 2: 6, 3: None, 4: 7}
+
+
 def test_lines_of_chunks(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 3)
     rng, whole, rows = random.Random(6), {}, []
