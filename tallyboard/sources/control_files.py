@@ -8,11 +8,13 @@ that name, so a second writer of a run fails and a lost task leaves nothing half
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..streaming.log_files import open_store
 from .snapshots import is_date
@@ -24,6 +26,8 @@ FILES = {
     "heartbeat": "runID string, workerPID int, updatedAt string",
     "result": "runID string, exitCode int, endedAt string, launchError string",
 }
+#: Runs whose files one task reads, and folders that are renamed at a time.
+FOLDERS, MOVES = 1024, 16
 OPTIONAL, DATES = {"launchError"}, {"startedAt", "updatedAt", "endedAt"}
 
 
@@ -44,26 +48,60 @@ def read(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
     ``directory`` is the name of the run's folder. An empty or missing root gives no rows.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{kind}.json")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    if not found:
-        return spark.createDataFrame([], "directory string, text string").select("directory", decode(kind, F.col("text")).alias("f")).select("directory", "f.*")
-    d = spark.read.text(f"{root}/*/{kind}.json", wholetext=True)
-    d = d.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("directory"), decode(kind, F.col("value")).alias("f"))
-    return d.filter("f IS NOT NULL").select(F.url_decode(F.replace("directory", F.lit("+"), F.lit("%2B"))).alias("directory"), "f.*")
+    spark.dataSource.register(RunFolders)
+    d = spark.read.format("run_folders").options(path=root, kind=kind).load()
+    return d.select("directory", decode(kind, F.col("text")).alias("f")).filter("f IS NOT NULL").select("directory", "f.*")
+
+
+@dataclass
+class Folders(InputPartition):
+    """Names of run folders that one task reads."""
+
+    names: list[str]
 
 
 class RunFolders(DataSource):
-    """Writes (run_id, name, text) rows as ``path/<run_id>/<name>``; rows of a run lie in one partition."""
+    """Writes (run_id, name, text) rows as ``path/<run_id>/<name>``; rows of a run lie in one partition.
+
+    Reads (directory, text) of each file ``path/<directory>/<kind>.json``: one listing of the names, and the
+    files of ``FOLDERS`` runs a task, so that small files cost neither a task nor a listing each.
+    """
 
     @classmethod
     def name(cls):
         return "run_folders"
 
+    def schema(self):
+        return "directory string, text string"
+
+    def reader(self, schema):
+        return _Reader(self.options["path"], self.options["kind"])
+
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"])
 
 
+class _Reader(DataSourceReader):
+    def __init__(self, root: str, kind: str):
+        self.root, self.kind = root, kind
+
+    def partitions(self):
+        fs, root = open_store(self.root)
+        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        names = sorted(i.base_name for i in found if i.type == pafs.FileType.Directory)
+        return [Folders(names[i : i + FOLDERS]) for i in range(0, len(names), FOLDERS)] or [Folders([])]
+
+    def read(self, partition):
+        fs, root = open_store(self.root)
+        for name in partition.names:
+            try:
+                with fs.open_input_stream(f"{root}/{name}/{self.kind}.json") as f:
+                    text = f.read()
+            except FileNotFoundError:
+                continue
+            yield name, text.decode(errors="replace")
+
+
 class _Made(WriterCommitMessage):
     def __init__(self, runs: list[str], staged: str):
         self.runs, self.staged = runs, staged
@@ -94,8 +132,8 @@ class _Writer(DataSourceWriter):
             there = [i.base_name for i in fs.get_file_info([f"{root}/{r}" for r in names]) if i.type != pafs.FileType.NotFound]
             if there or len(set(names)) < len(names):
                 raise FileExistsError(f"runs that exist already: {sorted(there)[:5] or 'twice in one write'}")
-            for run, staged in made:
-                fs.move(f"{staged}/{run}", f"{root}/{run}")
+            with ThreadPoolExecutor(MOVES) as pool:
+                list(pool.map(lambda m: fs.move(f"{m[1]}/{m[0]}", f"{root}/{m[0]}"), made))
         finally:
             self._clear(fs, root)
 
@@ -114,4 +152,5 @@ def write_runs(files: DataFrame, root: str) -> None:
     """
     spark = files.sparkSession
     spark.dataSource.register(RunFolders)
-    files.select("run_id", "name", "text").repartition("run_id").write.format("run_folders").option("path", root).mode("append").save()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many, as small files take time by their number and not by their bytes
+    files.select("run_id", "name", "text").repartition(parts, "run_id").write.format("run_folders").option("path", root).mode("append").save()

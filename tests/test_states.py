@@ -197,6 +197,16 @@ def test_control_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "jobs").iterdir()) == ["r 1+%", "r2", "r3"]
 
 
+def test_many_runs_are_read_by_few_tasks(spark, tmp_path):
+    """A run's small file costs neither a task nor a listing; a name may hold any sign, a folder may lack the file."""
+    assert K.read(spark, str(tmp_path / "none"), "result").count() == 0
+    text = '{"runID": "r", "exitCode": 0, "endedAt": "2024-01-01T00:00:00Z"}'
+    names = [*(f"r{i}" for i in range(60)), "a+b %41"]
+    K.write_runs(spark.createDataFrame([(n, "result.json", text) for n in names] + [("bare", "other.json", text)], "run_id string, name string, text string"), str(tmp_path / "runs"))
+    got = K.read(spark, str(tmp_path / "runs"), "result")
+    assert got.rdd.getNumPartitions() == 1 and sorted(r["directory"] for r in got.collect()) == sorted(names)
+
+
 def test_cancel_needs_manifest_and_heartbeat(spark):
     runs = spark.createDataFrame([("a", 1, "a"), ("b", 2, "b"), ("c", 3, "c")], "run_id string, worker_pid long, directory string").withColumns({"started_at": F.lit("2024-01-01").cast("timestamp"), "alive": F.lit(True)})
     beats = runs.select("run_id", "worker_pid", F.lit("2024-01-01 00:00:02").cast("timestamp").alias("updated_at"))
