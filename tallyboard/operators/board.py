@@ -122,6 +122,25 @@ def sync_merged(synced: DataFrame, cached: DataFrame, items: DataFrame) -> DataF
     return synced.unionByName(sync_retained(synced, cached, items))
 
 
+def sync_applied(rows: DataFrame, cached: DataFrame, items: DataFrame, parts: int) -> DataFrame:
+    """(columns of ``cached``, is_new): ``sync_merged`` of the first row an id by ``row_no``, and which of them are ``sync_new``.
+
+    ``cached`` has one row an id. Rows, cached rows and the ids of active items are dealt into ``parts`` by id and
+    grouped there, so that a task sorts its part once, however large the files or the session's partitions are.
+    """
+    columns = [c for c in cached.columns if c != "id"]
+    row, kind, none = F.struct(*columns).alias("row"), cached.schema["id"].dataType, F.lit(None)
+    came = rows.select("id", row, F.struct("row_no").alias("place"), F.lit(False).alias("live"))
+    was = cached.select("id", row, none.cast(came.schema["place"].dataType).alias("place"), F.lit(False).alias("live"))
+    live = items.filter(~F.col("stage").isin(*S.ENDED)).select(F.col("ticket_id").cast(kind).alias("id"), none.cast(came.schema["row"].dataType).alias("row"), none.cast(came.schema["place"].dataType).alias("place"), F.lit(True).alias("live"))
+    every = came.unionByName(was).unionByName(live).filter("id IS NOT NULL").repartition(parts, "id")
+    had = F.max(F.when(F.col("place").isNull(), F.col("row"))).alias("had")
+    d = every.groupBy("id").agg(F.min_by("row", "place").alias("got"), had, F.bool_or("live").alias("live"))
+    kept = F.coalesce("got", F.when(F.col("live"), F.col("had"))).alias("row")
+    d = d.select("id", kept, (F.col("got").isNotNull() & F.col("had").isNull()).alias("is_new")).filter("row IS NOT NULL")
+    return d.select(*["id" if c == "id" else f"row.{c}" for c in cached.columns], "is_new")
+
+
 def enriched(tickets: DataFrame, details: DataFrame) -> DataFrame:
     """Tickets with what their own pages say: ``details`` has id, ok, description and author.
 

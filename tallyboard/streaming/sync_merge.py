@@ -5,6 +5,8 @@ tickets by its own and keeps those that still have an active work item; the tick
 cached before are the new ones, and replace the list of new tickets if there are any. A sync that
 met a sign-in page changes no ticket. The number of the batch is saved with the state it led to, in
 the same pointer, so a batch that Spark hands out again finds itself applied and does nothing.
+A sync is merged once, in parts by id of about ``PART`` rows, into a scratch table from which the
+tables of the state are taken.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ from pyspark.sql import functions as F
 
 from ..operators import board as B
 from ..sources.snapshots import Snapshots
+from ..sources.store import Tables
 
+#: Rows of a sync and of the cached tickets that one task merges, besides the items of their tickets.
+PART = 250_000
 TABLES = ("tickets", "projects", "new_tickets")
 
 
@@ -43,7 +48,7 @@ class SyncMerge:
         batch = batch.persist()
         try:
             # a list of sync numbers, not of their rows
-            syncs = batch.filter("sync_no IS NOT NULL").groupBy("sync_no").agg(F.coalesce(F.bool_or("login"), F.lit(False)).alias("login")).orderBy("sync_no").collect()
+            syncs = batch.filter("sync_no IS NOT NULL").groupBy("sync_no").agg(F.coalesce(F.bool_or("login"), F.lit(False)).alias("login"), F.count("*").alias("n")).orderBy("sync_no").collect()
             for n, s in enumerate(syncs):
                 last = n == len(syncs) - 1
                 tables, settings = self._apply(batch.filter(F.col("sync_no") == s["sync_no"]), s, tables, settings, batch_id if last else settings["batch"])
@@ -59,13 +64,15 @@ class SyncMerge:
             self.snapshots.save(tables, settings)
             return self.snapshots.load()
         cached = tables["tickets"]
-        synced = B.first_per_key(rows.filter("id IS NOT NULL").select("row_no", *cached.columns), ["id"], ["row_no"]).select(*cached.columns)
-        new = B.sync_new(synced, cached)
-        merged = B.sync_merged(synced, cached, self.items())
+        parts = (sync["n"] + cached.count()) // PART + 1
+        scratch = Tables(self.spark, "merged")
+        merged = scratch.write(B.sync_applied(rows, cached, self.items(), parts))
         settings["status"] = "synced"
-        if new.limit(1).count():
+        new = merged.filter("is_new")
+        if not new.isEmpty():
             tables, settings["unread"] = {**tables, "new_tickets": new.select("id")}, True
-        self.snapshots.save({"tickets": merged, "projects": B.first_projects(merged), "new_tickets": tables["new_tickets"]}, settings)
+        self.snapshots.save({"tickets": merged.select(*cached.columns), "projects": B.first_projects(merged), "new_tickets": tables["new_tickets"]}, settings)
+        scratch.store.delete("")
         return self.snapshots.load()
 
 

@@ -12,7 +12,7 @@ from tallyboard.operators import board as B
 from tallyboard.plans import stream_queries
 from tallyboard.sources.snapshots import Snapshots
 from tallyboard.streaming import liveness as L
-from tallyboard.streaming import log_files
+from tallyboard.streaming import log_files, sync_merge
 from tallyboard.streaming.sync_merge import SyncMerge, merge_stream
 
 SIGN = "run_id string, kind string, worker_pid long, directory string, at timestamp"
@@ -132,6 +132,25 @@ def test_merged_as_in_batch(spark, tmp_path):
     assert {r["id"] for r in merge.state()[0]["new_tickets"].collect()} == {r["id"] for r in B.sync_new(synced, cached).collect()}
 
 
+def test_a_sync_is_merged_once_in_parts(spark, tmp_path, monkeypatch):
+    """Parts grow with the tickets, whatever the session's partitions; one sort of one exchange; repeated, null and strange ids."""
+    items = spark.range(50).selectExpr("if(id = 7, NULL, id + 30) AS ticket_id", "id AS position", "CASE WHEN id % 3 = 0 THEN 'runningAI' WHEN id % 3 = 1 THEN 'failed' END AS stage").union(spark.sql("SELECT 33L, 1L, 'failed'"))
+    t = spark.range(60).selectExpr("id", "if(id % 5 = 0, NULL, '新建') AS status", "concat('p', id % 7) AS project")
+    cached, rows = t.filter("id < 50"), t.filter("id % 4 <> 0").selectExpr("id AS row_no", "*").union(spark.sql("SELECT 99L, 1L, 'again', 'p'")).union(spark.sql("SELECT 1L, NULL, 'none', 'p'"))
+    synced = B.first_per_key(rows.filter("id IS NOT NULL"), ["id"], ["row_no"]).select(*t.columns)
+    out = B.sync_applied(rows, cached, items, 9)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(id" in plan and out.rdd.getNumPartitions() == 9
+    assert sorted(tuple(r) for r in out.drop("is_new").na.fill("-").collect()) == sorted(tuple(r) for r in B.sync_merged(synced, cached, items).na.fill("-").collect())
+    assert {r["id"] for r in out.filter("is_new").collect()} == {r["id"] for r in B.sync_new(synced, cached).collect()}
+    monkeypatch.setattr(sync_merge, "PART", 10)
+    merge = SyncMerge(spark, str(tmp_path / "state"), T, lambda: items)
+    merge(rows.selectExpr("1 AS sync_no", "false AS login", "*"), 0)
+    folder = tmp_path / "state" / merge.snapshots.pointer()["folder"] / "tickets"
+    assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) > 1
+    assert sorted(r["id"] for r in merge.state()[0]["tickets"].collect()) == sorted(r["id"] for r in synced.collect())
+
+
 def plain_lines(data: bytes, final: bool):
     out, at = [], 0
     parts = data.split(b"\n")
