@@ -34,7 +34,8 @@ def lines(chunks: DataFrame, ended: bool = True) -> DataFrame:
     d = c.withColumn("upto", running).join(totals, (F.col("stream") == F.col("t_stream")) & (F.col("block") == F.col("t_block")))
     d = d.withColumn("upto", F.col("upto") + F.col("earlier"))
     n = F.size("parts")
-    inner = d.filter(n > 2).select("stream", "seq", F.posexplode(F.slice("parts", 2, n - 2)).alias("pos", "line")).select("stream", "seq", (F.col("pos") + 1).alias("pos"), "line")
+    # inner lines need no number, so they are not dealt out
+    inner = c.filter(n > 2).select("stream", "seq", F.posexplode(F.slice("parts", 2, n - 2)).alias("pos", "line")).select("stream", "seq", (F.col("pos") + 1).alias("pos"), "line")
     head = F.struct((F.col("upto") - F.when(n > 1, 1).otherwise(0)).alias("number"), F.element_at("parts", 1).alias("piece"), F.lit(0).alias("pos"), (n > 1).alias("whole"))
     tail = F.struct(F.col("upto").alias("number"), F.element_at("parts", -1).alias("piece"), (n - 1).alias("pos"), F.lit(False).alias("whole"))
     pieces = d.select("stream", "seq", F.inline(F.when(n > 1, F.array(head, tail)).otherwise(F.array(head)))).filter("piece <> '' OR whole")

@@ -136,12 +136,17 @@ def scan_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.scan_rows(pages, walked, ended).select("scan_id", "at", "id", "subject", "priority")
 
 
+def chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream, seq, data): documents cut every 61 characters, the last chunk being shorter or empty; a text is gone through once."""
+    text = F.coalesce("text", F.lit(""))
+    rest = F.when(F.length(text) % 61 == 0, F.array(F.lit(""))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    cut = F.concat(F.regexp_extract_all(text, F.lit("(?s).{1,61}"), F.lit(0)), rest)
+    return A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), F.posexplode(cut).alias("seq", "data"))
+
+
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as streams of 61 characters a chunk, and their lines put together again, counted by content."""
-    d = A.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 61).cast("int"))).alias("seq")
-    chunks = d.select(F.col("doc_id").alias("stream"), cuts, "text").select("stream", "seq", F.substring("text", F.col("seq") * 61 + 1, F.lit(61)).alias("data"))
-    lines = C.lines(chunks)
+    lines = C.lines(chunks_of_documents(spark, sf_dir))
     return lines.groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"), F.bit_xor(F.crc32(F.col("line").cast("binary"))).alias("_x"), F.max("line").alias("last_line"), F.min("line").alias("first_line")).drop("_x")
 
 

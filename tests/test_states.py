@@ -13,6 +13,7 @@ from tallyboard.operators import events as E
 from tallyboard.operators import job_events as V
 from tallyboard.operators import jobs as J
 from tallyboard.operators import recovery as R
+from tallyboard.plans import state_queries
 from tallyboard.sources import control_files as K
 from tallyboard.sources import issue_pages as I
 from tallyboard.sources import page_walk as W
@@ -163,6 +164,18 @@ def test_lines_of_chunks(spark, monkeypatch):
     assert found(False) == {s: ls for s, t in split.items() if (ls := [x for x in t[:-1] if x])}
 
 
+def test_documents_are_cut_in_one_pass(spark, tmp_path):
+    """Chunks as Python's slices, whatever the characters; no chunk goes through its text from the start."""
+    texts = [None, "", "a" * 61, "a" * 122, "\U0001f600é\r\n\u2028" * 50, "\n" * 200, "x" * 60, "\x00\U00010000" * 61, "long " * 30_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = state_queries.chunks_of_documents(spark, str(tmp_path))
+    want = {(i, k // 61, (t or "")[k : k + 61]) for i, t in enumerate(texts) for k in range(0, len(t or "") + 1, 61)}
+    assert {tuple(r) for r in chunks.collect()} == want and chunks.count() == len(want)
+    assert "substring" not in chunks._jdf.queryExecution().optimizedPlan().toString()
+    plan = C.lines(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # inner lines are whole where they are
+
+
 def test_recovery(spark):
     items = spark.createDataFrame(
         [("a", "analyzing", "r1", "analysis", None), ("b", "runningAI", "r2", "modification", None), ("c", "reviewing", "r3", "modification", R.LOST), ("d", "analyzing", "r1", "modification", None),
