@@ -90,22 +90,18 @@ def _before(members: Column, first: Column, step) -> Column:
     return F.aggregate(members, start, lambda acc, m: F.struct(step(m, acc["s"]).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")), lambda acc: acc["out"])
 
 
-def fold(events: DataFrame, key: str = "item_id") -> DataFrame:
-    """(key, seq, at, action, message, previous, stage, refused) of each event, in no order.
+def _act(m: Column, s: Column) -> Column:
+    """The stage after a member of a block, where that is refused the same."""
+    stays = F.array(*[F.lit(i) for i in range(len(STAGES))], *[F.lit(x + 100 if x < 0 else x) for x in _numbers()])  # of unknown actions first
+    return F.element_at(stays, (m["n"] + 1) * len(STAGES) + s + 1)
 
-    ``events`` has key, seq, at, action, message; seq orders an item's events from 0 or 1 on. An event that
-    was delivered twice (one key and seq) counts once, the smaller by time, action and message if
-    they differ. Events with a null key or seq are left out; unknown actions are refused. An empty
-    table gives an empty one.
-    """
+
+def _entered(events: DataFrame, key: str) -> DataFrame:
+    """(k, b, es, s): the sorted events of each block of an item, once each, and the stage in which it is entered."""
     keyed = events.filter(F.col(key).isNotNull() & F.col("seq").isNotNull()).select(F.col(key).alias("k"), F.col("seq").cast("long").alias("seq"), F.struct("at", "action", "message").alias("e"))
     # one shuffle, by block, for the single events and for the blocks
     once = keyed.withColumn("b", _block(F.col("seq"))).repartition("k", "b").groupBy("k", "b", "seq").agg(F.min("e").alias("e"))
     rows = once.select("k", "b", F.struct("seq", _number("e.action").alias("n"), "e.action", "e.at", "e.message").alias("e"))
-    stays = F.array(*[F.lit(i) for i in range(len(STAGES))], *[F.lit(x + 100 if x < 0 else x) for x in _numbers()])  # of unknown actions first
-
-    def act(m: Column, s: Column) -> Column:
-        return F.element_at(stays, (m["n"] + 1) * len(STAGES) + s + 1)
 
     def follow(m: Column, s: Column) -> Column:
         return F.element_at(m["does"], s + 1)
@@ -114,13 +110,25 @@ def fold(events: DataFrame, key: str = "item_id") -> DataFrame:
     every = blocks.filter("b = 0").withColumn("s", F.lit(0))
     if not (later := blocks.filter("b > 0")).isEmpty():
         long = blocks.join(later.select("k").distinct(), "k", "left_semi")  # items of several blocks
-        low = long.select("k", _block(F.col("b")).alias("bb"), F.struct("b", _composed(F.col("es"), F.col("b"), act).alias("does")).alias("m"))
+        low = long.select("k", _block(F.col("b")).alias("bb"), F.struct("b", _composed(F.col("es"), F.col("b"), _act).alias("does")).alias("m"))
         high = low.groupBy("k", "bb").agg(F.sort_array(F.collect_list("m")).alias("ms"))
         top = high.select("k", F.struct("bb", _composed(F.col("ms"), F.col("bb"), follow).alias("does")).alias("m")).groupBy("k").agg(F.sort_array(F.collect_list("m")).alias("ms"))
         entered = top.select("k", F.inline(F.arrays_zip(F.col("ms.bb").alias("bb"), _before(F.col("ms"), F.lit(0), follow).alias("s"))))
         entered = high.join(entered, ["k", "bb"]).select("k", F.inline(F.arrays_zip(F.col("ms.b").alias("b"), _before(F.col("ms"), F.col("s"), follow).alias("s"))))
         every = every.unionByName(later.join(entered, ["k", "b"]))
-    each = every.select("k", F.inline(F.arrays_zip(F.col("es").alias("e"), _before(F.col("es"), F.col("s"), act).alias("s"))))
+    return every
+
+
+def fold(events: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, seq, at, action, message, previous, stage, refused) of each event, in no order.
+
+    ``events`` has key, seq, at, action, message; seq orders an item's events from 0 or 1 on. An event that
+    was delivered twice (one key and seq) counts once, the smaller by time, action and message if
+    they differ. Events with a null key or seq are left out; unknown actions are refused. An empty
+    table gives an empty one.
+    """
+    every = _entered(events, key)
+    each = every.select("k", F.inline(F.arrays_zip(F.col("es").alias("e"), _before(F.col("es"), F.col("s"), _act).alias("s"))))
     told = F.when(F.col("e.n") < 0, F.col("s") - 100).otherwise(_next(F.col("e.n"), F.col("s")))
     names = F.array(*[F.lit(x) for x in STAGES])
     name = lambda c: F.element_at(names, (c + 1).cast("int"))
@@ -149,6 +157,32 @@ def states(folded: DataFrame, key: str = "item_id") -> DataFrame:
     )
 
 
+def states_of(events: DataFrame, key: str = "item_id") -> DataFrame:
+    """``states`` of ``fold(events)`` without its rows: each block of an item gives one row, and these are grouped."""
+    tolds = F.array(*[F.lit(i - 100) for i in range(len(STAGES))], *[F.lit(x) for x in _numbers()])  # of unknown actions first
+    errors, runs = (F.array(F.lit(none), *[F.lit(e[i]) for e in ACTIONS.values()]) for i, none in ((2, "keep"), (3, None)))
+    none = F.lit(None)
+
+    def step(acc: Column, m: Column) -> Column:
+        told, n = F.element_at(tolds, (m["n"] + 1) * len(STAGES) + acc["s"] + 1), m["n"] + 2
+        error, run = F.element_at(errors, n), F.element_at(runs, n)
+        took = told >= 0
+        touched = took & (error != "keep")
+        return F.struct(
+            _stay(told).alias("s"), (acc["touched"] | touched).alias("touched"), F.when(touched, F.when(error == "set", m["message"])).otherwise(acc["error"]).alias("error"),
+            F.when(took & run.isNotNull(), run).otherwise(acc["run"]).alias("run"), F.when(took, F.greatest(acc["at"], m["at"])).otherwise(acc["at"]).alias("at"), (acc["refused"] + F.when(took, 0).otherwise(1)).alias("refused"),
+        )
+
+    start = F.struct(F.col("s").alias("s"), F.lit(False).alias("touched"), none.cast(events.schema["message"].dataType).alias("error"), none.cast("string").alias("run"), none.cast(events.schema["at"].dataType).alias("at"), F.lit(0).alias("refused"))
+    d = _entered(events, key).select("k", "b", F.aggregate("es", start, step).alias("a"), F.size("es").alias("n"))
+    last = lambda what, when=F.lit(True): F.max_by(what, F.when(when, F.col("b")))
+    stage = F.element_at(F.array(*[F.lit(x) for x in STAGES]), last(F.col("a.s")) + 1)
+    return d.groupBy(F.col("k").alias(key)).agg(
+        stage.alias("stage"), last(F.col("a.error"), F.col("a.touched")).alias("error"), F.nullif(last(F.col("a.run"), F.col("a.run").isNotNull()), F.lit("none")).alias("execution_state"),
+        F.max("a.at").alias("updated_at"), F.sum("n").alias("n_events"), F.sum("a.refused").alias("n_refused"),
+    )
+
+
 def logs(folded: DataFrame, key: str = "item_id") -> DataFrame:
     """(key, seq, at, message, level): the log entries that accepted events append.
 

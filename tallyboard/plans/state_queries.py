@@ -76,7 +76,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.states(V.fold(job_event_rows(spark, sf_dir))).select("item_id", "stage", "error", "execution_state", F.unix_seconds("updated_at").alias("updated_s"), "n_events", "n_refused")
+    return V.states_of(job_event_rows(spark, sf_dir)).select("item_id", "stage", "error", "execution_state", F.unix_seconds("updated_at").alias("updated_s"), "n_events", "n_refused")
 
 
 def job_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Job event folds, page walks, chunked lines, recovery, control files and single flight, against plain versions."""
 
+import datetime
 import json
 import random
 import re
@@ -73,6 +74,22 @@ def test_first_blocks_follow_one_stage(spark):
     assert [r["stage"] for r in V.fold(spark.createDataFrame(rows, EVENT)).orderBy("seq").collect()] == ["preparing", "analyzing", "awaitingPlanApproval"]
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_states_without_rows_of_events(spark, monkeypatch, block):
+    """The states that the folded rows give, from one row a block; no event becomes a row again."""
+    monkeypatch.setattr(V, "BLOCK", block)
+    rng, names = random.Random(block), list(V.ACTIONS)
+    actions = lambda i: rng.choice([names[i % 11], rng.choice(names), "nonsense", None])
+    rows = [(k, i - (k == "neg"), rng.choice([None, datetime.datetime(2024, 1, rng.randint(1, 28))]), actions(i), rng.choice([None, "m", "n"])) for k, n in {"hot": 60, "neg": 9, "one": 1, "b": 25}.items() for i in range(n)]
+    rows += [*rows[:7], ("none", 0, None, "cancel", "x"), (None, 1, None, "start", ""), ("z", None, None, "start", "")]
+    events = spark.createDataFrame(rows, EVENT)
+    got = V.states_of(events)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString() or block == 3  # only the entries of later blocks
+    want = V.states(V.fold(events))
+    assert got.columns == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_effects_of_events(spark):
     def state(*actions):
         rows = [("a", i, None, a, f"said {i}") for i, a in enumerate(actions)]
