@@ -225,11 +225,11 @@ _PAGES = f"""WITH o AS (
 ), gaps AS (
   SELECT scan_id, page, row_number() OVER (PARTITION BY scan_id ORDER BY page) - 1 AS nth, max(page) OVER (PARTITION BY scan_id) AS last FROM p
 ), reached AS (
-  SELECT scan_id, page, last FROM gaps WHERE page = nth AND page < 200
+  SELECT scan_id, page, last FROM gaps WHERE page = nth
 ), n AS (
   SELECT scan_id, max(page) AS top, max(last) AS last FROM reached GROUP BY scan_id
 ), judged AS (
-  SELECT scan_id, CASE WHEN scan_id % 10 = 3 AND top >= 1 THEN 'loginRequired' WHEN scan_id % 10 = 7 AND top >= 2 THEN 'failed' WHEN top < last AND top < 199 THEN 'failed' ELSE 'read' END AS status,
+  SELECT scan_id, CASE WHEN scan_id % 10 = 3 AND top >= 1 THEN 'loginRequired' WHEN scan_id % 10 = 7 AND top >= 2 THEN 'failed' WHEN top < last THEN 'failed' ELSE 'read' END AS status,
     CASE WHEN scan_id % 10 = 3 AND top >= 1 THEN 1 WHEN scan_id % 10 = 7 AND top >= 2 THEN 2 ELSE top + 1 END AS n_pages FROM n
 )"""
 

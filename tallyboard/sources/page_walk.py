@@ -1,9 +1,9 @@
 """A scan's pages in the order of their links, whatever the order in which they landed.
 
 The next page of each page is a pointer. Pointers are doubled: knowing for each page the one 2^k
-links on, the pages known to be reached give as many more, so a walk of 200 pages takes eight
-rounds of joins over all scans at once. A page that the walk comes back to keeps its first place,
-which ends the walk as the guard of a scan does.
+links on, the pages known to be reached give as many more, so a walk of n pages takes about log2 n
+rounds of joins over all scans at once, however long it is. A page that the walk comes back to keeps
+its first place, which ends the walk as the guard of a scan does.
 """
 
 from __future__ import annotations
@@ -11,25 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .issue_pages import MOST_PAGES
 from .store import Tables
 
 
-def walk(pages: DataFrame, starts: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:
+def walk(pages: DataFrame, starts: DataFrame, most_pages: int | None = None) -> DataFrame:
     """(scan_id, url, at): the places, from 0, of the pages that each scan reaches, landed or not.
 
     ``pages`` has scan_id, url, next_url and page_no; of pages of one address the one with the lowest
     page_no counts. ``starts`` has scan_id and url. Null scans and addresses are left out.
+    A walk goes on to its end unless ``most_pages`` is given.
     """
     first = pages.filter("scan_id IS NOT NULL AND url IS NOT NULL").groupBy("scan_id", "url").agg(F.min_by("next_url", "page_no").alias("to"))
     tables = Tables(pages.sparkSession, "walk")
     jump = tables.write(first.filter("to IS NOT NULL"))
     reached = tables.write(starts.filter("scan_id IS NOT NULL AND url IS NOT NULL").select("scan_id", "url").distinct().withColumn("at", F.lit(0)))
-    step = 1
-    while step < most_pages:
-        more = reached.join(jump, ["scan_id", "url"]).select("scan_id", F.col("to").alias("url"), (F.col("at") + step).alias("at")).filter(F.col("at") < most_pages)
+    step, n = 1, reached.count()
+    while most_pages is None or step < most_pages:
+        more = reached.join(jump, ["scan_id", "url"]).select("scan_id", F.col("to").alias("url"), (F.col("at") + step).alias("at"))
+        if most_pages is not None:
+            more = more.filter(F.col("at") < most_pages)
         known = tables.write(reached.unionByName(more).groupBy("scan_id", "url").agg(F.min("at").alias("at")))
-        if known.agg(F.count("*")).first() == reached.agg(F.count("*")).first():
+        before, n = n, known.count()
+        if n == before:
             break
         onward = jump.select("scan_id", F.col("url").alias("to"), F.col("to").alias("further"))
         reached, jump = known, tables.write(jump.join(onward, ["scan_id", "to"]).select("scan_id", "url", F.col("further").alias("to")))
