@@ -105,7 +105,7 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = o.select(scan.alias("scan_id"), F.floor(k / PER_PAGE).alias("page"), F.col("o_orderkey").alias("k"), row.alias("row"))
     pages = d.groupBy("scan_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]), "").alias("rows"))  # twenty rows
     last = d.groupBy(F.col("scan_id").alias("l_scan")).agg(F.max("page").alias("last"))
-    p = pages.join(last, F.col("scan_id") == F.col("l_scan"))
+    p = pages.join(F.broadcast(last), F.col("scan_id") == F.col("l_scan"))  # a row a scan
     url = lambda n: F.concat(F.lit("https://tracker.example/s/"), "scan_id", F.lit("?page="), n)
     back = F.when(F.col("scan_id") % 4 == 1, F.greatest(F.col("last") - 2, F.lit(0)))  # a last page that links back
     to = F.when(F.col("page") < F.col("last"), F.col("page") + 1).otherwise(back)
@@ -116,24 +116,21 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("scan_id", F.xxhash64("scan_id", "page").alias("page_no"), url(F.col("page")).alias("url"), html.alias("html"), ok.alias("ok"))
 
 
-def _walked(spark: SparkSession, sf_dir: str):
-    """The landed pages, the walks over their links and how those ended."""
+def _walked(spark: SparkSession, sf_dir: str, with_rows: bool):
+    """The landed pages, each read once, the walks over their links and how those ended."""
     tables = Tables(spark, "pages")
-    landed = tables.write(landed_pages(spark, sf_dir))
-    links = tables.write(I.read_pages(landed, keep=("scan_id", "ok"), with_rows=False))
-    starts = links.select("scan_id", F.concat(F.lit("https://tracker.example/s/"), "scan_id", F.lit("?page=0")).alias("url"))
-    walked = tables.write(W.walk(links, starts))
-    return landed, walked, tables.write(W.outcomes(links, walked))
+    pages = tables.write(I.read_pages(landed_pages(spark, sf_dir), keep=("scan_id", "ok"), with_rows=with_rows))
+    starts = pages.select("scan_id", F.concat(F.lit("https://tracker.example/s/"), "scan_id", F.lit("?page=0")).alias("url"))
+    walked = tables.write(W.walk(pages, starts))
+    return pages, walked, tables.write(W.outcomes(pages, walked))
 
 
 def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walked(spark, sf_dir)[2].select("scan_id", "status", "n_pages")
+    return _walked(spark, sf_dir, with_rows=False)[2].select("scan_id", "status", "n_pages")
 
 
 def scan_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    landed, walked, ended = _walked(spark, sf_dir)
-    pages = I.read_pages(landed.join(walked.select("scan_id", "url"), ["scan_id", "url"], "left_semi"), keep=("scan_id",))
-    return W.scan_rows(pages, walked, ended).select("scan_id", "at", "id", "subject", "priority")
+    return W.scan_rows(*_walked(spark, sf_dir, with_rows=True)).select("scan_id", "at", "id", "subject", "priority")
 
 
 def chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
